@@ -6,6 +6,7 @@ from receiptlake.operators.clean import (  # noqa: F401
     explode_items,
     select_clean,
     type_items,
+    type_receipts,
     with_upload_time,
 )
 from receiptlake.operators.enrich import (  # noqa: F401

@@ -50,25 +50,33 @@ def explode_items(df: DataFrame) -> DataFrame:
     return df.select(*others, F.explode("items").alias("item"))
 
 
+def type_receipts(df: DataFrame) -> DataFrame:
+    """Receipt columns of the clean projection to their types, before the explode
+    repeats them for every item."""
+    return df.withColumns(
+        {
+            "kkt_registration_number": R.whole("kkt_registration_number"),
+            "fiscal_sign": R.whole("fiscal_sign"),
+            "total_sum": R.money("total_sum"),
+            "vat_sum": R.money("vat_sum"),
+            "ofd_name": R.or_unknown("ofd.Name"),
+            "ofd_site": R.or_unknown("ofd.Site"),
+        }
+    )
+
+
 def type_items(df: DataFrame, keep=()) -> DataFrame:
-    """Exploded clean rows to the columns and types of the clean table."""
-    typed = {
-        "kkt_registration_number": R.whole("kkt_registration_number"),
-        "receipt_number": F.col("receipt_number"),
+    """Typed, exploded rows to the columns of the clean table."""
+    columns = {
         "date_time": F.col("event_time"),
         "category": F.col("item.Category"),
         "product_name": R.strip_marks("item.Name"),
         "unit_price": R.money("item.UnitPrice"),
         "quantity": F.col("item.Quantity").cast("bigint"),
         "total_amount_by_position": R.money("item.Total"),
-        "total_sum": R.money("total_sum"),
-        "vat_sum": R.money("vat_sum"),
-        "fiscal_sign": R.whole("fiscal_sign"),
-        "ofd_name": R.or_unknown("ofd.Name"),
-        "ofd_site": R.or_unknown("ofd.Site"),
         "qr_code": F.col("qrcode"),
     }
-    return df.select(*keep, *[typed.get(c, F.col(c)).alias(c) for c in CLEAN.names])
+    return df.select(*keep, *[columns.get(c, F.col(c)).alias(c) for c in CLEAN.names])
 
 
 def clean_items(docs: DataFrame) -> DataFrame:
@@ -81,4 +89,4 @@ def clean_items(docs: DataFrame) -> DataFrame:
 
 def clean_items_of(checked: DataFrame, keep=()) -> DataFrame:
     receipts = with_upload_time(select_clean(clean(checked), keep))
-    return type_items(explode_items(receipts), keep)
+    return type_items(explode_items(type_receipts(receipts)), keep)

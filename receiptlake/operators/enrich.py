@@ -16,25 +16,25 @@ def with_ingest_time(df: DataFrame) -> DataFrame:
 
 def with_checks(df: DataFrame) -> DataFrame:
     """Add the check columns to parsed receipts that have ``DateTime_ts``."""
-    return (
-        df.withColumn("event_time", F.col("DateTime_ts"))
-        .withColumn("iin_valid", R.iin_valid("TaxPayerIIN"))
-        .withColumn("address_correct", R.address_correct("Address"))
-        .withColumn("main_vat_rate", R.main_vat_rate("Items", "VatRate"))
-        .withColumn("vat_valid", R.vat_valid("main_vat_rate"))
-        .withColumn("qr_code_valid", R.qr_code_valid("QRCode"))
-        .withColumn("is_clean", R.is_clean())
-    )
+    checks = {
+        "event_time": F.col("DateTime_ts"),
+        "iin_valid": R.iin_valid("TaxPayerIIN"),
+        "address_correct": R.address_correct("Address"),
+        "main_vat_rate": R.main_vat_rate("Items", "VatRate"),
+        "qr_code_valid": R.qr_code_valid("QRCode"),
+    }
+    df = df.withColumns(checks).withColumn("vat_valid", R.vat_valid("main_vat_rate"))
+    return df.withColumn("is_clean", R.is_clean())
 
 
 def with_item_vat_checks(df: DataFrame) -> DataFrame:
     """The lenient checks, on receipts whose items carry the VAT. NULL text makes the
     IIN check FALSE and the address '', so only the total can leave the flag NULL."""
-    return (
-        df.withColumn("event_time", R.py_event_time("DateTime"))
-        .withColumn("iin_valid", R.py_iin_valid("TaxPayerIIN"))
-        .withColumn("address_correct", R.py_address("Address"))
-        .withColumn("main_vat_rate", R.item_vat("Items"))
-        .withColumn("vat_valid", R.py_vat("main_vat_rate"))
-        .withColumn("is_clean", R.is_clean(R.ITEM_VAT_RULES))
-    )
+    checks = {
+        "event_time": R.py_event_time("DateTime"),
+        "iin_valid": R.py_iin_valid("TaxPayerIIN"),
+        "address_correct": R.py_address("Address"),
+        "main_vat_rate": R.item_vat("Items"),
+    }
+    df = df.withColumns(checks).withColumn("vat_valid", R.py_vat("main_vat_rate"))
+    return df.withColumn("is_clean", R.is_clean(R.ITEM_VAT_RULES))

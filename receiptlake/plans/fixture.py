@@ -9,7 +9,7 @@ by page 0 alone, and what is asked of lines by all pages together.
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from receiptlake.schema import FACTORY_NUMBER, FISCAL_SIGN, RECEIPT, REGISTRATION_NUMBER
@@ -17,87 +17,81 @@ from receiptlake.schema import FACTORY_NUMBER, FISCAL_SIGN, RECEIPT, REGISTRATIO
 PAGE_LINES = 200_000
 
 ALL_FIELDS = tuple(RECEIPT.names)
-_CUSTOMER_FIELDS = {"CompanyName", "Address"}
-_LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey"]
+
+# The columns used of each table.
+TABLES = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double, "
+    "o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, "
+    "p_retailprice double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string",
+}
+
+# The rule of each field, k being the order key.
+_TS = "o_orderdate + INTERVAL '30' YEAR + make_dt_interval(0, 0, 0, k * 7 % 86400)"
+HEAD = {
+    "CompanyName": "c_name",
+    "TaxPayerIIN": "CASE WHEN k % 53 = 0 THEN NULL "
+    "WHEN k % 5 = 1 THEN lpad(string(o_custkey), 11, '0') "
+    "WHEN k % 5 = 2 THEN lpad(string(o_custkey), 12, '0') || 'x' "
+    "ELSE lpad(string(o_custkey), 12, '0') END",
+    FACTORY_NUMBER: "char(k % 26 + 65) || lpad(string(k), 9, '0')",
+    REGISTRATION_NUMBER: "k * 104729 % 1000000000000",
+    "ReceiptNumber": "k % 999999 + 1",
+    "DateTime": "CASE WHEN k % 59 = 0 THEN NULL WHEN k % 47 = 0 THEN 'not a date' "
+    f"WHEN k % 3 = 0 THEN date_format({_TS}, 'yyyy-MM-dd, HH:mm:ss') "
+    f"WHEN k % 3 = 1 THEN date_format({_TS}, 'dd.MM.yy HH:mm') "
+    f"ELSE date_format({_TS}, 'dd/MM/yyyy HH:mm:ss') END",
+    "TotalSum": "CASE WHEN k % 61 = 0 THEN NULL WHEN k % 29 = 0 THEN 0D "
+    "WHEN k % 31 = 0 THEN -o_totalprice ELSE o_totalprice END",
+    "VatRate": "CASE k % 4 WHEN 0 THEN '12%' WHEN 1 THEN '0%' WHEN 2 THEN '' ELSE 'VAT 5' END",
+    "VatSum": "CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 0.12BD AS DECIMAL(18,2))",
+    "Payment": "CASE k % 3 WHEN 0 THEN 'Cash' WHEN 1 THEN 'Card' ELSE 'QR' END",
+    FISCAL_SIGN: "k * 15485863 % 10000000000",
+    "OFD": "CASE WHEN k % 41 = 0 THEN NULL "
+    "WHEN k % 2 = 0 THEN struct('АО Казахтелеком' AS Name, 'https://ofd.telecom.kz' AS Site) "
+    "ELSE struct('АО Транстелеком' AS Name, 'https://ofd.ttc.kz' AS Site) END",
+    "Address": "CASE WHEN k % 6 = 1 THEN 'unknown' WHEN k % 6 = 2 THEN '' "
+    "ELSE n_name || ', ' || c_mktsegment END",
+    "QRCode": "CASE WHEN k % 7 = 1 THEN '' WHEN k % 7 = 2 THEN 'битый_qr_code' "
+    "ELSE 'QR' || lpad(string(k), 22, '0') END",
+}
+_FROM_CUSTOMER = {"CompanyName", "Address"}
+
+_LINE = "l_linenumber, l_partkey, l_suppkey"
+_NAME = (
+    "p_name || CASE (l_partkey + l_linenumber) % 8 WHEN 0 THEN '!!!' WHEN 1 THEN '***' "
+    "WHEN 2 THEN '??' WHEN 3 THEN ' ' ELSE '' END"
+)
+_ITEM = (
+    f"p_type AS Category, {_NAME} AS Name, p_retailprice AS UnitPrice, "
+    "int(l_quantity) AS Quantity, l_extendedprice AS Total"
+)
+_ITEM_VAT = (
+    "struct(CASE (l_partkey + l_linenumber) % 4 WHEN 0 THEN '012%' WHEN 1 THEN '0%' "
+    "WHEN 2 THEN '' ELSE 'VAT' END AS Rate, "
+    "CASE (l_partkey + l_linenumber) % 4 "
+    "WHEN 0 THEN round(CAST(l_extendedprice AS DECIMAL(18,2)) * 0.12BD, 2) ELSE 0 END AS Sum) AS VAT"
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _zero_filled(c: Column, width: int) -> Column:
-    return F.lpad(c.cast("string"), width, "0")
-
-
-def _pick(n: Column, values) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (n + 1).cast("int"))
-
-
-def head_fields() -> dict[str, Column]:
-    """Rules of the fields that come from the order and its customer."""
-    k, customer, price = F.col("k"), F.col("o_custkey"), F.col("o_totalprice")
-    ts = F.expr("o_orderdate + INTERVAL '30' YEAR + make_dt_interval(0, 0, 0, k * 7 % 86400)")
-    vat = (price.cast("decimal(18,2)") * F.expr("0.12BD")).cast("decimal(18,2)")
-    return {
-        "CompanyName": F.col("c_name"),
-        "TaxPayerIIN": F.when(k % 53 == 0, F.lit(None))
-        .when(k % 5 == 1, _zero_filled(customer, 11))
-        .when(k % 5 == 2, F.concat(_zero_filled(customer, 12), F.lit("x")))
-        .otherwise(_zero_filled(customer, 12)),
-        FACTORY_NUMBER: F.concat(F.char(k % 26 + 65), _zero_filled(k, 9)),
-        REGISTRATION_NUMBER: k * 104729 % 1_000_000_000_000,
-        "ReceiptNumber": k % 999_999 + 1,
-        "DateTime": F.when(k % 59 == 0, F.lit(None))
-        .when(k % 47 == 0, "not a date")
-        .when(k % 3 == 0, F.date_format(ts, "yyyy-MM-dd, HH:mm:ss"))
-        .when(k % 3 == 1, F.date_format(ts, "dd.MM.yy HH:mm"))
-        .otherwise(F.date_format(ts, "dd/MM/yyyy HH:mm:ss")),
-        "TotalSum": F.when(k % 61 == 0, F.lit(None))
-        .when(k % 29 == 0, 0.0)
-        .when(k % 31 == 0, -price)
-        .otherwise(price),
-        "VatRate": _pick(k % 4, ["12%", "0%", "", "VAT 5"]),
-        "VatSum": vat,
-        "Payment": _pick(k % 3, ["Cash", "Card", "QR"]),
-        FISCAL_SIGN: k * 15485863 % 10_000_000_000,
-        "OFD": F.when(
-            k % 41 != 0,
-            F.struct(
-                _pick(k % 2, ["АО Казахтелеком", "АО Транстелеком"]).alias("Name"),
-                _pick(k % 2, ["https://ofd.telecom.kz", "https://ofd.ttc.kz"]).alias("Site"),
-            ),
-        ),
-        "Address": F.when(k % 6 == 1, "unknown")
-        .when(k % 6 == 2, "")
-        .otherwise(F.concat("n_name", F.lit(", "), "c_mktsegment")),
-        "QRCode": F.when(k % 7 == 1, "")
-        .when(k % 7 == 2, "битый_qr_code")
-        .otherwise(F.concat(F.lit("QR"), _zero_filled(k, 22))),
-    }
-
-
-def _item(item_vat: bool) -> Column:
-    mark = _pick(
-        (F.col("l_partkey") + F.col("l_linenumber")) % 8, ["!!!", "***", "??", " ", "", "", "", ""]
-    )
-    fields = [
-        F.col("p_type").alias("Category"),
-        F.concat("p_name", mark).alias("Name"),
-        F.col("p_retailprice").alias("UnitPrice"),
-        F.col("l_quantity").cast("int").alias("Quantity"),
-        F.col("l_extendedprice").alias("Total"),
-    ]
-    if item_vat:
-        n = (F.col("l_partkey") + F.col("l_linenumber")) % 4
-        rate = _pick(n, ["012%", "0%", "", "VAT"])
-        tax = F.round(F.col("l_extendedprice").cast("decimal(18,2)") * F.expr("0.12BD"), 2)
-        vat = F.struct(rate.alias("Rate"), F.when(n == 0, tax).otherwise(0).alias("Sum"))
-        fields.append(vat.alias("VAT"))
-    return F.struct(*[F.col(c) for c in _LINE_ORDER], *fields)
-
-
-def _slot(line: Sequence[str]) -> Column:
-    return F.pmod(F.xxhash64(*line), F.col("pages"))
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a scan that comes in fewer splits; a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+# Lines of a long order are dealt to ``pages`` slots by hash. Pages are numbered from
+# the slot the first line falls in, so that page 0 is the one with the first line.
+_SLOT = "pmod(xxhash64({line}), pages)"
+_PAGE = "int(coalesce(pmod({slot} - first_slot, pages), 0))"
 
 
 def long_orders(lineitem: DataFrame, page_lines: int) -> DataFrame:
@@ -105,25 +99,39 @@ def long_orders(lineitem: DataFrame, page_lines: int) -> DataFrame:
 
     Counts are combined before the shuffle. There is at most one such order per
     ``page_lines`` lines (3 million rows of 20 bytes for 600 billion lines), which is
-    the bound that makes the broadcasts below and in ``documents`` safe.
+    the bound that makes the broadcasts here and in ``documents`` safe.
     """
     counts = (
         lineitem.groupBy(F.col("l_orderkey").alias("long_key"))
         .agg(F.count("*").alias("lines"))
-        .filter(F.col("lines") > page_lines)
-        .select("long_key", F.ceil(F.col("lines") / page_lines).cast("int").alias("pages"))
+        .filter(f"lines > {page_lines}")
+        .selectExpr("long_key", f"int(ceil(lines / {page_lines})) AS pages")
     )
+    first = _SLOT.format(line="first.l_linenumber, first.l_partkey, first.l_suppkey")
     return (
-        lineitem.join(F.broadcast(counts), F.col("l_orderkey") == F.col("long_key"))
+        lineitem.join(F.broadcast(counts), F.expr("l_orderkey = long_key"))
         .groupBy("long_key", "pages")
-        .agg(F.min(F.struct(*_LINE_ORDER)).alias("first"))
-        .select("long_key", "pages", _slot([f"first.{c}" for c in _LINE_ORDER]).alias("first_slot"))
+        .agg(F.expr(f"min(struct({_LINE})) AS first"))
+        .selectExpr("long_key", "pages", f"{first} AS first_slot")
     )
 
 
-def _page(slot: Column) -> Column:
-    page = F.pmod(slot - F.col("first_slot"), F.col("pages"))
-    return F.coalesce(page, F.lit(0)).cast("int")
+def paged_items(lineitem: DataFrame, part: DataFrame, long: DataFrame, vat: bool) -> DataFrame:
+    """Columns l_orderkey, l_page and the page's items in line order. The rows are
+    shuffled as they are: collecting before the shuffle would combine nothing."""
+    page = _PAGE.format(slot=_SLOT.format(line=_LINE))
+    item = f"struct({_LINE}, {_ITEM}, {_ITEM_VAT})" if vat else f"struct({_LINE}, {_ITEM})"
+    names = "l -> struct(l.Category, l.Name, l.UnitPrice, l.Quantity, l.Total"
+    names += ", l.VAT)" if vat else ")"
+    return (
+        lineitem.join(long, F.expr("l_orderkey = long_key"), "left")
+        .selectExpr("*", f"{page} AS l_page")
+        .join(part, F.expr("l_partkey = p_partkey"), "left")
+        .selectExpr("l_orderkey", "l_page", f"{item} AS item")
+        .repartition("l_orderkey", "l_page")
+        .groupBy("l_orderkey", "l_page")
+        .agg(F.expr(f"transform(sort_array(collect_list(item)), {names}) AS Items"))
+    )
 
 
 def documents(
@@ -137,42 +145,30 @@ def documents(
     documents hold, and with it the tables and columns that are read."""
     wanted = {*fields, FACTORY_NUMBER}
     docs = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "k")
-    if wanted & _CUSTOMER_FIELDS:
+    if "Items" not in wanted:
+        docs = spread(docs)
+    if wanted & _FROM_CUSTOMER:
         customer = table(spark, sf_dir, "customer")
         nation = table(spark, sf_dir, "nation")
-        docs = docs.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
-        docs = docs.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    values = {name: c for name, c in head_fields().items() if name in wanted}
-    if "Items" not in wanted:
-        docs = docs.withColumn("page", F.lit(0))
-    else:
+        docs = docs.join(customer, F.expr("o_custkey = c_custkey"), "left")
+        docs = docs.join(nation, F.expr("c_nationkey = n_nationkey"), "left")
+    if "Items" in wanted:
         lineitem = table(spark, sf_dir, "lineitem")
-        part = table(spark, sf_dir, "part")
         long = F.broadcast(long_orders(lineitem, page_lines))
-        items = (
-            lineitem.join(long, F.col("l_orderkey") == F.col("long_key"), "left")
-            .withColumn("l_page", _page(_slot(_LINE_ORDER)))
-            .join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
-            .select("l_orderkey", "l_page", _item(item_vat).alias("item"))
-            .repartition("l_orderkey", "l_page")
-            .groupBy("l_orderkey", "l_page")
-            .agg(F.sort_array(F.collect_list("item")).alias("sorted"))
-        )
-        pages = F.explode(F.sequence(F.lit(0), F.coalesce("pages", F.lit(1)) - 1)).alias("slot")
+        items = paged_items(lineitem, table(spark, sf_dir, "part"), long, item_vat)
         docs = (
-            docs.join(long, F.col("k") == F.col("long_key"), "left")
-            .select("*", pages)
-            .withColumn("page", _page(F.col("slot")))
-            .join(
-                items,
-                (F.col("k") == F.col("l_orderkey")) & (F.col("page") == F.col("l_page")),
-                "left",
-            )
+            docs.join(long, F.expr("k = long_key"), "left")
+            .selectExpr("*", "explode(sequence(0, coalesce(pages, 1) - 1)) AS slot")
+            .selectExpr("*", f"{_PAGE.format(slot='slot')} AS page")
+            .join(items, F.expr("k = l_orderkey AND page = l_page"), "left")
         )
-        values["Items"] = F.transform("sorted", lambda line: line.dropFields(*_LINE_ORDER))
-    text = F.to_json(F.struct(*[values[n].alias(n) for n in ALL_FIELDS if n in values]))
-    cut = F.when(F.col("k") % 43 == 0, F.substring(text, 1, 20)).otherwise(text)
-    return docs.select("k", "page", cut.alias("json"))
+    else:
+        docs = docs.withColumn("page", F.lit(0))
+    rules = {**HEAD, "Items": "Items"}
+    values = ", ".join(f"{rules[n]} AS `{n}`" for n in ALL_FIELDS if n in wanted)
+    return docs.selectExpr("k", "page", f"to_json(struct({values})) AS text").selectExpr(
+        "k", "page", "CASE WHEN k % 43 = 0 THEN substring(text, 1, 20) ELSE text END AS json"
+    )
 
 
 def receipts(spark: SparkSession, sf_dir: str, fields=ALL_FIELDS, **options) -> DataFrame:

@@ -17,6 +17,7 @@ from receiptlake.plans.fixture import (
     documents,
     item_documents,
     receipts,
+    spread,
     table,
 )
 from receiptlake.plans.staging import scratch_dir, staged_documents
@@ -107,7 +108,7 @@ def sse_decode(spark, sf_dir):
 
 def catalogue_flatten(spark, sf_dir):
     products = F.map_from_arrays(F.array("p_type"), F.array(F.array("p_name", "p_brand")))
-    part = table(spark, sf_dir, "part").filter("p_type IS NOT NULL")
+    part = spread(table(spark, sf_dir, "part")).filter("p_type IS NOT NULL")
     docs = part.select(
         F.col("p_partkey").alias("k"), F.to_json(F.struct(products.alias("products"))).alias("json")
     )
@@ -265,11 +266,14 @@ def receipt_reconcile(spark, sf_dir):
 # Streams: the staged documents are replayed to the end, the sinks' output is read back.
 
 NOW = {"availableNow": True}
+# Bounds a batch, and with it what the sinks have to keep while they share it.
+FILES_PER_TRIGGER = 1000
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns k, page, json; the topic's key stands in front of each line."""
-    lines = decode_value(read_lines(spark, staged_documents(spark, sf_dir)))
+    path = staged_documents(spark, sf_dir)
+    lines = decode_value(read_lines(spark, path, FILES_PER_TRIGGER))
     parts = F.split("json", "\t", 3)
     return lines.select(
         parts[0].cast("bigint").alias("k"), parts[1].cast("int").alias("page"), parts[2].alias("json")
