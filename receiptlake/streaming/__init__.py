@@ -18,4 +18,5 @@ from receiptlake.streaming.sinks import (  # noqa: F401
     start_topic,
     to_kafka_value,
     write_clean_layout,
+    write_parquet,
 )

@@ -1,5 +1,7 @@
 """The jobs a user runs, from documents (column ``json``) to started queries."""
 
+from collections.abc import Sequence
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
@@ -48,18 +50,24 @@ def run_clean_and_errors(
     mode: str = "reference",
     on_null: str = "drop",
     keep_source: bool = False,
+    carry: Sequence[str] | None = None,
     **options,
 ) -> StreamingQuery:
     """Both tables from one read and one parse of the source: the checked batch is kept
-    (spilling to disk) while the two sinks take their share."""
-    columns = [c for c in docs.columns if c != "json"]
+    (spilling to disk) while the two sinks take their share.
+
+    ``carry`` names columns of ``docs`` that go along into both tables (default: all but
+    the document); ``keep_source`` puts all columns of ``docs`` into the error table.
+    """
+    if carry is None:
+        carry = [c for c in docs.columns if c != "json"]
+    source = docs.columns if keep_source else carry
     checked = with_checks(with_event_time(parse_receipts(docs, keep_source=True)))
 
     def both(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            clean_sink(clean_items_of(batch, columns), batch_id)
-            source = columns + ["json"] * keep_source
+            clean_sink(clean_items_of(batch, carry), batch_id)
             error_sink(errors_of(batch, mode, on_null, source), batch_id)
         finally:
             batch.unpersist()
