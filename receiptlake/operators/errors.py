@@ -47,9 +47,10 @@ def reason(mode: str = "reference") -> Column:
     return F.concat_ws("; ", *[F.when(bad, code) for code, bad in failing.items()])
 
 
-def payload(columns=PAYLOAD_COLUMNS) -> Column:
-    """The named columns as JSON text; NULL fields are left out."""
-    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]))
+def payload(columns=PAYLOAD_COLUMNS, variant: bool = False) -> Column:
+    """The named columns as JSON text (or as a VARIANT); NULL fields are left out."""
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]))
+    return F.parse_json(text) if variant else text
 
 
 def errors_of(

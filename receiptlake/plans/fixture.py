@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from receiptlake.schema import FACTORY_NUMBER, FISCAL_SIGN, RECEIPT, REGISTRATION_NUMBER
 
-PAGE_LINES = 200_000
+PAGE_LINES = 500_000
 
 ALL_FIELDS = tuple(RECEIPT.names)
 
@@ -98,8 +98,8 @@ def long_orders(lineitem: DataFrame, page_lines: int) -> DataFrame:
     """Orders that need several pages, and the slot their first line falls in.
 
     Counts are combined before the shuffle. There is at most one such order per
-    ``page_lines`` lines (3 million rows of 20 bytes for 600 billion lines), which is
-    the bound that makes the broadcasts here and in ``documents`` safe.
+    ``page_lines`` lines, which bounds the broadcasts here and in ``documents``: 11 million
+    rows of 20 bytes for 100 TB of lines (5.5 trillion), if all orders were that long.
     """
     counts = (
         lineitem.groupBy(F.col("l_orderkey").alias("long_key"))

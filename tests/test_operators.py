@@ -106,6 +106,13 @@ def test_payload(spark):
     assert payload["Items"][0]["Name"] == "Хлеб!!!"
 
 
+def test_payload_as_variant(spark):
+    df = checked(spark, receipt(Address="")).select(O.payload(variant=True).alias("p"))
+    assert dict(df.dtypes)["p"] == "variant"
+    names = df.selectExpr("variant_get(p, '$.Items[1].Name', 'string')").collect()
+    assert [tuple(r) for r in names] == [("Сыр",)]
+
+
 def test_every_receipt_goes_to_one_place(spark):
     texts = [receipt(**c) for c, _, _ in REASONS] + [receipt(), "x"]
     df = checked(spark, *texts)

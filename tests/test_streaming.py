@@ -8,6 +8,7 @@ import job
 from helpers import documents, multiset, receipt
 from receiptlake import operators as O
 from receiptlake import streaming as S
+from receiptlake.operators.clean import clean_items_of
 from receiptlake.plans.staging import scratch_dir
 from receiptlake.schema import CLEAN
 from receiptlake.sources import decode_value, read_lines
@@ -65,6 +66,19 @@ def counts(df):
     return out
 
 
+def test_raw_table_is_pruned_and_can_be_processed_again(spark, lines, tmp_path):
+    path = lines(receipt(), receipt(DateTime="02.03.25 10:00"), receipt(Address=""))
+    raw = str(tmp_path / "raw")
+    run(S.run_raw_landing(stream(spark, path), raw, str(tmp_path / "c"), trigger=NOW))
+    month = spark.read.parquet(raw).filter("year_month = '2025-01'")
+    plan = month._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year_month" in plan
+    again = clean_items_of(O.with_checks(spark.read.parquet(raw)))
+    docs = spark.read.text(path).select(F.col("value").alias("json"))
+    first = O.clean_items(docs)
+    assert multiset(again.drop("upload_time")) == multiset(first.drop("upload_time"))
+
+
 def test_files_per_month(spark, lines, tmp_path):
     path = lines(*[receipt(ReceiptNumber=n) for n in range(200)])
     lines(*[receipt(ReceiptNumber=n) for n in range(200)])
