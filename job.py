@@ -34,6 +34,7 @@ def arguments(argv=None) -> argparse.Namespace:
     parser.add_argument("--max-files", type=int, help="bound of a batch with --lines")
     parser.add_argument("--checkpoints", required=True)
     parser.add_argument("--raw-path")
+    parser.add_argument("--gather", action="store_true", help="few files per month, by a shuffle")
     parser.add_argument("--clean-path")
     parser.add_argument("--clean-jdbc", metavar="FILE")
     parser.add_argument("--errors-path")
@@ -85,7 +86,9 @@ def start(spark: SparkSession, args: argparse.Namespace) -> list:
         docs = source(spark, args, args.keep_source)
         checkpoint = f"{args.checkpoints}/raw"
         started.append(
-            S.run_raw_landing(docs, args.raw_path, checkpoint, args.keep_source, **options)
+            S.run_raw_landing(
+                docs, args.raw_path, checkpoint, args.keep_source, gather=args.gather, **options
+            )
         )
     docs = source(spark, args, args.keep_source and bool(errors))
     if clean and errors:

@@ -292,7 +292,7 @@ def raw_landing_stream(spark, sf_dir):
     base = scratch_dir(spark)
     docs = _receipt_stream(spark, sf_dir)
     S.run_raw_landing(
-        docs, f"{base}/raw", f"{base}/checkpoint", keep_source=True, trigger=NOW
+        docs, f"{base}/raw", f"{base}/checkpoint", keep_source=True, gather=True, trigger=NOW
     ).awaitTermination()
     return spark.read.parquet(f"{base}/raw").select(
         "k",

@@ -31,19 +31,20 @@ def start_raw(
     df: DataFrame,
     path: str,
     checkpoint: str,
-    files_per_month: int | None = None,
+    gather: bool = False,
     trigger: Trigger = None,
     name: str | None = None,
 ) -> StreamingQuery:
     """Append Parquet partitioned by ``year_month``; the file sink's own log makes a
     restart add nothing twice. Rows without a time go to the default partition.
 
-    By default rows are written where they are read, so that nothing is shuffled and
-    each task writes a file per month it meets. ``files_per_month`` deals the rows of a
-    month to at most that many tasks instead, for batches that span many months.
+    By default rows are written where they are read: no shuffle, one file per task and
+    month. That suits live batches, which hold a month or two. ``gather`` is for
+    backfills over many months: ``rebalance`` brings a month together, in as many files
+    as its size asks for.
     """
-    if files_per_month:
-        df = df.repartition("year_month", F.floor(F.rand(seed=1) * files_per_month))
+    if gather:
+        df = df.hint("rebalance", F.col("year_month"))
     writer = df.writeStream.format("parquet").option("path", path).partitionBy("year_month")
     return _start(writer, checkpoint, trigger, name)
 

@@ -79,15 +79,28 @@ def test_raw_table_is_pruned_and_can_be_processed_again(spark, lines, tmp_path):
     assert multiset(again.drop("upload_time")) == multiset(first.drop("upload_time"))
 
 
-def test_files_per_month(spark, lines, tmp_path):
-    path = lines(*[receipt(ReceiptNumber=n) for n in range(200)])
-    lines(*[receipt(ReceiptNumber=n) for n in range(200)])
-    raw = str(tmp_path / "raw")
+def test_gather_merges_small_months_and_splits_large_ones(spark, lines, tmp_path):
+    dates = [f"2025-{1 + n % 12:02}-01, 03:04:05" for n in range(240)]
+    path = lines(*[receipt(DateTime=d) for d in dates])
+    for _ in range(3):
+        lines(*[receipt(ReceiptNumber=n) for n in range(300)])
     docs = stream(spark, path)
-    run(S.run_raw_landing(docs, raw, str(tmp_path / "c"), files_per_month=4, trigger=NOW))
-    files = [f for f in os.listdir(f"{raw}/year_month=2025-01") if f.endswith(".parquet")]
-    assert 1 <= len(files) <= 4
-    assert spark.read.parquet(raw).count() == 400
+
+    def land(name, **options):
+        raw = str(tmp_path / name)
+        run(S.run_raw_landing(docs, raw, f"{raw}-c", trigger=NOW, **options))
+        assert spark.read.parquet(raw).count() == 1140
+        return [f for _, _, names in os.walk(raw) for f in names if f.endswith(".parquet")]
+
+    assert len(land("gathered", gather=True)) == 12
+    conf = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(conf, "5k")
+    try:
+        land("split", gather=True)
+    finally:
+        spark.conf.unset(conf)
+    january = os.listdir(f"{tmp_path}/split/year_month=2025-01")
+    assert len([f for f in january if f.endswith(".parquet")]) > 1
 
 
 def lose_last_commit(checkpoint):
