@@ -1,0 +1,173 @@
+"""Random dirty receipts through the jobs, against a plain Python model of the rules."""
+
+import json
+import random
+import re
+from datetime import datetime
+from decimal import ROUND_HALF_UP, Decimal
+
+import pytest
+
+from helpers import GOOD, documents, multiset
+from receiptlake import operators as O
+from receiptlake.schema import FISCAL_SIGN, REGISTRATION_NUMBER
+from receiptlake.sources import parse_receipts
+
+SHAPES = [
+    (r"\d{4}-\d\d-\d\d, \d\d:\d\d:\d\d", "%Y-%m-%d, %H:%M:%S"),
+    (r"\d\d\.\d\d\.\d\d \d\d:\d\d", "%d.%m.%y %H:%M"),
+    (r"\d\d/\d\d/\d{4} \d\d:\d\d:\d\d", "%d/%m/%Y %H:%M:%S"),
+]
+
+# Some values of each field, good and bad; ABSENT leaves the field out.
+ABSENT = object()
+DIRT = {
+    "TaxPayerIIN": ["123456789012", "000000000000", "12345678901", "123456789012x", "", ABSENT],
+    "DateTime": ["2025-01-02, 03:04:05", "31.12.24 23:59", "28/02/2025 00:00:00",
+                 "30/02/2025 00:00:00", "1.2.25 03:04", "x", "", ABSENT],
+    "TotalSum": [24.0, 0.01, 0, -3.5, ABSENT],
+    "VatRate": ["12%", "0%", "НДС 012", "VAT 5", "", "none", "99999999999%", ABSENT],
+    "Address": ["Алматы, 1", "Астана", "unknown", "", " ", ABSENT],
+    "QRCode": ["abc", "битый_qr_code", "", ABSENT],
+    "Items": [GOOD["Items"], [], ABSENT,
+              [{"Category": "x", "Name": "a***b???  ", "UnitPrice": 0.335, "Quantity": 3, "Total": 1.0}]],
+    "VatSum": [2.88, "2.88", "x", 12345678.9, ABSENT],
+    "OFD": [GOOD["OFD"], {"Name": "x"}, ABSENT],
+    REGISTRATION_NUMBER: [123, "007", "12.5", "x", ABSENT],
+    FISCAL_SIGN: [9876543210, "99999999999999999999", ABSENT],
+}
+
+
+def random_receipts(seed, n):
+    rng = random.Random(seed)
+    for number in range(n):
+        fields = {**GOOD, "ReceiptNumber": number}
+        for name in DIRT:
+            if rng.random() < 0.25:
+                fields[name] = rng.choice(DIRT[name])
+        fields = {k: v for k, v in fields.items() if v is not ABSENT}
+        text = json.dumps(fields, ensure_ascii=False)
+        yield (text[: rng.randint(1, 60)], None) if rng.random() < 0.03 else (text, fields)
+
+
+def time_of(text):
+    for shape, fmt in SHAPES:
+        if text is not None and re.fullmatch(shape, text):
+            try:
+                return datetime.strptime(text, fmt)
+            except ValueError:
+                pass
+    return None
+
+
+def rate_of(fields):
+    if not fields.get("Items"):
+        return None
+    digits = re.search("[0-9]+", fields.get("VatRate") or "")
+    return f"{int(digits[0])}%" if digits and int(digits[0]) < 2**31 else None
+
+
+def usable(value, placeholder):
+    return value not in (None, "", placeholder)
+
+
+def checks_of(fields):
+    iin, total = fields.get("TaxPayerIIN"), fields.get("TotalSum")
+    return {
+        "bad_datetime": time_of(fields.get("DateTime")) is not None,
+        "bad_iin": None if iin is None else bool(re.fullmatch("[0-9]{12}", iin)),
+        "bad_address": usable(fields.get("Address"), "unknown"),
+        "bad_vat": rate_of(fields) is not None,
+        "bad_qr": usable(fields.get("QRCode"), "битый_qr_code"),
+        "total <= 0": None if total is None else total > 0,
+    }
+
+
+def reason_of(tests, mode):
+    if mode == "complete":
+        return "; ".join(code for code, ok in tests.items() if not ok)
+    failed = {code for code, ok in tests.items() if ok is False} - {"bad_address", "bad_qr"}
+    failed ^= {"bad_vat"}
+    return "; ".join(code for code in tests if code in failed)
+
+
+def cents(value):
+    try:
+        return Decimal(str(value)).quantize(Decimal("0.01"), ROUND_HALF_UP)
+    except ArithmeticError:
+        return None
+
+
+def whole(value):
+    text = re.fullmatch(r"(\d+)(\.\d*)?", str(value))
+    return int(text[1]) if text and int(text[1]) < 2**63 else None
+
+
+def clean_rows(fields):
+    ofd = fields.get("OFD") or {}
+    for item in fields["Items"]:
+        name = re.sub(r"!!!|\*\*\*|\?\?| +$", "", item["Name"])
+        yield {
+            "tax_payer_iin": fields["TaxPayerIIN"],
+            "kkt_registration_number": whole(fields.get(REGISTRATION_NUMBER)),
+            "receipt_number": fields["ReceiptNumber"],
+            "date_time": time_of(fields["DateTime"]),
+            "product_name": name,
+            "unit_price": cents(item["UnitPrice"]),
+            "quantity": item["Quantity"],
+            "total_sum": cents(fields["TotalSum"]),
+            "vat_rate": fields["VatRate"],
+            "vat_sum": cents(fields.get("VatSum")),
+            "fiscal_sign": whole(fields.get(FISCAL_SIGN)),
+            "ofd_name": ofd.get("Name", "unknown"),
+            "ofd_site": ofd.get("Site", "unknown"),
+            "address": fields["Address"],
+        }
+
+
+@pytest.fixture(scope="module", params=[1, 2])
+def sample(request, spark):
+    model = list(random_receipts(request.param, 1500))
+    return model, documents(spark, *[text for text, _ in model])
+
+
+def test_clean_items(sample):
+    model, docs = sample
+    expected = [
+        row for _, fields in model if fields and all(checks_of(fields).values())
+        for row in clean_rows(fields)
+    ]
+    assert len(expected) > 100
+    columns = sorted(expected[0])
+    got = O.clean_items(docs).select(*columns)
+    assert multiset(got) == sorted(repr(tuple(r[c] for c in columns)) for r in expected)
+
+
+@pytest.mark.parametrize("mode, on_null", [("reference", "drop"), ("complete", "error")])
+def test_error_reasons(sample, mode, on_null):
+    model, docs = sample
+    expected = []
+    for _, fields in model:
+        tests = checks_of(fields or {})
+        failed = False in tests.values() or (on_null == "error" and None in tests.values())
+        if failed:
+            expected.append((reason_of(tests, mode),))
+    got = O.error_feed(docs, mode, on_null).select("reason")
+    assert multiset(got) == sorted(map(repr, expected))
+
+
+def test_totals(sample):
+    model, docs = sample
+    expected = []
+    for _, fields in model:
+        items = (fields or {}).get("Items")
+        lines = [cents(Decimal(str(i["UnitPrice"])) * i["Quantity"]) for i in items or []]
+        total = None if items is None else sum(lines, Decimal("0.00"))
+        stated = (fields or {}).get("TotalSum")
+        due = Decimal("0.00")
+        if ((fields or {}).get("VatRate") or "").startswith("12"):
+            due = None if stated is None else cents(cents(stated) * Decimal("0.12"))
+        expected.append((total, due))
+    got = O.receipt_reconcile(parse_receipts(docs)).select("receipt_total", "vat_due")
+    rows = sorted(repr((r.receipt_total, r.vat_due)) for r in got.collect())
+    assert rows == sorted(map(repr, expected))
