@@ -14,7 +14,7 @@ DAY_FIRST = "d/M/yyyy H:m:s"
 
 def py_event_time(c) -> Column:
     """As ``event_time``, with one-digit parts; two-digit years 69-99 are 19xx."""
-    text = F.regexp_replace(_col(c), r"\s+", " ")
+    text = F.regexp_replace(_col(c), r"(?U)\s+", " ")
     year_first, short, day_first = [
         F.try_to_timestamp(text, F.lit(p)) for p in (YEAR_FIRST, SHORT_YEAR, DAY_FIRST)
     ]

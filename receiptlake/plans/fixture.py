@@ -73,8 +73,8 @@ _ITEM = (
 _ITEM_VAT = (
     "struct(CASE (l_partkey + l_linenumber) % 4 WHEN 0 THEN '012%' WHEN 1 THEN '0%' "
     "WHEN 2 THEN '' ELSE 'VAT' END AS Rate, "
-    "CASE (l_partkey + l_linenumber) % 4 "
-    "WHEN 0 THEN round(CAST(l_extendedprice AS DECIMAL(18,2)) * 0.12BD, 2) ELSE 0 END AS Sum) AS VAT"
+    "CASE (l_partkey + l_linenumber) % 4 WHEN 0 "
+    "THEN round(CAST(l_extendedprice AS DECIMAL(18,2)) * 0.12BD, 2) ELSE 0 END AS Sum) AS VAT"
 )
 
 

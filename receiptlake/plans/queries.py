@@ -167,23 +167,19 @@ def error_reasons_complete(spark, sf_dir):
     return feed.select("k", "reason")
 
 
-def _payload_fields(*names: str) -> list[Column]:
-    paths = {
-        "company_name": "$.CompanyName",
-        "iin": "$.TaxPayerIIN",
-        "date_text": "$.DateTime",
-        "vat_rate": "$.VatRate",
-        "payment": "$.Payment",
-        "ofd_name": "$.OFD.Name",
-        "address": "$.Address",
-        "qr_code": "$.QRCode",
-        "event_time": "$.DateTime_ts",
-    }
-    return [F.get_json_object("payload", paths[n]).alias(n) for n in names or paths]
-
-
 def error_payload(spark, sf_dir):
-    return O.error_feed(receipts(spark, sf_dir)).select("k", *_payload_fields())
+    """The payload's text fields, read back from its JSON."""
+    back = F.from_json(
+        "payload",
+        "CompanyName string, TaxPayerIIN string, DateTime string, VatRate string, "
+        "Payment string, OFD struct<Name: string>, Address string, QRCode string, "
+        "DateTime_ts string",
+    )
+    names = ["company_name", "iin", "date_text", "vat_rate", "payment", "ofd", "address",
+             "qr_code", "event_time"]
+    feed = O.error_feed(receipts(spark, sf_dir))
+    fields = feed.select("k", F.inline(F.array(back)).alias(*names))
+    return fields.withColumn("ofd_name", F.col("ofd.Name")).drop("ofd")
 
 
 def strip_marks(spark, sf_dir):
@@ -276,7 +272,9 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = decode_value(read_lines(spark, path, FILES_PER_TRIGGER))
     parts = F.split("json", "\t", 3)
     return lines.select(
-        parts[0].cast("bigint").alias("k"), parts[1].cast("int").alias("page"), parts[2].alias("json")
+        parts[0].cast("bigint").alias("k"),
+        parts[1].cast("int").alias("page"),
+        parts[2].alias("json"),
     )
 
 
@@ -330,9 +328,9 @@ def clean_and_errors_stream(spark, sf_dir):
         f"{base}/checkpoint",
         trigger=NOW,
     ).awaitTermination()
-    clean = spark.read.parquet(f"{base}/clean")
+    clean = spark.read.parquet(f"{base}/clean").withColumn("reason", F.lit(""))
     errors = spark.read.parquet(f"{base}/errors").filter("page = 0")
-    return clean.select("k", F.lit("clean").alias("destination"), F.lit("").alias("reason")).unionAll(
+    return clean.select("k", F.lit("clean").alias("destination"), "reason").unionAll(
         errors.select("k", F.lit("error").alias("destination"), "reason")
     )
 

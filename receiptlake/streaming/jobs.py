@@ -61,8 +61,10 @@ def run_clean_and_errors(
     """
     if carry is None:
         carry = [c for c in docs.columns if c != "json"]
-    source = docs.columns if keep_source else carry
-    checked = with_checks(with_event_time(parse_receipts(docs, keep_source=True)))
+    source = docs.columns if keep_source else list(carry)
+    needed = dict.fromkeys(["json", *source])
+    parsed = parse_receipts(docs.select(*needed), keep_source=True)
+    checked = with_checks(with_event_time(parsed if keep_source else parsed.drop("json")))
 
     def both(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)

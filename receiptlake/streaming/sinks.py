@@ -103,12 +103,15 @@ def path_sink(
 
 
 def clickhouse_options(url: str, dbtable: str, **more: str) -> dict[str, str]:
-    """JDBC options for the clean table. ``createTableOptions`` is used by Spark only if
-    the table does not exist yet."""
+    """JDBC options for the clean table: large inserts, since each becomes a part of the
+    table. ``createTableOptions`` is used by Spark only if the table does not exist yet.
+    Pass ``numPartitions`` to bound the connections of a batch."""
     return {
         "url": url,
         "dbtable": dbtable,
         "driver": "com.clickhouse.jdbc.ClickHouseDriver",
+        "batchsize": "100000",
+        "isolationLevel": "NONE",
         "createTableOptions": "ENGINE = MergeTree() PARTITION BY toYYYYMM(date_time) "
         "ORDER BY (date_time, tax_payer_iin, upload_time)",
         **more,
@@ -116,10 +119,11 @@ def clickhouse_options(url: str, dbtable: str, **more: str) -> dict[str, str]:
 
 
 def postgres_options(url: str, dbtable: str, **more: str) -> dict[str, str]:
-    """JDBC options for the error table; text is accepted by its JSONB column."""
+    """JDBC options for the error table; text is accepted by its JSONB column. Pass
+    ``numPartitions`` to bound the connections of a batch."""
     glue = "&" if "?" in url else "?"
     return {
-        "url": f"{url}{glue}stringtype=unspecified",
+        "url": f"{url}{glue}stringtype=unspecified&reWriteBatchedInserts=true",
         "dbtable": dbtable,
         "driver": "org.postgresql.Driver",
         **more,
