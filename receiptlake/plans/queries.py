@@ -35,6 +35,9 @@ from receiptlake.sources import (
 Query = Callable[[SparkSession, str], DataFrame]
 
 SCALARS = [f for f in ALL_FIELDS if f != "Items"]
+CHECKED_FIELDS = [
+    "TaxPayerIIN", "DateTime", "Items", "TotalSum", "VatRate", "Address", "QRCode"
+]
 
 
 def ntz(c) -> Column:
@@ -53,8 +56,8 @@ def parsed_pages(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
     return parse_receipts(docs, keep_source=True, fields=fields).drop("json")
 
 
-def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.with_checks(with_event_time(parsed(spark, sf_dir, *ALL_FIELDS)))
+def checked(spark: SparkSession, sf_dir: str, fields=CHECKED_FIELDS) -> DataFrame:
+    return O.with_checks(with_event_time(parsed(spark, sf_dir, *fields)))
 
 
 def field_query(field: str, name: str, check: Callable[[str], Column]) -> Query:
@@ -140,7 +143,8 @@ def clean_flag(spark, sf_dir):
 
 
 def clean_receipts(spark, sf_dir):
-    df = O.select_clean(O.clean(checked(spark, sf_dir)), keep=["k"]).drop("items", "ofd")
+    df = O.clean(checked(spark, sf_dir, ALL_FIELDS))
+    df = O.select_clean(df, keep=["k"]).drop("items", "ofd")
     return df.withColumns(
         {
             "event_time": ntz("event_time"),
@@ -159,12 +163,13 @@ def clean_items(spark, sf_dir):
 
 
 def error_reasons(spark, sf_dir):
-    return O.error_feed(receipts(spark, sf_dir)).select("k", "reason")
+    rejected = O.errors(checked(spark, sf_dir))
+    return rejected.select("k", O.reason().alias("reason"))
 
 
 def error_reasons_complete(spark, sf_dir):
-    feed = O.error_feed(receipts(spark, sf_dir), mode="complete", on_null="error")
-    return feed.select("k", "reason")
+    rejected = O.errors(checked(spark, sf_dir), on_null="error")
+    return rejected.select("k", O.reason("complete").alias("reason"))
 
 
 def error_payload(spark, sf_dir):
@@ -197,18 +202,21 @@ def ofd_defaults(spark, sf_dir):
 
 def numeric_typing(spark, sf_dir):
     fields = [REGISTRATION_NUMBER, "ReceiptNumber", "Items", "TotalSum", "VatSum", FISCAL_SIGN]
-    lines = parsed_pages(spark, sf_dir, *fields).withColumn("item", F.explode("Items"))
-    return lines.select(
+    typed = parsed_pages(spark, sf_dir, *fields).select(
         "k",
         R.whole(REGISTRATION_NUMBER).alias("registration_number"),
         F.col("ReceiptNumber").alias("receipt_number"),
         R.money("TotalSum").alias("total_sum"),
         R.money("VatSum").alias("vat_sum"),
         R.whole(FISCAL_SIGN).alias("fiscal_sign"),
+        F.col("Items").alias("items"),
+    )
+    return O.explode_items(typed).select(
+        "*",
         R.money("item.UnitPrice").alias("unit_price"),
         F.col("item.Quantity").cast("bigint").alias("quantity"),
         R.money("item.Total").alias("total_amount_by_position"),
-    )
+    ).drop("item")
 
 
 def line_totals(spark, sf_dir):

@@ -13,7 +13,8 @@ from receiptlake.sources import parse_receipts
 
 def test_counts(spark, sf_dir):
     df = checked(spark, sf_dir).select("is_clean", O.reason().alias("reason"), "Items")
-    rows = df.groupBy("is_clean", "reason").agg(F.count("*").alias("n"), F.sum(F.size("Items")).alias("lines")).collect()
+    counts = [F.count("*").alias("n"), F.sum(F.size("Items")).alias("lines")]
+    rows = df.groupBy("is_clean", "reason").agg(*counts).collect()
     assert sum(r.n for r in rows) == 15_000
     assert sum(r.n for r in rows if r.is_clean) == 2_658
     assert sum(r.lines for r in rows if r.is_clean) == 10_736
@@ -39,6 +40,13 @@ def test_narrow_documents_read_few_columns(spark, sf_small):
     assert "lineitem" not in plan and "customer" not in plan
 
 
+def test_only_small_scans_are_spread(spark, sf_small):
+    orders = fixture.table(spark, sf_small, "orders")
+    assert fixture.spread(orders).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(0, 100, 1, 50)
+    assert fixture.spread(many) is many
+
+
 @pytest.mark.parametrize("page_lines", [1, 2, 5])
 def test_pages_change_no_result(spark, sf_small, page_lines):
     """A receipt split into pages gives the same items and the same receipt row."""
