@@ -66,7 +66,7 @@ def type_receipts(df: DataFrame) -> DataFrame:
 
 
 def type_items(df: DataFrame, keep=()) -> DataFrame:
-    """Typed, exploded rows to the columns of the clean table."""
+    """Exploded rows, typed by ``type_receipts`` before, to the clean table's columns."""
     columns = {
         "date_time": F.col("event_time"),
         "category": F.col("item.Category"),

@@ -2,103 +2,80 @@
 
 from pyspark.sql import types as T
 
-# Field names and types of the receipt documents.
-ITEM = T.StructType(
-    [
-        T.StructField("Category", T.StringType()),
-        T.StructField("Name", T.StringType()),
-        T.StructField("UnitPrice", T.DoubleType()),
-        T.StructField("Quantity", T.IntegerType()),
-        T.StructField("Total", T.DoubleType()),
-    ]
-)
+_TEXT = T.StringType()
+_TIME = T.TimestampType()
+_LONG = T.LongType()
+_DOUBLE = T.DoubleType()
+_MONEY = T.DecimalType(18, 2)
+
+
+def _struct(fields: dict[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(name, type_) for name, type_ in fields.items()])
+
 
 FACTORY_NUMBER = "KKTFactorNumber (ЗНМ)"
 REGISTRATION_NUMBER = "KKTRegistrationNumber (РНМ)"
 FISCAL_SIGN = "FiscalSign (ФП)"
 
+# Names and types of the document fields, in order.
+_ITEM_FIELDS = {
+    "Category": _TEXT,
+    "Name": _TEXT,
+    "UnitPrice": _DOUBLE,
+    "Quantity": T.IntegerType(),
+    "Total": _DOUBLE,
+}
+_ITEM_VAT_FIELDS = {"Rate": _TEXT, "Sum": _DOUBLE}
+_RECEIPT_FIELDS = {
+    "CompanyName": _TEXT,
+    "TaxPayerIIN": _TEXT,
+    FACTORY_NUMBER: _TEXT,
+    REGISTRATION_NUMBER: _TEXT,
+    "ReceiptNumber": _LONG,
+    "DateTime": _TEXT,
+    "Items": T.ArrayType(_struct(_ITEM_FIELDS)),
+    "TotalSum": _DOUBLE,
+    "VatRate": _TEXT,
+    "VatSum": _TEXT,
+    "Payment": _TEXT,
+    FISCAL_SIGN: _TEXT,
+    "OFD": _struct({"Name": _TEXT, "Site": _TEXT}),
+    "Address": _TEXT,
+    "QRCode": _TEXT,
+}
 
-def receipt_schema(item: T.StructType = ITEM) -> T.StructType:
-    return T.StructType(
-        [
-            T.StructField("CompanyName", T.StringType()),
-            T.StructField("TaxPayerIIN", T.StringType()),
-            T.StructField(FACTORY_NUMBER, T.StringType()),
-            T.StructField(REGISTRATION_NUMBER, T.StringType()),
-            T.StructField("ReceiptNumber", T.LongType()),
-            T.StructField("DateTime", T.StringType()),
-            T.StructField("Items", T.ArrayType(item)),
-            T.StructField("TotalSum", T.DoubleType()),
-            T.StructField("VatRate", T.StringType()),
-            T.StructField("VatSum", T.StringType()),
-            T.StructField("Payment", T.StringType()),
-            T.StructField(FISCAL_SIGN, T.StringType()),
-            T.StructField(
-                "OFD",
-                T.StructType(
-                    [
-                        T.StructField("Name", T.StringType()),
-                        T.StructField("Site", T.StringType()),
-                    ]
-                ),
-            ),
-            T.StructField("Address", T.StringType()),
-            T.StructField("QRCode", T.StringType()),
-        ]
-    )
+# Names and types of the clean line-item table, in order.
+_CLEAN_FIELDS = {
+    "upload_time": _TIME,
+    "company_name": _TEXT,
+    "tax_payer_iin": _TEXT,
+    "kkt_factor_number": _TEXT,
+    "kkt_registration_number": _LONG,
+    "receipt_number": _LONG,
+    "date_time": _TIME,
+    "category": _TEXT,
+    "product_name": _TEXT,
+    "unit_price": _MONEY,
+    "quantity": _LONG,
+    "total_amount_by_position": _MONEY,
+    "total_sum": _MONEY,
+    "vat_rate": _TEXT,
+    "vat_sum": _MONEY,
+    "payment": _TEXT,
+    "fiscal_sign": _LONG,
+    "ofd_name": _TEXT,
+    "ofd_site": _TEXT,
+    "address": _TEXT,
+    "qr_code": _TEXT,
+}
 
-
-RECEIPT = receipt_schema()
+RECEIPT = _struct(_RECEIPT_FIELDS)
+CLEAN = _struct(_CLEAN_FIELDS)
+ERROR = _struct({"ts": _TIME, "reason": _TEXT, "payload": _TEXT})
 
 # The older document shape: every item carries its own VAT.
-ITEM_WITH_VAT = T.StructType(
-    ITEM.fields
-    + [
-        T.StructField(
-            "VAT",
-            T.StructType(
-                [T.StructField("Rate", T.StringType()), T.StructField("Sum", T.DoubleType())]
-            ),
-        )
-    ]
-)
-RECEIPT_WITH_ITEM_VAT = receipt_schema(ITEM_WITH_VAT)
+_OLD_ITEM = _struct({**_ITEM_FIELDS, "VAT": _struct(_ITEM_VAT_FIELDS)})
+RECEIPT_WITH_ITEM_VAT = _struct({**_RECEIPT_FIELDS, "Items": T.ArrayType(_OLD_ITEM)})
 
 # What an error payload holds: the parsed document and its event time.
 PAYLOAD_COLUMNS = RECEIPT.names + ["DateTime_ts"]
-
-# Columns of the clean line-item table, in order.
-_MONEY = T.DecimalType(18, 2)
-CLEAN = T.StructType(
-    [
-        T.StructField("upload_time", T.TimestampType()),
-        T.StructField("company_name", T.StringType()),
-        T.StructField("tax_payer_iin", T.StringType()),
-        T.StructField("kkt_factor_number", T.StringType()),
-        T.StructField("kkt_registration_number", T.LongType()),
-        T.StructField("receipt_number", T.LongType()),
-        T.StructField("date_time", T.TimestampType()),
-        T.StructField("category", T.StringType()),
-        T.StructField("product_name", T.StringType()),
-        T.StructField("unit_price", _MONEY),
-        T.StructField("quantity", T.LongType()),
-        T.StructField("total_amount_by_position", _MONEY),
-        T.StructField("total_sum", _MONEY),
-        T.StructField("vat_rate", T.StringType()),
-        T.StructField("vat_sum", _MONEY),
-        T.StructField("payment", T.StringType()),
-        T.StructField("fiscal_sign", T.LongType()),
-        T.StructField("ofd_name", T.StringType()),
-        T.StructField("ofd_site", T.StringType()),
-        T.StructField("address", T.StringType()),
-        T.StructField("qr_code", T.StringType()),
-    ]
-)
-
-ERROR = T.StructType(
-    [
-        T.StructField("ts", T.TimestampType()),
-        T.StructField("reason", T.StringType()),
-        T.StructField("payload", T.StringType()),
-    ]
-)

@@ -80,8 +80,8 @@ def write_clean_layout(df: DataFrame, path: str, mode: str = "overwrite") -> Non
     """Clean rows in monthly partitions, each file ordered by (date_time, tax_payer_iin,
     upload_time).
 
-    ``rebalance`` brings a month together but lets the runtime split a month too large
-    for one task and merge small ones. The month leads the sort, because the writer
+    ``rebalance`` brings a month together but lets adaptive execution split a month too
+    large for one task and merge small ones. The month leads the sort, because the writer
     would sort again, and lose the order, if the rows were not in month order.
     """
     order = ["date_time", "tax_payer_iin", "upload_time"]

@@ -11,8 +11,12 @@ from receiptlake.schema import CLEAN, ERROR, PAYLOAD_COLUMNS, RECEIPT_WITH_ITEM_
 from receiptlake.sources import parse_receipts, with_event_time
 
 
+def checked_docs(docs):
+    return O.with_checks(with_event_time(parse_receipts(docs)))
+
+
 def checked(spark, *texts):
-    return O.with_checks(with_event_time(parse_receipts(documents(spark, *texts))))
+    return checked_docs(documents(spark, *texts))
 
 
 def names_and_types(schema):
@@ -37,6 +41,15 @@ def test_clean_values(spark):
     assert first.upload_time is not None
 
 
+def test_steps_equal_the_job(spark):
+    docs = documents(spark, receipt(), receipt(OFD=None, VatSum="x"))
+    receipts = O.with_upload_time(O.select_clean(O.clean(checked_docs(docs))))
+    steps = O.type_items(O.explode_items(O.type_receipts(receipts)))
+    job = O.clean_items(docs)
+    assert steps.columns == job.columns
+    assert steps.drop("upload_time").exceptAll(job.drop("upload_time")).count() == 0
+
+
 def test_raw_rate_and_defaults(spark):
     [a, _] = O.clean_items(documents(spark, receipt(VatRate="НДС 012", OFD=None))).collect()
     assert (a.vat_rate, a.ofd_name, a.ofd_site) == ("НДС 012", "unknown", "unknown")
