@@ -197,8 +197,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "error_payload": _c(
             """SELECT k, company_name, iin, date_text, vat_rate, payment, ofd_name, address,
-              qr_code,
-              strftime(event_time, '%Y-%m-%dT%H:%M:%S.000Z') AS event_time
+              qr_code, event_time
             FROM c WHERE NOT is_clean"""
         ),
         "strip_marks": _r(

@@ -184,6 +184,7 @@ def error_payload(spark, sf_dir):
              "qr_code", "event_time"]
     feed = O.error_feed(receipts(spark, sf_dir))
     fields = feed.select("k", F.inline(F.array(back)).alias(*names))
+    fields = fields.withColumn("event_time", ntz(F.col("event_time").try_cast("timestamp")))
     return fields.withColumn("ofd_name", F.col("ofd.Name")).drop("ofd")
 
 
