@@ -258,7 +258,7 @@ def ofd_site(spark, sf_dir):
 
 def receipt_reconcile(spark, sf_dir):
     pages = parsed_pages(spark, sf_dir, "Items", "TotalSum", "VatRate", "VatSum", "OFD")
-    done = O.receipt_reconcile(pages).withColumn("n", F.size("lines").cast("bigint"))
+    done = O.receipt_reconcile(pages).withColumn("n", F.array_size("lines").cast("bigint"))
     totals = done.groupBy("k").agg(
         F.sum("n").alias("lines"),
         R.money(F.sum("receipt_total")).alias("receipt_total"),
