@@ -168,7 +168,8 @@ def oracle_sql() -> dict[str, str]:
         "sse_decode": _r(f"SELECT {_DECODED} FROM r WHERE NOT broken"),
         "catalogue_flatten": """
             SELECT p_partkey AS k, p_type AS category, 0 AS pos, p_name AS product FROM part
-            UNION ALL SELECT p_partkey, p_type, 1, p_brand FROM part""",
+            WHERE p_type IS NOT NULL
+            UNION ALL SELECT p_partkey, p_type, 1, p_brand FROM part WHERE p_type IS NOT NULL""",
         "event_time": _r("SELECT k, event_time FROM r"),
         "year_month": _r("SELECT k, strftime(event_time, '%Y-%m') AS year_month FROM r"),
         "iin_check": _r(r"SELECT k, regexp_matches(iin, '^\d{12}$') AS iin_valid FROM r"),

@@ -12,17 +12,14 @@ from pyspark.sql import functions as F
 from receiptlake import functions as R
 from receiptlake import operators as O
 from receiptlake import streaming as S
-from receiptlake.plans.fixture import (
-    ALL_FIELDS,
-    documents,
-    item_documents,
-    receipts,
-    spread,
-    table,
-)
+from receiptlake.plans.fixture import ALL_FIELDS, item_documents, receipts, spread, table
 from receiptlake.plans.staging import scratch_dir, staged_documents
-from receiptlake.schema import FACTORY_NUMBER, FISCAL_SIGN, RECEIPT_WITH_ITEM_VAT
-from receiptlake.schema import REGISTRATION_NUMBER
+from receiptlake.schema import (
+    FACTORY_NUMBER,
+    FISCAL_SIGN,
+    RECEIPT_WITH_ITEM_VAT,
+    REGISTRATION_NUMBER,
+)
 from receiptlake.sources import (
     decode_sse_lines,
     decode_value,
@@ -232,18 +229,14 @@ def line_totals(spark, sf_dir):
     )
 
 
-def _over_pages(df: DataFrame, *firsts: str) -> DataFrame:
-    """Add up the page totals of a receipt; nearly all have one page."""
-    return df.groupBy("k").agg(
-        R.money(F.sum("receipt_total")).alias("receipt_total"),
-        *[F.max(c).alias(c) for c in firsts],
-    )
-
-
 def receipt_totals(spark, sf_dir):
+    """Page totals are added up; nearly all receipts have one page."""
     pages = O.receipt_totals(parsed_pages(spark, sf_dir, "Items", "TotalSum"))
-    totals = _over_pages(pages, "TotalSum")
-    diff = R.money(F.try_subtract(R.money("TotalSum"), F.col("receipt_total")))
+    totals = pages.groupBy("k").agg(
+        R.money(F.sum("receipt_total")).alias("receipt_total"),
+        R.money(F.max("TotalSum")).alias("stated"),
+    )
+    diff = R.money(F.try_subtract("stated", "receipt_total"))
     return totals.select("k", "receipt_total", diff.alias("receipt_diff"))
 
 
