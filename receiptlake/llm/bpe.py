@@ -16,7 +16,7 @@ are encoded row by row, and texts of any length are handled whole.
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from receiptlake.llm.common import short_batches
+
 # The byte-level split pattern and special token of the vocabulary.
 PATTERN = (
     r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -64,7 +66,7 @@ def _bytes_of_letters() -> dict[str, int]:
 class ChunkCoder:
     """``remember`` bounds the chunks kept between texts."""
 
-    def __init__(self, path: str, remember: int = 12_000):
+    def __init__(self, path: str, remember: int = 6_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -159,21 +161,37 @@ def coder(path: str | None) -> ChunkCoder:
     return ChunkCoder(path)
 
 
+def _ids(texts: Iterable[str], path: str | None) -> list[bytes]:
+    encode = coder(path).encode
+    return [np.asarray(encode(t), dtype="<u4").tobytes() for t in texts]
+
+
+def _decoded(ids: Iterable[bytes | None], path: str | None) -> list[str]:
+    decode = coder(path).decode
+    return [decode(np.frombuffer(b or b"", dtype="<u4").tolist()) for b in ids]
+
+
 def encode_documents(
-    docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    path: str | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    decode: bool = False,
 ) -> DataFrame:
-    """Columns ``id_col`` and ids (binary, little-endian unsigned 32-bit integers)."""
+    """Columns ``id_col`` and ids (binary, little-endian unsigned 32-bit integers); with
+    ``decode`` also decoded, the text these ids decode to, in the same pass."""
 
-    @F.pandas_udf("binary")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = coder(path).encode
+    @F.pandas_udf("ids binary, decoded string" if decode else "ids binary")
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.Series(
-                [np.asarray(encode(t), dtype="<u4").tobytes() for t in batch], dtype=object
-            )
+            out = {"ids": _ids(batch, path)}
+            if decode:
+                out["decoded"] = _decoded(out["ids"], path)
+            yield pd.DataFrame(out, dtype=object)
 
     text = F.coalesce(F.col(text_col), F.lit("")).alias("__text")
-    return docs.select(F.col(id_col), text).select(id_col, ids("__text").alias("ids"))
+    rows = short_batches(docs).select(F.col(id_col), text)
+    return rows.select(id_col, coded("__text").alias("__coded")).select(id_col, "__coded.*")
 
 
 def decode_ids(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
@@ -181,20 +199,15 @@ def decode_ids(encoded: DataFrame, path: str | None = None, ids_col: str = "ids"
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        decode = coder(path).decode
         for batch in batches:
-            yield pd.Series(
-                [decode(np.frombuffer(b or b"", dtype="<u4").tolist()) for b in batch],
-                dtype=object,
-            )
+            yield pd.Series(_decoded(batch, path), dtype=object)
 
-    return encoded.withColumn("decoded", text(ids_col))
+    return short_batches(encoded).withColumn("decoded", text(ids_col))
 
 
 def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id") -> DataFrame:
     """Columns ``id_col``, n_tokens, ids_sha256 and decoded_sha256."""
-    coded = decode_ids(encode_documents(docs, path, id_col), path)
-    return coded.select(
+    return encode_documents(docs, path, id_col, decode=True).select(
         id_col,
         F.expr("bigint(octet_length(ids) / 4)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -41,3 +41,13 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(_shared_root(spark))
     return df.checkpoint()
+
+
+def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Let the session hand Python at most ``rows`` rows at a time, since a batch of the
+    usual 10,000 long texts may not fit beside the others. A lower setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= rows:
+        conf.set(name, str(rows))
+    return df

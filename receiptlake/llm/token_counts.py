@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from receiptlake.llm.common import short_batches
+
 WORD_START = "▁"
 _SPACED = re.compile(" +[^ ]*")
 _SLICE_CHARS = 4_000_000
@@ -121,7 +123,7 @@ def token_counts(
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     return (
-        docs.select(F.col(id_col), text.alias("__text"))
+        short_batches(docs).select(F.col(id_col), text.alias("__text"))
         .select(id_col, F.octet_length("__text").cast("bigint").alias("n_bytes"), tokens("__text").alias("n_tokens"))
         .withColumn("over_limit", F.col("n_tokens") > limit)
     )
