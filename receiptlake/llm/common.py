@@ -1,7 +1,10 @@
 """Reading the tables, shared scratch space, and small helpers of the operators."""
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,11 +46,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_sent: set[str] = set()
+
+
 def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """Let the session hand Python at most ``rows`` rows at a time, since a batch of the
-    usual 10,000 long texts may not fit beside the others. A lower setting stays."""
+    """Get a session ready for the Python of these operators: the package is sent to the
+    executors, and Python gets at most ``rows`` rows at a time, since a batch of the usual
+    10,000 long texts may not fit beside the others. A lower setting stays."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.applicationId not in _sent:
+        context.addPyFile(_zipped())
+        _sent.add(context.applicationId)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(name, "10000")) <= rows:
-        conf.set(name, str(rows))
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
     return df
+
+
+def _zipped() -> str:
+    """The package as a file for ``addPyFile``, which the driver serves to the executors."""
+    package = Path(__file__).resolve().parent.parent
+    path = os.path.realpath(tempfile.mkdtemp(prefix="receiptlake-")) + "/receiptlake.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    return path

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from receiptlake.llm import bpe, licenses, mixing, secret_scan, token_counts
+from receiptlake.llm import bpe, licenses, mixing, page_text, secret_scan, token_counts
 from receiptlake.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", digest, "spans", "n_random")
 
 
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.page_texts(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
