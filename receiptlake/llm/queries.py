@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from receiptlake.llm import bpe, licenses, mixing, page_text, secret_scan, token_counts
+from receiptlake.llm import bpe, fingerprints, licenses, mixing, page_text, secret_scan, token_counts
 from receiptlake.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_test(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"))
     return mixed.select("doc_id", "source", "n_chars", "n_copies", "copy")
