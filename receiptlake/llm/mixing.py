@@ -122,16 +122,16 @@ WITH sizes AS (
 ), lists AS (
   SELECT source, list(c) AS c FROM cdf GROUP BY source
 ), drawn AS (
-  SELECT d.doc_id, d.source, d.n_chars, l.c,
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.c,
          (('0x' || substr(md5('0|' || j || '|' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5)
            / 4503599627370496.0 AS u
   FROM documents d
   JOIN parts p ON d.source IS NOT DISTINCT FROM p.source
   JOIN lists l ON d.source IS NOT DISTINCT FROM l.source, range(1, p.parts + 1) s(j)
 ), counts AS (
-  SELECT doc_id, source, n_chars, sum(len(list_filter(c, lambda x: x <= u)))::INT AS n_copies
+  SELECT doc_id, text, lang, source, n_chars, sum(len(list_filter(c, lambda x: x <= u)))::INT AS n_copies
   FROM drawn GROUP BY ALL
 )
-SELECT doc_id, source, n_chars, n_copies, copy::INT AS copy
+SELECT doc_id, text, lang, source, n_chars, n_copies, copy::INT AS copy
 FROM counts, range(1, n_copies + 1) r(copy)
 """

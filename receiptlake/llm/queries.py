@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from receiptlake.llm import bpe, fingerprints, licenses, mixing, page_text, secret_scan, token_counts
+from receiptlake.llm import bpe, fingerprints, licenses, mixing, page_text, secret_scan, token_counts, toxicity
 from receiptlake.llm.common import table
 
 
@@ -17,6 +17,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out")
+    return toxicity.toxicity(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -26,8 +33,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"))
-    return mixed.select("doc_id", "source", "n_chars", "n_copies", "copy")
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
