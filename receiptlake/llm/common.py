@@ -38,12 +38,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{_shared_root(spark)}/receiptlake-{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a DataFrame to the shared checkpoint folder and go on from there."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(_shared_root(spark))
-    return df.checkpoint()
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write a DataFrame as a table in the shared folder and go on from there, so that a
+    lost executor costs no more than the step it worked on."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _sent: set[str] = set()
