@@ -33,7 +33,7 @@ BITS = 20
 WINDOW = 120
 LEAN = 5.0  # of the bias towards clean, before training
 # Bounds of the training sample: clean rows, toxic rows, and characters of a row.
-SAMPLE_ROWS = (5000, 2500)
+SAMPLE_ROWS = (4000, 2000)
 SAMPLE_CHARS = 20_000
 PASSAGE = 100  # words of a training passage, about
 
@@ -104,6 +104,12 @@ def bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     return list(zip(split, np.split(sums, cuts), strict=True))
 
 
+def in_parts(function, texts: list[str | None], size: int = 100):
+    """Results of a function of texts, made for a few of them at a time to save memory."""
+    for start in range(0, len(texts), size):
+        yield from function(texts[start : start + size])
+
+
 def train(
     texts: list[str | None],
     labels: list[int],
@@ -120,11 +126,14 @@ def train(
     ``least_rows`` texts are left out.""" 
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, dtype=np.int64)
-    rows = bags(texts)
     used = np.zeros(1 << BITS, np.int32)
-    for bucket, _ in rows:
+    for bucket, _ in in_parts(bags, texts):
         used[bucket] += 1
-    rows = [(b[k], w[k]) for b, w in rows for k in [used[b] >= least_rows]]
+    rows = [
+        (b[k].astype(np.int32), w[k].astype(np.float16))
+        for b, w in in_parts(bags, texts)
+        for k in [used[b] >= least_rows]
+    ]
     counts = np.bincount(y, minlength=2)
     importance = (len(y) / 2 / np.maximum(counts, 1))[y].astype(np.float32)
     vectors = rng.normal(0, 0.1, (1 << BITS, dimensions)).astype(np.float32)
@@ -139,7 +148,7 @@ def train(
         for start in range(0, len(y), batch):
             chosen = order[start : start + batch]
             bucket = np.concatenate([rows[i][0] for i in chosen])
-            weight = np.concatenate([rows[i][1] for i in chosen])
+            weight = np.concatenate([rows[i][1] for i in chosen]).astype(np.float32)
             owner = np.repeat(np.arange(len(chosen)), [len(rows[i][0]) for i in chosen])
             bag = np.zeros((len(chosen), dimensions), np.float32)
             scaled = vectors[bucket] * weight[:, None]
@@ -199,7 +208,8 @@ class Model:
     shift: float
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        means = [worst_mean(w, self.level) for w in word_numbers(self.numbers, texts)]
+        words = in_parts(lambda some: word_numbers(self.numbers, some), texts)
+        means = [worst_mean(w, self.level) for w in words]
         return 1 / (1 + np.exp(-np.clip(self.slope * np.array(means) + self.shift, -30, 30)))
 
 
@@ -210,7 +220,7 @@ def constant(score: float) -> Model:
 def calibrated(numbers: np.ndarray, texts: list[str], labels: list[int]) -> Model:
     """The level under which the labels are likeliest, with logistic slope and shift."""
     y = np.asarray(labels, dtype=np.float64)
-    words = word_numbers(numbers, texts)
+    words = list(in_parts(lambda some: word_numbers(numbers, some), texts))
     every = np.abs(np.concatenate(words)) if words else np.zeros(1)
     best = None
     for share in (0, 0.5, 0.8, 0.9, 0.95, 0.97, 0.98, 0.985, 0.99, 0.993, 0.995):
@@ -273,9 +283,7 @@ def toxicity(
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                texts = batch.tolist()
-                out = [sent.value.scores(texts[n : n + 100]) for n in range(0, len(texts), 100)]
-                yield pd.Series(np.concatenate(out) if out else np.empty(0))
+                yield pd.Series(sent.value.scores(batch.tolist()))
 
     return short_batches(docs).withColumn("score", score(text_col)).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int")
