@@ -152,7 +152,7 @@ def edit_test(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     spark = docs.sparkSession
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("key")
     rows = short_batches(docs).select(
-        key, F.col(id_col).cast("bigint").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")
+        key, F.col(id_col).cast("string").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")
     )
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = [n / ranges for n in range(1, ranges)] or [0.5]
@@ -175,9 +175,9 @@ def edit_test(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         .repartitionById(size, F.col("part"))
         .sortWithinPartitions("part", "halo", "key", "text")
     )
-    schema = "id bigint, n_chars bigint, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "id string, n_chars bigint, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return dealt.mapInPandas(_compared, schema).select(
-        F.col("id").alias(id_col),
+        F.col("id").cast("bigint").alias(id_col),
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         "fingerprint",

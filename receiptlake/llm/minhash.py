@@ -163,10 +163,10 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """Columns id, class, n (shingles in the bag), bands and shingles."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = short_batches(docs).select(
-        F.col(id_col).cast("bigint").alias("id"), _class(text_col).alias("class"), text.alias("text")
+        F.col(id_col).cast("string").alias("id"), _class(text_col).alias("class"), text.alias("text")
     )
-    schema = "id bigint, class binary, n bigint, bands array<bigint>, shingles array<int>"
-    return rows.mapInPandas(_signed, schema)
+    schema = "id string, class binary, n bigint, bands array<bigint>, shingles array<int>"
+    return rows.mapInPandas(_signed, schema).withColumn("id", F.col("id").cast("bigint"))
 
 
 def _sized(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:

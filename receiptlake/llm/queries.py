@@ -5,7 +5,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from receiptlake.llm import bpe, fingerprints, licenses, mixing, page_text, secret_scan, token_counts, toxicity
+from receiptlake.llm import (
+    bpe,
+    embeddings,
+    fingerprints,
+    licenses,
+    minhash,
+    mixing,
+    page_text,
+    secret_scan,
+    token_counts,
+    toxicity,
+)
 from receiptlake.llm.common import table
 
 
@@ -36,6 +47,15 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "group_id", "kept")
+
+
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secret_spans(table(spark, sf_dir, "documents"))
     digest = F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256")
@@ -51,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.ORACLE_SQL}
+    return {"op6_mixing": mixing.ORACLE_SQL, "op8_embeddings": embeddings.ORACLE_SQL}
