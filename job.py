@@ -7,7 +7,8 @@
 Each destination that is named gets its part; clean items and errors share one read of
 the topic if both are. A JDBC file holds the writer's options, among them url, dbtable,
 driver, user and password. ``--lines`` replays a directory of JSON lines instead of a
-topic, and ``--once`` stops when the input is used up.
+topic, ``--sse-lines`` one of captured event-stream lines, ``--publish`` sends the parsed
+receipts on to a topic, and ``--once`` stops when the input is used up.
 """
 
 import argparse
@@ -20,7 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from receiptlake import streaming as S  # noqa: E402
-from receiptlake.sources import decode_value, read_lines, read_topic  # noqa: E402
+from receiptlake.sources import (  # noqa: E402
+    decode_sse_lines,
+    decode_value,
+    parse_receipts,
+    read_lines,
+    read_topic,
+)
 
 
 def arguments(argv=None) -> argparse.Namespace:
@@ -31,6 +38,9 @@ def arguments(argv=None) -> argparse.Namespace:
     parser.add_argument("--min-partitions", type=int)
     parser.add_argument("--max-offsets", type=int, help="bound of a batch")
     parser.add_argument("--lines", help="directory of JSON lines instead of a topic")
+    parser.add_argument("--sse-lines", help="directory of captured event-stream lines instead")
+    parser.add_argument("--publish", metavar="TOPIC", help="publish parsed receipts to a topic")
+    parser.add_argument("--publish-servers", help="brokers of that topic, if not --servers")
     parser.add_argument("--max-files", type=int, help="bound of a batch with --lines")
     parser.add_argument("--checkpoints", required=True)
     parser.add_argument("--raw-path")
@@ -45,14 +55,16 @@ def arguments(argv=None) -> argparse.Namespace:
     parser.add_argument("--keep-source", action="store_true")
     parser.add_argument("--once", action="store_true")
     args = parser.parse_args(argv)
-    if not args.lines and not (args.servers and args.topic):
-        parser.error("name a topic (--servers, --topic) or --lines")
+    if not args.lines and not args.sse_lines and not (args.servers and args.topic):
+        parser.error("name a topic (--servers, --topic), --lines or --sse-lines")
     if (args.clean_path or args.errors_path) and not args.stream_id:
         parser.error("--clean-path and --errors-path need --stream-id")
     return args
 
 
 def source(spark: SparkSession, args: argparse.Namespace, keep_source: bool) -> DataFrame:
+    if args.sse_lines:
+        return decode_sse_lines(read_lines(spark, args.sse_lines, args.max_files))
     if args.lines:
         records = read_lines(spark, args.lines, args.max_files)
     else:
@@ -67,6 +79,10 @@ def source(spark: SparkSession, args: argparse.Namespace, keep_source: bool) ->
     return decode_value(records, keep_source)
 
 
+def published(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    return parse_receipts(source(spark, args, False))
+
+
 def sink(path: str | None, jdbc: str | None, stream_id: str | None, write=S.write_parquet):
     if path:
         return S.path_sink(path, stream_id, write)
@@ -90,6 +106,16 @@ def start(spark: SparkSession, args: argparse.Namespace) -> list:
                 docs, args.raw_path, checkpoint, args.keep_source, gather=args.gather, **options
             )
         )
+    if args.publish:
+        started.append(
+            S.start_topic(
+                published(spark, args),
+                args.publish_servers or args.servers,
+                args.publish,
+                f"{args.checkpoints}/publish",
+                **options,
+            )
+        )
     docs = source(spark, args, args.keep_source and bool(errors))
     if clean and errors:
         checkpoint = f"{args.checkpoints}/clean-errors"

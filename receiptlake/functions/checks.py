@@ -22,7 +22,9 @@ def _col(c) -> Column:
 
 def by_separator(c: Column, comma: Column, dot: Column, slash: Column) -> Column:
     """Choose among parses of the three layouts. A text can only fit the layout whose
-    separator it holds, so this equals trying one after the other, at one parse a row."""
+    separator it holds, so this equals trying one after the other, at one parse for each
+    time it is evaluated: the flagship filters by the time and projects it, so a row that is
+    clean is parsed twice."""
     return F.when(c.contains(","), comma).when(c.contains("."), dot).otherwise(slash)
 
 

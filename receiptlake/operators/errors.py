@@ -25,6 +25,7 @@ def reason(mode: str = "reference") -> Column:
     for address and QR code, and no code for an unknown IIN or total. ``"complete"``
     names every check that does not hold.
     """
+    # The codes, in order.
     vat_known = F.col("vat_valid").isNotNull()
     if mode == "reference":
         failing = {

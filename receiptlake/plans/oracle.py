@@ -18,21 +18,34 @@ h AS (
 f AS (
   SELECT k, broken, ts,
     c_name AS company_name,
-    CASE WHEN k % 53 = 0 THEN NULL WHEN k % 5 = 1 THEN cust11
-         WHEN k % 5 = 2 THEN cust12 || 'x' ELSE cust12 END AS iin,
+    CASE WHEN k % 53 = 0 THEN NULL
+         WHEN k % 59 = 1 THEN translate(cust12, '0123456789', '٠١٢٣٤٥٦٧٨٩')
+         WHEN k % 5 = 1 THEN cust11 WHEN k % 5 = 2 THEN cust12 || 'x' ELSE cust12 END AS iin,
     chr(CAST(65 + k % 26 AS INTEGER)) || lpad(CAST(k AS VARCHAR), 9, '0') AS factory_number,
-    (k * 104729) % 1000000000000 AS registration_number,
-    k % 999999 + 1 AS receipt_number,
+    CASE WHEN k % 71 = 0 THEN '12.5' WHEN k % 67 = 0 THEN 'x12'
+         WHEN k % 73 = 0 THEN '99999999999999999999'
+         ELSE CAST((k * 104729) % 1000000000000 AS VARCHAR) END AS registration_text,
+    CASE WHEN k % 71 = 0 THEN 12 WHEN k % 67 = 0 OR k % 73 = 0 THEN NULL
+         ELSE (k * 104729) % 1000000000000 END AS registration_number,
+    CASE WHEN k % 79 <> 0 THEN k % 999999 + 1 END AS receipt_number,
     CASE WHEN k % 59 = 0 THEN NULL WHEN k % 47 = 0 THEN 'not a date'
+         WHEN k % 37 = 0 THEN strftime(ts, '%-d/%-m/%Y %-H:%-M:%-S')
+         WHEN k % 53 = 1 THEN strftime(ts - INTERVAL 55 YEAR, '%d.%m.%y %H:%M')
          WHEN k % 3 = 0 THEN strftime(ts, '%Y-%m-%d, %H:%M:%S')
          WHEN k % 3 = 1 THEN strftime(ts, '%d.%m.%y %H:%M')
          ELSE strftime(ts, '%d/%m/%Y %H:%M:%S') END AS date_text,
     CASE WHEN k % 59 = 0 OR k % 47 = 0 THEN NULL
+         WHEN k % 37 = 0 THEN CASE WHEN length(date_text) = 19 THEN ts END
+         WHEN k % 53 = 1
+         THEN date_trunc('minute', ts - INTERVAL 55 YEAR) + INTERVAL 100 YEAR
          WHEN k % 3 = 1 THEN date_trunc('minute', ts) ELSE ts END AS event_time,
-    CASE WHEN k % 61 = 0 THEN NULL WHEN k % 29 = 0 THEN 0
+    CASE WHEN k % 61 = 0 OR k % 83 = 0 THEN NULL WHEN k % 29 = 0 THEN 0
          WHEN k % 31 = 0 THEN -price ELSE price END AS total_sum,
-    CASE k % 4 WHEN 0 THEN '12%' WHEN 1 THEN '0%' WHEN 2 THEN '' ELSE 'VAT 5' END AS vat_rate,
-    CAST(CAST(price AS DECIMAL(18,2)) * 0.12 AS DECIMAL(18,2)) AS vat_sum,
+    CASE WHEN k % 44 = 4 THEN '012%' WHEN k % 44 = 8 THEN '12.5%'
+         WHEN k % 44 = 12 THEN '99999999999%' WHEN k % 4 = 0 THEN '12%'
+         WHEN k % 4 = 1 THEN '0%' WHEN k % 4 = 2 THEN '' ELSE 'VAT 5' END AS vat_rate,
+    CASE WHEN k % 101 <> 0
+         THEN CAST(CAST(price AS DECIMAL(18,2)) * 0.12 AS DECIMAL(18,2)) END AS vat_sum,
     CASE k % 3 WHEN 0 THEN 'Cash' WHEN 1 THEN 'Card' ELSE 'QR' END AS payment,
     (k * 15485863) % 10000000000 AS fiscal_sign,
     CASE WHEN k % 41 = 0 THEN NULL WHEN k % 2 = 0 THEN 'АО Казахтелеком'
@@ -40,6 +53,7 @@ f AS (
     CASE WHEN k % 41 = 0 THEN NULL WHEN k % 2 = 0 THEN 'https://ofd.telecom.kz'
          ELSE 'https://ofd.ttc.kz' END AS ofd_site,
     CASE WHEN k % 6 = 1 THEN 'unknown' WHEN k % 6 = 2 THEN ''
+         WHEN k % 6 = 3 THEN ' ' || n_name || chr(9) || ', ' || c_mktsegment
          ELSE n_name || ', ' || c_mktsegment END AS address,
     CASE WHEN k % 7 = 1 THEN '' WHEN k % 7 = 2 THEN 'битый_qr_code'
          ELSE 'QR' || lpad(CAST(k AS VARCHAR), 22, '0') END AS qr_code
@@ -54,23 +68,35 @@ r AS (
 ),
 i AS (
   SELECT l_orderkey AS k, l_linenumber, l_partkey, l_suppkey, p_type AS category,
-         p_name || CASE (l_partkey + l_linenumber) % 8 WHEN 0 THEN '!!!' WHEN 1 THEN '***'
-                        WHEN 2 THEN '??' WHEN 3 THEN ' ' ELSE '' END AS name,
+         CASE (l_partkey + l_linenumber) % 8 WHEN 0 THEN p_name || '!!!'
+              WHEN 1 THEN p_name || '***' WHEN 2 THEN p_name || '??' WHEN 3 THEN p_name || ' '
+              WHEN 4 THEN substr(p_name, 1, 3) || '!!!' || substr(p_name, 4)
+              WHEN 5 THEN '??' || p_name || ' *** ' ELSE p_name END AS name,
          p_retailprice AS unit_price, CAST(trunc(l_quantity) AS INTEGER) AS quantity,
          l_extendedprice AS total,
          CASE (l_partkey + l_linenumber) % 4 WHEN 0 THEN '012%' WHEN 1 THEN '0%'
               WHEN 2 THEN '' ELSE 'VAT' END AS item_rate
   FROM lineitem LEFT JOIN part ON l_partkey = p_partkey
   WHERE l_orderkey % 43 <> 0
+),
+t AS (
+  SELECT k, count(*) AS item_count, {total} AS item_sum FROM i GROUP BY k
 )"""
 
 _FIELDS = (
-    "company_name iin factory_number registration_number receipt_number date_text event_time "
+    "company_name iin factory_number registration_text registration_number receipt_number date_text event_time "
     "total_sum vat_rate vat_sum payment fiscal_sign ofd_name ofd_site address qr_code"
 ).split()
+
+
+def _total(value: str) -> str:
+    """A sum that is unknown if one of its values is."""
+    return f"CASE WHEN count({value}) = count(*) THEN CAST(sum({value}) AS DECIMAL(18,2)) END"
+
+
 _RECEIPTS = _RECEIPTS.replace(
     "{parsed}", ", ".join(f"CASE WHEN NOT broken THEN {c} END AS {c}" for c in _FIELDS)
-)
+).replace("{total}", _total("CAST(total AS DECIMAL(18,2))"))
 
 _CHECKS = r""",
 v AS (
@@ -102,7 +128,7 @@ u AS (
   SELECT r.*, CASE WHEN has_items THEN item_rate ELSE '' END AS item_vat,
          CASE WHEN has_items AND regexp_matches(item_rate, '[0-9]+')
               THEN regexp_extract(item_rate, '[0-9]+') || '%' END AS py_vat,
-         coalesce(regexp_matches(iin, '^\d{12}$'), false) AS py_iin,
+         coalesce(regexp_matches(iin, '^\p{Nd}{12}$'), false) AS py_iin,
          coalesce(try_strptime(date_text, '%Y-%m-%d, %H:%M:%S'),
                   try_strptime(date_text, '%d.%m.%y %H:%M'),
                   try_strptime(date_text, '%d/%m/%Y %H:%M:%S')) AS py_event_time
@@ -132,10 +158,10 @@ _COMPLETE_REASON = r"""concat_ws('; ', CASE WHEN event_time IS NULL THEN 'bad_da
     CASE WHEN qr_code_valid IS NULL THEN 'bad_qr' END,
     CASE WHEN (total_sum > 0) IS NOT TRUE THEN 'total <= 0' END)"""
 
-_DECODED = r"""k, company_name, iin, factory_number,
-  CAST(registration_number AS VARCHAR) AS registration_number, receipt_number, date_text,
-  CAST(total_sum AS DECIMAL(18,2)) AS total_sum, vat_rate, vat_sum, payment,
-  CAST(fiscal_sign AS VARCHAR) AS fiscal_sign, ofd_name, ofd_site, address, qr_code"""
+_DECODED = r"""k, company_name, iin, factory_number, registration_text AS registration_number,
+  receipt_number, date_text, CAST(total_sum AS DECIMAL(18,2)) AS total_sum, vat_rate, vat_sum,
+  payment, CAST(fiscal_sign AS VARCHAR) AS fiscal_sign, ofd_name, ofd_site, address, qr_code,
+  coalesce(item_count, 0) AS item_count, item_sum"""
 
 _LINE_TOTAL = "CAST(round(CAST(unit_price AS DECIMAL(18,2)) * quantity, 2) AS DECIMAL(18,2))"
 _VAT_DUE = r"""CAST(CASE WHEN starts_with(vat_rate, '12')
@@ -162,14 +188,18 @@ def _u(select: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     clean_items = _c(_CLEAN_ITEMS.strip())
+    decoded = _r(f"SELECT {_DECODED} FROM r LEFT JOIN t USING (k)")
     error_rows = _c(f"SELECT k, {_REASON} AS reason FROM c WHERE NOT is_clean")
     return {
-        "decode_receipts": _r(f"SELECT {_DECODED} FROM r"),
-        "sse_decode": _r(f"SELECT {_DECODED} FROM r WHERE NOT broken"),
+        "decode_receipts": decoded,
+        "sse_decode": _r(f"SELECT {_DECODED} FROM r LEFT JOIN t USING (k) WHERE NOT broken"),
         "catalogue_flatten": """
-            SELECT p_partkey AS k, p_type AS category, 0 AS pos, p_name AS product FROM part
-            WHERE p_type IS NOT NULL
-            UNION ALL SELECT p_partkey, p_type, 1, p_brand FROM part WHERE p_type IS NOT NULL""",
+            SELECT p_partkey AS k, coalesce(p_type, '') AS category, 0 AS pos, p_name AS product
+            FROM part
+            UNION ALL SELECT p_partkey, coalesce(p_type, ''), 1, p_brand FROM part
+            UNION ALL SELECT p_partkey, 'brand ' || coalesce(p_brand, ''), 0, p_name
+            FROM part""",
+        "clock_columns": _r("SELECT k, TRUE AS clock_set FROM r"),
         "event_time": _r("SELECT k, event_time FROM r"),
         "year_month": _r("SELECT k, strftime(event_time, '%Y-%m') AS year_month FROM r"),
         "iin_check": _r(r"SELECT k, regexp_matches(iin, '^\d{12}$') AS iin_valid FROM r"),
@@ -184,7 +214,7 @@ def oracle_sql() -> dict[str, str]:
         "clean_receipts": _c(
             """SELECT k, event_time, company_name, iin AS tax_payer_iin,
               factory_number AS kkt_factor_number,
-              CAST(registration_number AS VARCHAR) AS kkt_registration_number,
+              registration_text AS kkt_registration_number,
               receipt_number, date_text AS date_time,
               CAST(total_sum AS DECIMAL(18,2)) AS total_sum, vat_rate, vat_sum, payment,
               CAST(fiscal_sign AS VARCHAR) AS fiscal_sign, address_correct AS address,
@@ -197,9 +227,8 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT k, {_COMPLETE_REASON} AS reason FROM c WHERE is_clean IS NOT TRUE"
         ),
         "error_payload": _c(
-            """SELECT k, company_name, iin, date_text, vat_rate, payment, ofd_name, address,
-              qr_code, event_time
-            FROM c WHERE NOT is_clean"""
+            f"""SELECT {_DECODED}, TRUE AS stamped, event_time
+            FROM c LEFT JOIN t USING (k) WHERE NOT is_clean"""
         ),
         "strip_marks": _r(
             r"""SELECT k, name,
@@ -227,8 +256,8 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT k, receipt_total,
               CAST(CAST(total_sum AS DECIMAL(18,2)) - receipt_total AS DECIMAL(18,2))
                 AS receipt_diff
-            FROM r LEFT JOIN (SELECT k, CAST(sum({_LINE_TOTAL}) AS DECIMAL(18,2))
-                AS receipt_total FROM i GROUP BY k) USING (k)"""
+            FROM r LEFT JOIN (SELECT k, {_total(_LINE_TOTAL)} AS receipt_total
+                FROM i GROUP BY k) USING (k)"""
         ),
         "vat_sum": _r(
             f"""SELECT k, {_VAT_DUE} AS vat_due,
@@ -238,33 +267,41 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT k, {_OFD_SITE} AS ofd_site, ofd_site = {_OFD_SITE} AS ofd_site_ok FROM r"
         ),
         "receipt_reconcile": _r(
-            f"""SELECT k, lines, receipt_total, {_VAT_DUE} AS vat_due, {_OFD_SITE} AS ofd_site
-            FROM r LEFT JOIN (SELECT k, count(*) AS lines,
-                CAST(sum({_LINE_TOTAL}) AS DECIMAL(18,2)) AS receipt_total
+            f"""SELECT k, coalesce(line_count, 0) AS line_count, line_diff, receipt_total,
+              CAST(CAST(total_sum AS DECIMAL(18,2)) - receipt_total AS DECIMAL(18,2))
+                AS receipt_diff,
+              {_VAT_DUE} AS vat_due, CAST(vat_sum - {_VAT_DUE} AS DECIMAL(18,2)) AS vat_diff,
+              {_OFD_SITE} AS ofd_site, ofd_site = {_OFD_SITE} AS ofd_site_ok
+            FROM r LEFT JOIN (SELECT k, count(*) AS line_count,
+                {_total(f"CAST(CAST(total AS DECIMAL(18,2)) - {_LINE_TOTAL} AS DECIMAL(18,2))")}
+                  AS line_diff,
+                {_total(_LINE_TOTAL)} AS receipt_total
                 FROM i GROUP BY k) USING (k)"""
         ),
         "raw_landing_stream": _r(
-            """SELECT k, company_name, receipt_number,
-              strftime(event_time, '%Y-%m') AS year_month FROM r"""
+            f"""SELECT {_DECODED}, event_time, strftime(event_time, '%Y-%m') AS year_month,
+              TRUE AS stamped FROM r LEFT JOIN t USING (k)"""
         ),
         "clean_items_stream": clean_items,
-        "errors_stream": error_rows,
+        "errors_stream": _c(
+            f"""SELECT {_DECODED}, TRUE AS stamped, event_time, {_REASON} AS reason
+            FROM c LEFT JOIN t USING (k) WHERE NOT is_clean"""
+        ),
         "clean_and_errors_stream": _c(
-            f"""SELECT k, 'clean' AS destination, '' AS reason
-            FROM c JOIN i USING (k) WHERE is_clean
-            UNION ALL SELECT k, 'error', {_REASON} FROM c WHERE NOT is_clean"""
+            f"""SELECT k, 'clean' AS destination, '' AS reason, product_name,
+              total_amount_by_position AS amount, CAST(1 AS BIGINT) AS lines
+            FROM ({_CLEAN_ITEMS})
+            UNION ALL SELECT k, 'error', {_REASON}, NULL, item_sum, coalesce(item_count, 0)
+            FROM c LEFT JOIN t USING (k) WHERE NOT is_clean"""
         ),
         "clean_layout": _c(
             "SELECT *, strftime(date_time, '%Y-%m') AS month FROM (" + _CLEAN_ITEMS + ")"
         ),
-        "kafka_value": _r(
-            """SELECT k, company_name, iin, date_text, vat_rate, payment, address, qr_code
-            FROM r"""
-        ),
+        "kafka_value": decoded,
         "py_event_time": _u("SELECT k, py_event_time AS event_time FROM u"),
         "py_iin": _u("SELECT k, py_iin AS iin_valid FROM u"),
         "py_city": _c(
-            "SELECT k, coalesce(trim(split_part(address_correct, ',', 1)), '') AS city FROM v"
+            "SELECT k, coalesce(trim(split_part(address_correct, ',', 1), ' ' || chr(9)), '') AS city FROM v"
         ),
         "py_address": _c("SELECT k, coalesce(address_correct, '') AS address FROM v"),
         "py_vat": _r(

@@ -1,22 +1,26 @@
 """The registered queries: each operator over documents derived from the test tables.
 
-Every query takes (spark, sf_dir) and returns a DataFrame with the order key ``k``.
-Clock columns are left out, times are zone-free, documents hold the fields asked for.
+Every query takes (spark, sf_dir) and returns a DataFrame with the order key ``k``. It works
+on whole documents and on all their pages; only the parse is narrowed to the fields asked
+for. Times are zone-free, and of clock columns it is told whether they are set.
 """
 
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from receiptlake import functions as R
 from receiptlake import operators as O
 from receiptlake import streaming as S
-from receiptlake.plans.fixture import ALL_FIELDS, item_documents, receipts, spread, table
-from receiptlake.plans.staging import scratch_dir, staged_documents
+from receiptlake.plans import fixture
+from receiptlake.plans.fixture import ALL_FIELDS, per_receipt, table, total_of_pages
+from receiptlake.plans.staging import discard, read_back, scratch_dir, staged_documents
 from receiptlake.schema import (
     FACTORY_NUMBER,
     FISCAL_SIGN,
+    RECEIPT,
     RECEIPT_WITH_ITEM_VAT,
     REGISTRATION_NUMBER,
 )
@@ -31,7 +35,6 @@ from receiptlake.sources import (
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-SCALARS = [f for f in ALL_FIELDS if f != "Items"]
 CHECKED_FIELDS = [
     "TaxPayerIIN", "DateTime", "Items", "TotalSum", "VatRate", "Address", "QRCode"
 ]
@@ -41,16 +44,17 @@ def ntz(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("timestamp_ntz")
 
 
-def parsed(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
-    """One row per receipt: ``k`` and the fields."""
-    docs = receipts(spark, sf_dir, fields)
-    return parse_receipts(docs, keep_source=True, fields=fields).drop("json")
+def parsed_pages(spark: SparkSession, sf_dir: str, *fields: str) -> tuple[DataFrame, bool]:
+    """One row per page: ``k``, ``page`` and the fields; and whether there are pages."""
+    docs = fixture.documents(spark, sf_dir)
+    rows = parse_receipts(docs.rows, keep_source=True, fields=fields).drop("json")
+    return rows, docs.paged
 
 
-def parsed_pages(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
-    """As ``parsed``, with the further pages of very long receipts."""
-    docs = item_documents(spark, sf_dir, fields)
-    return parse_receipts(docs, keep_source=True, fields=fields).drop("json")
+def parsed(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    """One row per receipt: ``k`` and the fields, items as far as page 0 has them, which
+    tells whether there are any and what the first is."""
+    return parsed_pages(spark, sf_dir, *fields)[0].filter("page = 0").drop("page")
 
 
 def checked(spark: SparkSession, sf_dir: str, fields=CHECKED_FIELDS) -> DataFrame:
@@ -64,32 +68,57 @@ def field_query(field: str, name: str, check: Callable[[str], Column]) -> Query:
     return query
 
 
-def _decoded(df: DataFrame) -> DataFrame:
-    return df.select(
+HEADS = {
+    "company_name": "CompanyName",
+    "iin": "TaxPayerIIN",
+    "factory_number": FACTORY_NUMBER,
+    "registration_number": REGISTRATION_NUMBER,
+    "receipt_number": "ReceiptNumber",
+    "date_text": "DateTime",
+    "total_sum": "TotalSum",
+    "vat_rate": "VatRate",
+    "vat_sum": "VatSum",
+    "payment": "Payment",
+    "fiscal_sign": FISCAL_SIGN,
+    "ofd_name": "OFD.Name",
+    "ofd_site": "OFD.Site",
+    "address": "Address",
+    "qr_code": "QRCode",
+}
+MONEY_HEADS = ("total_sum", "vat_sum")
+
+
+def whole_receipts(pages: DataFrame, paged: bool, *more: str) -> DataFrame:
+    """Every field of parsed pages, one row per receipt: the head, columns ``more``, number
+    of items and sum of their totals over all pages."""
+    sums = F.aggregate(
+        F.transform("Items", lambda i: R.money(i["Total"])),
+        F.lit(0).cast("decimal(38,2)"),
+        lambda total, amount: F.try_add(total, amount).cast("decimal(38,2)"),
+        R.money,
+    )
+
+    def named(name: str, path: str) -> Column:
+        c = F.col(path if path.startswith("OFD.") else f"`{path}`")
+        return (R.money(c) if name in MONEY_HEADS else c).alias(name)
+
+    rows = pages.select(
         "k",
-        F.col("CompanyName").alias("company_name"),
-        F.col("TaxPayerIIN").alias("iin"),
-        F.col(FACTORY_NUMBER).alias("factory_number"),
-        F.col(REGISTRATION_NUMBER).alias("registration_number"),
-        F.col("ReceiptNumber").alias("receipt_number"),
-        F.col("DateTime").alias("date_text"),
-        R.money("TotalSum").alias("total_sum"),
-        F.col("VatRate").alias("vat_rate"),
-        R.money("VatSum").alias("vat_sum"),
-        F.col("Payment").alias("payment"),
-        F.col(FISCAL_SIGN).alias("fiscal_sign"),
-        F.col("OFD.Name").alias("ofd_name"),
-        F.col("OFD.Site").alias("ofd_site"),
-        F.col("Address").alias("address"),
-        F.col("QRCode").alias("qr_code"),
+        "page",
+        *[named(n, c) for n, c in HEADS.items()],
+        *more,
+        F.coalesce(F.array_size("Items"), F.lit(0)).cast("bigint").alias("item_count"),
+        sums.alias("item_sum"),
     )
+    count, total = F.sum("item_count"), R.money(total_of_pages(F.col("item_sum"), "item_sum"))
+    return per_receipt(rows, paged, [*HEADS, *more], item_count=count, item_sum=total)
 
 
 def decode_receipts(spark, sf_dir):
-    docs = receipts(spark, sf_dir, SCALARS)
-    records = docs.select("k", F.col("json").cast("binary").alias("value"))
+    docs = fixture.documents(spark, sf_dir)
+    records = docs.rows.select("k", "page", F.col("json").cast("binary").alias("value"))
     decoded = decode_value(records, keep_source=True)
-    return _decoded(parse_receipts(decoded, keep_source=True, fields=SCALARS))
+    return whole_receipts(parse_receipts(decoded, keep_source=True), docs.paged)
 
 
 def sse_decode(spark, sf_dir):
@@ -101,15 +130,19 @@ def sse_decode(spark, sf_dir):
         F.lit("data: "),
         F.lit("retry: 3000"),
     )
-    lines = receipts(spark, sf_dir, SCALARS).select("k", F.explode(frames).alias("value"))
-    decoded = decode_sse_lines(lines)
-    return _decoded(parse_receipts(decoded, keep_source=True, fields=SCALARS))
+    docs = fixture.documents(spark, sf_dir)
+    lines = docs.rows.select("k", "page", F.explode(frames).alias("value"))
+    return whole_receipts(parse_receipts(decode_sse_lines(lines), keep_source=True), docs.paged)
 
 
 def catalogue_flatten(spark, sf_dir):
-    products = F.map_from_arrays(F.array("p_type"), F.array(F.array("p_name", "p_brand")))
-    part = spread(table(spark, sf_dir, "part")).filter("p_type IS NOT NULL")
-    docs = part.select(
+    """A document of two categories per part: its type and its brand."""
+    kind, brand = F.coalesce("p_type", F.lit("")), F.coalesce("p_brand", F.lit(""))
+    categories = F.array(kind, F.concat(F.lit("brand "), brand))
+    products = F.map_from_arrays(
+        categories, F.array(F.array("p_name", "p_brand"), F.array(F.col("p_name")))
+    )
+    docs = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("k"), F.to_json(F.struct(products.alias("products"))).alias("json")
     )
     return read_catalogue(docs)
@@ -125,6 +158,15 @@ def year_month(spark, sf_dir):
     return df.select("k", "year_month")
 
 
+def clock_columns(spark, sf_dir):
+    """Whether the clock columns are set, and alike within the run."""
+    pages, paged = parsed_pages(spark, sf_dir, "TotalSum")
+    rows = O.with_upload_time(O.with_ingest_time(pages))
+    rows = rows.withColumn("alike", F.col("ingest_time") == F.col("upload_time"))
+    flag = F.coalesce("alike", F.lit(False)).alias("clock_set")
+    return per_receipt(rows.select("k", "page", flag), paged, [], clock_set=F.every("clock_set"))
+
+
 def main_vat_rate(spark, sf_dir):
     df = parsed(spark, sf_dir, "Items", "VatRate")
     return df.select("k", R.main_vat_rate("Items", "VatRate").alias("main_vat_rate"))
@@ -156,7 +198,8 @@ def _without_clock(items: DataFrame) -> DataFrame:
 
 
 def clean_items(spark, sf_dir):
-    return _without_clock(O.clean_items(item_documents(spark, sf_dir)))
+    docs = fixture.documents(spark, sf_dir).rows.select("k", "json")
+    return _without_clock(O.clean_items(docs))
 
 
 def error_reasons(spark, sf_dir):
@@ -169,24 +212,24 @@ def error_reasons_complete(spark, sf_dir):
     return rejected.select("k", O.reason("complete").alias("reason"))
 
 
+def payloads(feed: DataFrame, paged: bool, *more: str) -> DataFrame:
+    """Error rows (k, page, ts, reason, payload) with the payload read back from its JSON,
+    one row per receipt."""
+    shape = T.StructType([*RECEIPT.fields, T.StructField("DateTime_ts", T.StringType())])
+    feed = feed.withColumn("stamped", F.col("ts").isNotNull())
+    pages = feed.select("k", "page", *more, "stamped", F.inline(F.array(F.from_json("payload", shape))))
+    pages = pages.withColumn("event_time", ntz(F.col("DateTime_ts").try_cast("timestamp")))
+    return whole_receipts(pages, paged, *more, "stamped", "event_time")
+
+
 def error_payload(spark, sf_dir):
-    """The payload's text fields, read back from its JSON."""
-    back = F.from_json(
-        "payload",
-        "CompanyName string, TaxPayerIIN string, DateTime string, VatRate string, "
-        "Payment string, OFD struct<Name: string>, Address string, QRCode string, "
-        "DateTime_ts string",
-    )
-    names = ["company_name", "iin", "date_text", "vat_rate", "payment", "ofd", "address",
-             "qr_code", "event_time"]
-    feed = O.error_feed(receipts(spark, sf_dir))
-    fields = feed.select("k", F.inline(F.array(back)).alias(*names))
-    fields = fields.withColumn("event_time", ntz(F.col("event_time").try_cast("timestamp")))
-    return fields.withColumn("ofd_name", F.col("ofd.Name")).drop("ofd")
+    docs = fixture.documents(spark, sf_dir)
+    return payloads(O.error_feed(docs.rows), docs.paged)
 
 
 def strip_marks(spark, sf_dir):
-    names = parsed_pages(spark, sf_dir, "Items").select("k", F.explode("Items.Name").alias("name"))
+    pages, _ = parsed_pages(spark, sf_dir, "Items")
+    names = pages.select("k", F.explode("Items.Name").alias("name"))
     return names.select("k", "name", R.strip_marks("name").alias("product_name"))
 
 
@@ -200,7 +243,7 @@ def ofd_defaults(spark, sf_dir):
 
 def numeric_typing(spark, sf_dir):
     fields = [REGISTRATION_NUMBER, "ReceiptNumber", "Items", "TotalSum", "VatSum", FISCAL_SIGN]
-    typed = parsed_pages(spark, sf_dir, *fields).select(
+    typed = parsed_pages(spark, sf_dir, *fields)[0].select(
         "k",
         R.whole(REGISTRATION_NUMBER).alias("registration_number"),
         F.col("ReceiptNumber").alias("receipt_number"),
@@ -218,7 +261,7 @@ def numeric_typing(spark, sf_dir):
 
 
 def line_totals(spark, sf_dir):
-    lines = O.line_totals(parsed_pages(spark, sf_dir, "Items"))
+    lines = O.line_totals(parsed_pages(spark, sf_dir, "Items")[0])
     lines = lines.select("k", F.explode(F.arrays_zip("Items", "lines")).alias("l"))
     return lines.select(
         "k",
@@ -230,12 +273,10 @@ def line_totals(spark, sf_dir):
 
 
 def receipt_totals(spark, sf_dir):
-    """Page totals are added up; nearly all receipts have one page."""
-    pages = O.receipt_totals(parsed_pages(spark, sf_dir, "Items", "TotalSum"))
-    totals = pages.groupBy("k").agg(
-        R.money(F.sum("receipt_total")).alias("receipt_total"),
-        R.money(F.max("TotalSum")).alias("stated"),
-    )
+    pages, paged = parsed_pages(spark, sf_dir, "Items", "TotalSum")
+    rows = O.receipt_totals(pages).withColumn("stated", R.money("TotalSum"))
+    total = R.money(total_of_pages(F.col("receipt_total"), "receipt_total"))
+    totals = per_receipt(rows, paged, ["stated"], receipt_total=total)
     diff = R.money(F.try_subtract("stated", "receipt_total"))
     return totals.select("k", "receipt_total", diff.alias("receipt_diff"))
 
@@ -250,28 +291,44 @@ def ofd_site(spark, sf_dir):
 
 
 def receipt_reconcile(spark, sf_dir):
-    pages = parsed_pages(spark, sf_dir, "Items", "TotalSum", "VatRate", "VatSum", "OFD")
-    done = O.receipt_reconcile(pages).withColumn("n", F.array_size("lines").cast("bigint"))
-    totals = done.groupBy("k").agg(
-        F.sum("n").alias("lines"),
-        R.money(F.sum("receipt_total")).alias("receipt_total"),
-        F.max("vat_due").alias("vat_due"),
-        F.max("ofd_site").alias("ofd_site"),
+    """All differences; that of the lines as their sum."""
+    pages, paged = parsed_pages(spark, sf_dir, "Items", "TotalSum", "VatRate", "VatSum", "OFD")
+    off = F.aggregate(
+        F.transform("lines", lambda line: line["line_diff"]),
+        F.lit(0).cast("decimal(38,2)"),
+        lambda total, diff: F.try_add(total, diff).cast("decimal(38,2)"),
+        R.money,
+    )
+    rows = O.receipt_reconcile(pages).withColumns(
+        {
+            "stated": R.money("TotalSum"),
+            "line_count": F.coalesce(F.array_size("lines"), F.lit(0)).cast("bigint"),
+            "line_diff": off,
+        }
     )
-    return totals
+    done = per_receipt(
+        rows,
+        paged,
+        ["stated", "vat_due", "vat_diff", "ofd_site", "ofd_site_ok"],
+        line_count=F.sum("line_count"),
+        line_diff=R.money(total_of_pages(F.col("line_diff"), "line_diff")),
+        receipt_total=R.money(total_of_pages(F.col("receipt_total"), "receipt_total")),
+    )
+    diff = R.money(F.try_subtract("stated", "receipt_total"))
+    return done.withColumn("receipt_diff", diff).drop("stated")
 
 
 # Streams: the staged documents are replayed to the end, the sinks' output is read back.
 
 NOW = {"availableNow": True}
 # Bounds a batch, and with it what the sinks have to keep while they share it.
-FILES_PER_TRIGGER = 1000
+BYTES_PER_TRIGGER = 4 << 30
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns k, page, json; the topic's key stands in front of each line."""
+    """Columns k, page, json of all pages; the topic's key stands in front of each line."""
     path = staged_documents(spark, sf_dir)
-    lines = decode_value(read_lines(spark, path, FILES_PER_TRIGGER))
+    lines = decode_value(read_lines(spark, path, bytes_per_trigger=BYTES_PER_TRIGGER))
     parts = F.split("json", "\t", 3)
     return lines.select(
         parts[0].cast("bigint").alias("k"),
@@ -280,95 +337,114 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _receipt_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream(spark, sf_dir).filter("page = 0").drop("page")
+def _finish(spark: SparkSession, query, base: str) -> None:
+    query.awaitTermination()
+    discard(spark, f"{base}/checkpoint")
 
 
-def _item_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream(spark, sf_dir).drop("page")
+def _paged(rows: DataFrame) -> bool:
+    """Landed pages have to be put together only if there is a second one."""
+    return not rows.filter("page > 0").isEmpty()
 
 
 def raw_landing_stream(spark, sf_dir):
     base = scratch_dir(spark)
-    docs = _receipt_stream(spark, sf_dir)
-    S.run_raw_landing(
+    docs = _stream(spark, sf_dir)
+    query = S.run_raw_landing(
         docs, f"{base}/raw", f"{base}/checkpoint", keep_source=True, gather=True, trigger=NOW
-    ).awaitTermination()
-    return spark.read.parquet(f"{base}/raw").select(
-        "k",
-        F.col("CompanyName").alias("company_name"),
-        F.col("ReceiptNumber").alias("receipt_number"),
-        F.col("year_month").cast("string").alias("year_month"),
     )
+    _finish(spark, query, base)
+    schema = S.raw_table(docs, keep_source=True).schema
+    landed = read_back(spark, f"{base}/raw", schema).withColumns(
+        {"event_time": ntz("DateTime_ts"), "stamped": F.col("ingest_time").isNotNull()}
+    )
+    return whole_receipts(landed, _paged(landed), "event_time", "year_month", "stamped")
 
 
 def clean_items_stream(spark, sf_dir):
     base = scratch_dir(spark)
     sink = S.path_sink(f"{base}/clean", "items", S.write_clean_layout)
-    S.run_clean_items(
-        _item_stream(spark, sf_dir), sink, f"{base}/checkpoint", trigger=NOW
-    ).awaitTermination()
-    landed = spark.read.parquet(f"{base}/clean")
+    docs = _stream(spark, sf_dir).drop("page")
+    _finish(spark, S.run_clean_items(docs, sink, f"{base}/checkpoint", trigger=NOW), base)
+    landed = read_back(spark, f"{base}/clean", O.clean_items(docs).schema)
     return _without_clock(landed.drop("stream_id", "batch_id", "month"))
 
 
 def errors_stream(spark, sf_dir):
     base = scratch_dir(spark)
     sink = S.path_sink(f"{base}/errors", "errors")
-    S.run_error_feed(
-        _receipt_stream(spark, sf_dir), sink, f"{base}/checkpoint", trigger=NOW
-    ).awaitTermination()
-    return spark.read.parquet(f"{base}/errors").select("k", "reason")
+    docs = _stream(spark, sf_dir)
+    _finish(spark, S.run_error_feed(docs, sink, f"{base}/checkpoint", trigger=NOW), base)
+    landed = read_back(spark, f"{base}/errors", O.error_feed(docs).schema)
+    return payloads(landed, _paged(landed), "reason")
 
 
 def clean_and_errors_stream(spark, sf_dir):
+    """Clean items and rejected receipts, with the amount and number of lines of each."""
     base = scratch_dir(spark)
-    S.run_clean_and_errors(
-        _stream(spark, sf_dir),
+    docs = _stream(spark, sf_dir)
+    query = S.run_clean_and_errors(
+        docs,
         S.path_sink(f"{base}/clean", "receipts"),
         S.path_sink(f"{base}/errors", "receipts"),
         f"{base}/checkpoint",
         trigger=NOW,
-    ).awaitTermination()
-    clean = spark.read.parquet(f"{base}/clean").withColumn("reason", F.lit(""))
-    errors = spark.read.parquet(f"{base}/errors").filter("page = 0")
-    return clean.select("k", F.lit("clean").alias("destination"), "reason").unionAll(
-        errors.select("k", F.lit("error").alias("destination"), "reason")
     )
+    _finish(spark, query, base)
+    clean = read_back(spark, f"{base}/clean", O.clean_items(docs).schema)
+    errors = read_back(spark, f"{base}/errors", O.error_feed(docs).schema)
+    errors = payloads(errors, _paged(errors), "reason")
+    columns = ["k", "destination", "reason", "product_name", "amount", "lines"]
+    clean = clean.withColumns(
+        {
+            "destination": F.lit("clean"),
+            "reason": F.lit(""),
+            "amount": F.col("total_amount_by_position"),
+            "lines": F.lit(1).cast("bigint"),
+        }
+    )
+    errors = errors.withColumns(
+        {
+            "destination": F.lit("error"),
+            "product_name": F.lit(None).cast("string"),
+            "amount": F.col("item_sum"),
+            "lines": F.col("item_count"),
+        }
+    )
+    return clean.select(columns).unionAll(errors.select(columns))
 
 
 def clean_layout(spark, sf_dir):
     path = f"{scratch_dir(spark)}/clean"
-    S.write_clean_layout(clean_items(spark, sf_dir), path)
-    return spark.read.parquet(path).withColumn("month", F.col("month").cast("string"))
+    rows = clean_items(spark, sf_dir)
+    S.write_clean_layout(rows, path)
+    return read_back(spark, path, T.StructType([*rows.schema.fields, T.StructField("month", T.StringType())]))
 
 
 def kafka_value(spark, sf_dir):
-    """Encode parsed receipts for a topic, and read the fields back from the bytes."""
-    records = S.to_kafka_value(parsed(spark, sf_dir, *SCALARS))
-    back = F.from_json(
-        F.col("value").cast("string"),
-        "k bigint, CompanyName string, TaxPayerIIN string, DateTime string, VatRate string, "
-        "Payment string, Address string, QRCode string",
-    )
-    names = ["k", "company_name", "iin", "date_text", "vat_rate", "payment", "address", "qr_code"]
-    return records.select(F.inline(F.array(back)).alias(*names))
+    """Encode parsed receipts for a topic, and read them back from the bytes."""
+    docs = fixture.documents(spark, sf_dir)
+    records = S.to_kafka_value(parse_receipts(docs.rows, keep_source=True).drop("json"))
+    key = T.StructField("k", T.LongType()), T.StructField("page", T.IntegerType())
+    shape = T.StructType([*key, *RECEIPT.fields])
+    back = F.from_json(F.col("value").cast("string"), shape)
+    return whole_receipts(records.select(F.inline(F.array(back))), docs.paged)
 
 
-def _item_vat_receipts(spark, sf_dir) -> DataFrame:
-    fields = ["TaxPayerIIN", "DateTime", "Items", "TotalSum", "Address"]
-    docs = receipts(spark, sf_dir, fields, item_vat=True)
+def _item_vat_receipts(spark, sf_dir, *fields: str) -> DataFrame:
+    docs = fixture.documents(spark, sf_dir, item_vat=True).rows.filter("page = 0")
     return parse_receipts(docs, True, fields, RECEIPT_WITH_ITEM_VAT)
 
 
 def item_vat(spark, sf_dir):
-    docs = receipts(spark, sf_dir, ["Items"], item_vat=True)
-    df = parse_receipts(docs, True, ["Items"], RECEIPT_WITH_ITEM_VAT)
+    df = _item_vat_receipts(spark, sf_dir, "Items")
     return df.select("k", R.item_vat("Items").alias("item_vat"))
 
 
 def py_clean_flag(spark, sf_dir):
-    return O.with_item_vat_checks(_item_vat_receipts(spark, sf_dir)).select("k", "is_clean")
+    fields = ["TaxPayerIIN", "DateTime", "Items", "TotalSum", "Address"]
+    df = _item_vat_receipts(spark, sf_dir, *fields)
+    return O.with_item_vat_checks(df).select("k", "is_clean")
 
 
 def queries() -> dict[str, Query]:
@@ -378,6 +454,7 @@ def queries() -> dict[str, Query]:
         "catalogue_flatten": catalogue_flatten,
         "event_time": event_time,
         "year_month": year_month,
+        "clock_columns": clock_columns,
         "iin_check": field_query("TaxPayerIIN", "iin_valid", R.iin_valid),
         "address_check": field_query("Address", "address_correct", R.address_correct),
         "city": field_query("Address", "city", R.city),

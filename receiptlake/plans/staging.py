@@ -1,13 +1,12 @@
-"""Shared scratch space, and documents written out as the input of streams."""
+"""Shared scratch space, written tables, and documents written out as the input of streams."""
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from receiptlake.plans import fixture
-
-_staged: dict[tuple[str, str], str] = {}
+_staged: dict[tuple, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -22,13 +21,46 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/receiptlake-{uuid.uuid4().hex}"
 
 
+def _path(spark: SparkSession, path: str):
+    java = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return java.getFileSystem(spark._jsc.hadoopConfiguration()), java
+
+
+def read_back(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Landed rows under their declared schema. A sink that was handed no row has written
+    no file, or no folder."""
+    files, java = _path(spark, path)
+    if not files.exists(java):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder that nothing reads any more."""
+    files, java = _path(spark, path)
+    files.delete(java, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A small table, written to scratch space and read again."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def staged_documents(spark: SparkSession, sf_dir: str) -> str:
-    """Directory with all documents as JSON lines, written once per application. The
-    order key travels in front of the document, as a topic's key would beside it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """Directory with all documents as JSON lines, written once per application and state
+    of the tables. Order key and page travel in front of the document, as a topic's key
+    would beside it."""
+    from receiptlake.plans import fixture
+
+    files = [_path(spark, f"{sf_dir}/{name}.parquet") for name in fixture.TABLES]
+    state = tuple(f.getFileStatus(p).getModificationTime() for f, p in files)
+    key = (spark.sparkContext.applicationId, sf_dir, state)
     if key not in _staged:
         path = f"{scratch_dir(spark)}/documents"
-        docs = fixture.documents(spark, sf_dir)
+        docs = fixture.documents(spark, sf_dir).rows
         docs.selectExpr("concat_ws('\t', k, page, json) AS value").write.text(path)
         _staged[key] = path
     return _staged[key]

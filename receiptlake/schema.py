@@ -13,6 +13,7 @@ def _struct(fields: dict[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, type_) for name, type_ in fields.items()])
 
 
+# Document fields whose names are long.
 FACTORY_NUMBER = "KKTFactorNumber (ЗНМ)"
 REGISTRATION_NUMBER = "KKTRegistrationNumber (РНМ)"
 FISCAL_SIGN = "FiscalSign (ФП)"

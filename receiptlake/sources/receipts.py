@@ -27,6 +27,8 @@ def parse_receipts(
     if fields is not None:
         schema = T.StructType([f for f in schema.fields if f.name in set(fields)])
     source = df.columns if keep_source else []
+    if clash := set(source) & set(schema.names):
+        raise ValueError(f"rename input columns called like receipt fields: {sorted(clash)}")
     parsed = F.from_json("json", schema)
     return df.select(*[F.col(f"`{c}`") for c in source], F.inline(F.array(parsed)))
 

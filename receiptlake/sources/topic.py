@@ -32,11 +32,19 @@ def read_topic(
     return spark.readStream.format("kafka").options(**options).load()
 
 
-def read_lines(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Replay landed JSON lines as a stream with the topic's ``value`` column."""
+def read_lines(
+    spark: SparkSession,
+    path: str,
+    files_per_trigger: int | None = None,
+    bytes_per_trigger: int | str | None = None,
+) -> DataFrame:
+    """Replay landed JSON lines as a stream with the topic's ``value`` column. A batch is
+    bounded by files or by bytes."""
     reader = spark.readStream.format("text")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     return reader.load(path)
 
 

@@ -104,8 +104,10 @@ def path_sink(
 
 def clickhouse_options(url: str, dbtable: str, **more: str) -> dict[str, str]:
     """JDBC options for the clean table: large inserts, since each becomes a part of the
-    table. ``createTableOptions`` is used by Spark only if the table does not exist yet.
+    table. Create the table by ``tables.clean_table`` first: ``createTableOptions`` is used
+    by Spark only if there is none yet, and Spark's own types are not the warehouse's.
     Pass ``numPartitions`` to bound the connections of a batch."""
+    # Driver, engine and order of the clean table.
     return {
         "url": url,
         "dbtable": dbtable,
@@ -119,8 +121,9 @@ def clickhouse_options(url: str, dbtable: str, **more: str) -> dict[str, str]:
 
 
 def postgres_options(url: str, dbtable: str, **more: str) -> dict[str, str]:
-    """JDBC options for the error table; text is accepted by its JSONB column. Pass
-    ``numPartitions`` to bound the connections of a batch."""
+    """JDBC options for the error table; text is accepted by its JSONB column. Create it
+    by ``tables.error_table`` first. Pass ``numPartitions`` to bound the connections of a
+    batch."""
     glue = "&" if "?" in url else "?"
     return {
         "url": f"{url}{glue}stringtype=unspecified&reWriteBatchedInserts=true",
@@ -167,18 +170,26 @@ def jdbc_sink(
 
     Without ``stream_id`` this is a plain append, and a replayed batch is in the table
     twice. With it, rows carry the columns stream_id and batch_id, and the sink deletes
-    the batch's rows before it inserts them; readers may look in between.
+    what an earlier run of the batch may have left before it inserts; readers may look in
+    between. Only a batch that does not follow the one just written can have been run
+    before: the first after a start, or one that is handed over again after a failure. So
+    the table is searched once per start, not once per batch.
     """
+    written: int | None = None
 
     def append(batch: DataFrame, batch_id: int) -> None:
         insert(batch, options)
 
     def replace(batch: DataFrame, batch_id: int) -> None:
-        delete(batch.sparkSession, options, stream_id, batch_id)
+        nonlocal written
+        follows, written = written is not None and batch_id == written + 1, None
+        if not follows:
+            delete(batch.sparkSession, options, stream_id, batch_id)
         keyed = batch.withColumn("stream_id", F.lit(stream_id)).withColumn(
             "batch_id", F.lit(batch_id).cast("bigint")
         )
         insert(keyed, options)
+        written = batch_id
 
     return append if stream_id is None else replace
 

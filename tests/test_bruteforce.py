@@ -13,6 +13,7 @@ from receiptlake import operators as O
 from receiptlake.schema import FISCAL_SIGN, REGISTRATION_NUMBER
 from receiptlake.sources import parse_receipts
 
+# The accepted layouts.
 SHAPES = [
     (r"\d{4}-\d\d-\d\d, \d\d:\d\d:\d\d", "%Y-%m-%d, %H:%M:%S"),
     (r"\d\d\.\d\d\.\d\d \d\d:\d\d", "%d.%m.%y %H:%M"),

@@ -1,13 +1,11 @@
 from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
 from helpers import multiset
 from receiptlake import operators as O
 from receiptlake.plans import fixture
-from receiptlake.plans.queries import SCALARS, checked
-from receiptlake.schema import RECEIPT_WITH_ITEM_VAT
+from receiptlake.plans.queries import checked
 from receiptlake.sources import parse_receipts
 
 
@@ -16,58 +14,26 @@ def test_counts(spark, sf_dir):
     counts = [F.count("*").alias("n"), F.sum(F.size("Items")).alias("lines")]
     rows = df.groupBy("is_clean", "reason").agg(*counts).collect()
     assert sum(r.n for r in rows) == 15_000
-    assert sum(r.n for r in rows if r.is_clean) == 2_658
-    assert sum(r.lines for r in rows if r.is_clean) == 10_736
-    assert sum(r.n for r in rows if r.is_clean is None) == 143
+    assert sum(r.n for r in rows if r.is_clean) == 2_439
+    assert sum(r.lines for r in rows if r.is_clean) == 9_908
+    assert sum(r.n for r in rows if r.is_clean is None) == 171
     reasons = Counter({r.reason: r.n for r in rows if r.is_clean is False})
-    assert sum(reasons.values()) == 12_199
-    assert reasons["bad_iin; bad_vat"] == 3816 and reasons["bad_vat"] == 3098
-    assert reasons[""] == 2109 and reasons["bad_iin"] == 1362
-    assert reasons["bad_datetime; bad_iin; total <= 0"] == 4 and len(reasons) == 16
+    assert sum(reasons.values()) == 12_390
+    assert reasons["bad_iin; bad_vat"] == 3707 and reasons["bad_vat"] == 2875
+    assert reasons[""] == 2192 and reasons["bad_iin"] == 1476
+    assert reasons["bad_datetime; bad_iin; total <= 0"] == 8 and len(reasons) == 16
 
 
-def test_narrow_documents_hold_the_same_values(spark, sf_small):
-    whole = parse_receipts(fixture.receipts(spark, sf_small), True).drop("json")
-    for field in SCALARS:
-        docs = fixture.receipts(spark, sf_small, [field])
-        part = parse_receipts(docs, True, [field]).drop("json")
-        assert multiset(part) == multiset(whole.select("k", F.col(f"`{field}`")))
-
-
-def test_narrow_documents_read_few_columns(spark, sf_small):
-    plan = fixture.receipts(spark, sf_small, ["TaxPayerIIN"])._jdf.queryExecution().toString()
-    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
-    assert "lineitem" not in plan and "customer" not in plan
-
-
-def test_only_small_scans_are_spread(spark, sf_small):
-    orders = fixture.table(spark, sf_small, "orders")
-    assert fixture.spread(orders).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(0, 100, 1, 50)
-    assert fixture.spread(many) is many
-
-
-@pytest.mark.parametrize("page_lines", [1, 2, 5])
-def test_pages_change_no_result(spark, sf_small, page_lines):
-    """A receipt split into pages gives the same items and the same receipt row."""
-    short = dict(page_lines=page_lines)
-    items = [
-        O.clean_items(fixture.item_documents(spark, sf_small, **o)).drop("upload_time")
-        for o in ({}, short)
-    ]
-    assert multiset(items[0]) == multiset(items[1])
-    feeds = [O.error_feed(fixture.receipts(spark, sf_small, **o)) for o in ({}, short)]
-    assert multiset(feeds[0].select("k", "reason")) == multiset(feeds[1].select("k", "reason"))
-    firsts = [
-        parse_receipts(
-            fixture.receipts(spark, sf_small, ["Items"], item_vat=True, **o),
-            True, ["Items"], RECEIPT_WITH_ITEM_VAT,
-        ).selectExpr("k", "get(Items, 0).VAT.Rate AS rate", "get(Items, 0).Name AS name")
-        for o in ({}, short)
-    ]
-    assert multiset(firsts[0]) == multiset(firsts[1])
-    pages = fixture.documents(spark, sf_small, **short)
-    assert pages.filter("page > 0").count() > 0
+def test_lines_are_scanned_once_and_nothing_is_hinted(spark, sf_small, monkeypatch):
+    """Besides the pass that finds long orders."""
+    for page_lines in (fixture.PAGE_LINES, 2):
+        monkeypatch.setattr(fixture, "PAGE_LINES", page_lines)
+        docs = fixture.documents(spark, sf_small)
+        plan = docs.rows._jdf.queryExecution().toString()
+        physical = plan.split("== Physical Plan ==")[1]
+        assert physical.count("l_extendedprice") and physical.count("lineitem.parquet") == 1
+        assert "ResolvedHint" not in plan and "strategy=broadcast" not in plan
+        assert docs.paged == (page_lines == 2)
 
 
 def test_hot_order_customer_and_part(spark, sf_small, tmp_path):
@@ -88,7 +54,7 @@ def test_hot_order_customer_and_part(spark, sf_small, tmp_path):
         "o_custkey", F.when(F.col("o_orderkey") % 3 == 0, 3).otherwise(F.col("o_custkey"))
     ).write.parquet(f"{hot}/orders.parquet")
     docs = fixture.documents(spark, hot, page_lines=100)
-    pages = parse_receipts(docs, True).groupBy("k").agg(
+    pages = parse_receipts(docs.rows, True).groupBy("k").agg(
         F.count("*").alias("pages"), F.sum(F.size("Items")).alias("lines"),
         F.max(F.size("Items")).alias("longest"),
     )
@@ -96,7 +62,7 @@ def test_hot_order_customer_and_part(spark, sf_small, tmp_path):
     assert row.lines == spark.read.parquet(f"{hot}/lineitem.parquet").filter("l_orderkey = 4").count()
     assert row.pages >= row.lines / 100 and row.longest < 300
     once, paged = [
-        O.clean_items(fixture.item_documents(spark, hot, **o)).drop("upload_time")
+        O.clean_items(fixture.documents(spark, hot, **o).rows.drop("page")).drop("upload_time")
         for o in ({}, {"page_lines": 100})
     ]
     assert multiset(once) == multiset(paged)

@@ -1,0 +1,102 @@
+"""No query depends on how many lines a document may hold, nor on what is missing."""
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from receiptlake.plans import fixture
+from receiptlake.plans.oracle import oracle_sql
+from receiptlake.plans.queries import queries
+
+TABLES = "orders lineitem part customer nation".split()
+WITH_ITEMS = [
+    "clean_items", "error_payload", "receipt_totals", "receipt_reconcile", "decode_receipts",
+    "raw_landing_stream", "errors_stream",
+]
+
+
+@pytest.fixture(scope="module")
+def gaps(spark, sf_small, tmp_path_factory):
+    """The small tables with every tenth part missing and some prices unknown."""
+    path = str(tmp_path_factory.mktemp("gaps"))
+    for name in TABLES:
+        df = spark.read.parquet(f"{sf_small}/{name}.parquet")
+        if name == "part":
+            price = F.when(F.col("p_partkey") % 10 != 1, F.col("p_retailprice"))
+            df = df.filter("p_partkey % 10 != 3").withColumn("p_retailprice", price)
+        df.write.parquet(f"{path}/{name}.parquet")
+    return path
+
+
+def expected(path, name, columns):
+    connection = duckdb.connect()
+    for table in TABLES:
+        connection.sql(f"CREATE VIEW {table} AS SELECT * FROM '{path}/{table}.parquet/*.parquet'")
+    return connection.sql(f"SELECT {', '.join(columns)} FROM ({oracle_sql()[name]})").fetchall()
+
+
+def compare(spark, path, name):
+    df = queries()[name](spark, path)
+    columns = sorted(df.columns)
+    got = sorted(map(repr, map(tuple, df.select(*columns).collect())))
+    assert got == sorted(map(repr, expected(path, name, columns)))
+    return got
+
+
+@pytest.mark.parametrize("name", list(queries()))
+def test_two_lines_a_page(spark, gaps, monkeypatch, name):
+    monkeypatch.setattr(fixture, "PAGE_LINES", 2)
+    assert compare(spark, gaps, name)
+
+
+@pytest.mark.parametrize("page_lines", [1, 5, 500_000])
+@pytest.mark.parametrize("name", WITH_ITEMS)
+def test_page_sizes(spark, gaps, monkeypatch, name, page_lines):
+    monkeypatch.setattr(fixture, "PAGE_LINES", page_lines)
+    assert compare(spark, gaps, name)
+
+
+def test_every_line_is_landed(spark, gaps, monkeypatch):
+    monkeypatch.setattr(fixture, "PAGE_LINES", 2)
+    landed = queries()["raw_landing_stream"](spark, gaps).agg(F.sum("item_count")).head()[0]
+    lines = spark.read.parquet(f"{gaps}/lineitem.parquet").filter("l_orderkey % 43 != 0")
+    orders = spark.read.parquet(f"{gaps}/orders.parquet")
+    lines = lines.join(orders, F.expr("l_orderkey = o_orderkey"), "left_semi")
+    assert landed == lines.count()
+
+
+SINKS = ["raw_landing_stream", "clean_items_stream", "errors_stream", "clean_and_errors_stream",
+         "clean_layout"]
+
+
+@pytest.mark.parametrize("name", SINKS)
+@pytest.mark.parametrize("kept", ["o_totalprice = 0", "false"])
+def test_nothing_clean_and_nothing_at_all(spark, sf_small, tmp_path, name, kept):
+    for table in TABLES:
+        df = spark.read.parquet(f"{sf_small}/{table}.parquet")
+        if table == "orders":
+            df = df.limit(60).withColumn("o_totalprice", F.lit(0.0)).filter(kept)
+        df.write.parquet(f"{tmp_path}/{table}.parquet")
+    got = compare(spark, str(tmp_path), name)
+    assert bool(got) == (kept != "false" and name not in ("clean_items_stream", "clean_layout"))
+
+
+DIFFERENT = {"py_event_time": "event_time", "py_iin": "iin_check", "py_city": "city"}
+
+
+@pytest.mark.parametrize("name", list(DIFFERENT))
+def test_variants_differ(spark, sf_dir, name):
+    """The lenient checks are told apart from their strict twins by some rows, other than
+    unknown ones."""
+    lenient, strict = (queries()[n](spark, sf_dir) for n in (name, DIFFERENT[name]))
+    column = next(c for c in lenient.columns if c != "k")
+    both = lenient.join(strict.withColumnRenamed(column, "strict"), "k")
+    assert both.filter(f"{column} != strict OR (strict IS NULL) != ({column} IS NULL)").count()
+
+
+def test_vat_variants_differ(spark, sf_dir):
+    lenient = queries()["py_vat"](spark, sf_dir)
+    strict = queries()["vat_normalize"](spark, sf_dir).filter("vat_valid IS NOT NULL")
+    both = lenient.join(strict, "k")
+    assert both.filter("vat = '012%' AND vat_valid = '12%'").count()
+    assert lenient.filter("vat = '99999999999%'").count()

@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from receiptlake.plans.oracle import oracle_sql
+from receiptlake.plans.queries import queries
 
 TABLES = "orders lineitem part customer nation".split()
 TYPES = {
@@ -25,14 +27,15 @@ def duck(sf_dir):
 
 
 def test_names():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(queries()) == set(oracle_sql())
+    assert set(queries()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(queries()))
 def test_query(spark, sf_dir, duck, name):
-    df = entry.queries()[name](spark, sf_dir)
+    df = queries()[name](spark, sf_dir)
     columns = sorted(df.columns)
-    expected = duck.sql(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})")
+    expected = duck.sql(f"SELECT {', '.join(columns)} FROM ({oracle_sql()[name]})")
     assert [df.schema[c].dataType.simpleString() for c in columns] == [
         TYPES[str(t)] for t in expected.types
     ]

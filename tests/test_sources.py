@@ -108,3 +108,10 @@ def test_catalogue(spark):
 
 def test_fixture_record_is_clean_json():
     assert json.loads(receipt()) == GOOD
+
+
+def test_columns_called_like_fields_are_refused(spark):
+    df = spark.createDataFrame([("{}", 1)], "json string, OFD int")
+    with pytest.raises(ValueError, match="OFD"):
+        parse_receipts(df, keep_source=True)
+    assert parse_receipts(df).count() == 1

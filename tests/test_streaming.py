@@ -11,9 +11,9 @@ from receiptlake import operators as O
 from receiptlake import streaming as S
 from receiptlake.operators.clean import clean_items_of
 from receiptlake.plans.staging import scratch_dir
-from receiptlake.schema import CLEAN
+from receiptlake.schema import CLEAN, RECEIPT
 from receiptlake.sources import decode_value, read_lines
-from receiptlake.streaming import sinks
+from receiptlake.streaming import sinks, tables
 
 NOW = {"availableNow": True}
 
@@ -156,6 +156,50 @@ def test_jdbc_sink(spark, lines, tmp_path):
     assert table.columns[-2:] == ["stream_id", "batch_id"]
 
 
+def test_jdbc_sink_deletes_once_per_start(spark, lines, tmp_path):
+    path = None
+    for n in range(3):
+        path = lines(receipt(ReceiptNumber=n))
+    table, checkpoint = Table(), str(tmp_path / "ckpt")
+
+    def start():
+        sink = S.jdbc_sink({"dbtable": "t"}, "a", table.delete, table.insert)
+        docs = stream(spark, path, files_per_trigger=1)
+        run(S.run_clean_items(docs, sink, checkpoint, trigger=NOW))
+        return len(table.rows)
+
+    assert start() == 6 and table.deleted == [("t", "a", 0)]
+    lose_last_commit(checkpoint)
+    assert start() == 6 and table.deleted == [("t", "a", 0), ("t", "a", 2)]
+
+
+def test_jdbc_sink_deletes_after_a_failed_insert(spark):
+    table, batch = Table(), spark.createDataFrame([(1,), (2,)], "x int")
+
+    def half(df, options):
+        table.insert(df.limit(1), options)
+        raise RuntimeError("lost")
+
+    calls = iter([table.insert, half, table.insert, table.insert])
+    sink = S.jdbc_sink({"dbtable": "t"}, "a", table.delete, lambda df, o: next(calls)(df, o))
+    sink(batch, 0)
+    with pytest.raises(RuntimeError):
+        sink(batch, 1)
+    sink(batch, 1)
+    sink(batch, 2)
+    assert len(table.rows) == 6 and table.deleted == [("t", "a", 0), ("t", "a", 1)]
+
+
+def test_tables_hold_what_the_sinks_write():
+    statement = tables.clean_table("analytics.items")
+    for column in CLEAN.names + ["stream_id", "batch_id"]:
+        assert f" {column} " in statement
+    assert "kkt_registration_number UInt64" in statement and "unit_price Decimal64(2)" in statement
+    create, index = tables.error_table("errors")
+    assert "payload JSONB NOT NULL" in create and "batch_id BIGINT" in create
+    assert index == "CREATE INDEX IF NOT EXISTS errors_by_batch ON errors (stream_id, batch_id)"
+
+
 def test_jdbc_options():
     clean = sinks.clickhouse_options("jdbc:clickhouse://h:8123/db", "items", user="u")
     assert clean["user"] == "u" and "toYYYYMM(date_time)" in clean["createTableOptions"]
@@ -310,6 +354,15 @@ def test_job(spark, lines, tmp_path):
     assert errors.columns[:4] == ["json", "ts", "reason", "payload"] and errors.count() == 2
     finish("clean", "--clean-path", f"{out}/clean2")
     assert spark.read.parquet(f"{out}/clean2").count() == 2
+    sse = str(tmp_path / "sse")
+    documents(spark, f"data: {receipt()}", ": ping", "", receipt()).write.text(sse)
+    args = job.arguments(["--sse-lines", sse, *base[2:], "--checkpoints", f"{out}/c-sse",
+                          "--raw-path", f"{out}/raw3"])
+    for query in job.start(spark, args):
+        run(query)
+    assert spark.read.parquet(f"{out}/raw3").filter("CompanyName IS NOT NULL").count() == 2
+    args = job.arguments([*base, "--checkpoints", "c", "--publish", "t"])
+    assert job.published(spark, args).columns[-15:] == RECEIPT.names
     finish("errors", "--errors-path", f"{out}/errors2", "--reasons", "complete")
     assert spark.read.parquet(f"{out}/errors2").count() == 2
     with pytest.raises(SystemExit):
