@@ -10,10 +10,13 @@ similarity. Bands of slots are joined, and pairs in a common band are verified b
 overlap of their bags.
 
 Texts that are equal are taken together first, so copies cost one row each. Within a band's
-bucket not all pairs are made. A few members are centres first; who is linked to a centre
-is in its group, and pairs within a group need no check. Buckets whose members are not all
-in one group yet get twice as many centres each round, until all pairs across groups have
-been checked. So no link that the bands propose is lost, and no group is expanded.
+bucket not all pairs are made. Its hub, the member that meets most others in all its buckets,
+is compared with the rest; in a group of edited copies that is the text they come from, and
+links to it connect nearly all of them. Buckets that hold more than one group after that are
+gathered by the group of their hub, each member once, and what is not in one group yet is
+compared completely: pairs of blocks are dealt out, a task counts all overlaps in a pair of
+blocks at once, and only links that connect leave it. So every pair that shares a band is
+either in one group or has been checked, and no group is expanded into pairs.
 
 Words are what white space separates, in lower case. A text of one to four words is one
 shingle. Null, empty and wordless texts link with nothing. Overlaps are counted on 32-bit
@@ -24,9 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from receiptlake.llm.blocks import connecting, groups
 from receiptlake.llm.common import cut, short_batches
 from receiptlake.llm.components import components
 
@@ -34,8 +38,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
-# Pairs up to which the open buckets are finished in one round.
-LAST_ROUND = 2_000_000
+BLOCK = 512
 # Ids up to which a list of them is broadcast (8 to 16 bytes each), else it is shuffled.
 BROADCAST_IDS = 500_000
 SALTS = 16
@@ -149,8 +152,8 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for words in word_hashes(part["text"].tolist()):
                     bag = shingles(words)
                     size = int(bag[1].sum())
-                    out.append((size, bands(signature(*bag)) if size else None, numbered(*bag)))
-            made = pd.DataFrame(out, columns=["n", "bands", "shingles"], index=batch.index)
+                    out.append((size, bands(signature(*bag)) if size else None, numbered(*bag).tobytes()))
+            made = pd.DataFrame(out, columns=["n", "bands", "bag"], index=batch.index)
             yield pd.concat([batch[["id", "class"]], made], axis=1)
 
 
@@ -160,12 +163,13 @@ def _class(text_col: str):
 
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns id, class, n (shingles in the bag), bands and shingles."""
+    """Columns id, class, n (shingles in the bag), bands, and bag: the numbered shingles, as
+    sorted 32-bit integers."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = short_batches(docs).select(
         F.col(id_col).cast("string").alias("id"), _class(text_col).alias("class"), text.alias("text")
     )
-    schema = "id string, class binary, n bigint, bands array<bigint>, shingles array<int>"
+    schema = "id string, class binary, n bigint, bands array<bigint>, bag binary"
     return rows.mapInPandas(_signed, schema).withColumn("id", F.col("id").cast("bigint"))
 
 
@@ -177,81 +181,144 @@ def _sized(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
 def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) whose bags overlap enough. A class may be ``a`` of very many pairs, so
     its bag is dealt by a salt, once for each salt that it meets."""
+
+    @F.pandas_udf("int")
+    def common(x: pd.Series, y: pd.Series) -> pd.Series:
+        pairs = zip(x, y, strict=True)
+        one = (np.frombuffer(a + b, dtype=np.int32) for a, b in pairs)
+        return pd.Series([len(v) - len(np.unique(v)) for v in one], dtype="int32")
+
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     centres = salted.select("a", "salt").distinct().join(bags.withColumnRenamed("class", "a"), "a")
-    joined = salted.join(bags.select(F.col("class").alias("b"), F.col("shingles").alias("other")), "b")
-    joined = joined.join(centres, ["a", "salt"])
-    common = F.size(F.array_intersect("shingles", "other"))
-    whole = F.size("shingles") + F.size("other") - common
-    return joined.filter(common >= similarity * whole).select("a", "b")
+    joined = salted.join(bags.select(F.col("class").alias("b"), F.col("bag").alias("other")), "b")
+    joined = joined.join(centres, ["a", "salt"]).withColumn("common", common("bag", "other"))
+    sizes = F.expr("octet_length(bag) / 4 + octet_length(other) / 4")
+    return joined.filter(F.col("common") >= similarity * (sizes - F.col("common"))).select("a", "b")
+
+
+def overlaps(bags: list[np.ndarray]) -> np.ndarray:
+    """How many elements every two bags share. Elements of one bag only are left out, the
+    others are counted some at a time."""
+    owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    _, where, counts = np.unique(np.concatenate(bags), return_inverse=True, return_counts=True)
+    shared = counts > 1
+    column = (np.cumsum(shared) - 1)[where]
+    keep = shared[where]
+    owner, column = owner[keep], column[keep]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(bags), len(bags)), dtype=np.float32)
+    width = 4096
+    for start in range(0, int(shared.sum()), width):
+        lo, hi = np.searchsorted(column, (start, start + width))
+        has = np.zeros((len(bags), width), dtype=np.float32)
+        has[owner[lo:hi], column[lo:hi] - start] = 1
+        common += has @ has.T
+    return common
+
+
+def _joining(similarity: float):
+    """Links between rows of different groups that connect them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch, begins in groups(batches, "key"):
+            names, group = batch["id"].to_numpy(), batch["group"].to_numpy()
+            size, mine = batch["n"].to_numpy(), batch["mine"].to_numpy()
+            apart = (batch["i"] != batch["j"]).to_numpy()
+            a, b = [], []
+            for start, end in zip(begins[:-1], begins[1:], strict=True):
+                part = slice(start, end)
+                bags = [np.frombuffer(x, dtype=np.int32) for x in batch["bag"].iloc[part]]
+                if len(bags) < 2:
+                    continue
+                common = overlaps(bags)
+                n = size[part].astype(np.float32)
+                near = common >= similarity * (n[:, None] + n - common) - 1e-3
+                near &= group[part][:, None] != group[part]
+                if apart[start]:
+                    near &= mine[part][:, None] != mine[part]
+                x, y = connecting(near)
+                a += list(names[start:end][x])
+                b += list(names[start:end][y])
+            yield pd.DataFrame({"a": a, "b": b}, dtype=object)
+
+    return run
+
+
+def _block(parts: str) -> Column:
+    return F.expr(f"int(pmod(xxhash64(id, 7), {parts}))")
 
 
 def links_in_buckets(members: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     """Links a, b that join the classes of every bucket as far as their bags overlap.
-    ``members``: bucket, id, n; ``bags``: class, shingles."""
-    spark = members.sparkSession
-    members = members.withColumn("group", F.col("id"))
-    links = spark.createDataFrame([], "a binary, b binary")
-    centres = 1
-    while True:
-        chance = F.xxhash64("id", F.lit(centres))
-        open_ = members.groupBy("bucket").agg(
-            F.count("*").alias("size"),
-            F.min_by("id", F.xxhash64("id")).alias("first"),
-            F.min("group").alias("least"),
-            F.max("group").alias("most"),
-        )
-        open_ = cut(open_.filter("least != most").drop("least", "most"), "buckets")
-        size = open_.agg(F.sum(F.col("size") * F.col("size")), F.max("size")).head()
-        if not size[0]:
-            return links
-        last = size[0] <= LAST_ROUND or centres >= size[1]
-        members = members.join(open_, "bucket")
-        share = F.pmod(chance, F.lit(1 << 30)) / float(1 << 30)
-        chosen = F.lit(True) if last else (F.col("id") == F.col("first")) | (share < centres / F.col("size"))
-        a = members.filter(chosen).select(
-            "bucket", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("group").alias("group_a")
-        )
-        pairs = members.join(a, "bucket").filter((F.col("group") != F.col("group_a")) & (F.col("id") != F.col("a")))
-        fits = F.least("n", "n_a") >= similarity * F.greatest("n", "n_a")
-        # The one with the lower hash is a: the first centre of most of its buckets.
-        swap = F.xxhash64("a") > F.xxhash64("id")
-        pairs = pairs.filter(fits).select(
-            F.when(swap, F.col("id")).otherwise(F.col("a")).alias("a"),
-            F.when(swap, F.col("a")).otherwise(F.col("id")).alias("b"),
-        )
-        found = _verified(pairs.distinct(), bags, similarity)
-        links = cut(links.unionByName(found), "links")
-        if last:
-            return links
-        groups = components(links).withColumnRenamed("component", "now")
-        members = members.drop("size", "first").join(groups, "id", "left")
-        members = members.withColumn("group", F.coalesce("now", "group")).drop("now")
-        members = cut(members, "members")
-        centres *= 2
+    ``members``: bucket, size (of the bucket), id, n; ``bags``: class, bag."""
+    meets = members.groupBy("id").agg(F.sum("size").alias("meets"))
+    hubs = (
+        members.join(meets, "id")
+        .groupBy("bucket")
+        .agg(F.max(F.struct("meets", "id")).alias("hub"))
+        .select("bucket", F.col("hub.id").alias("hub"))
+    )
+    hubs = cut(hubs, "hubs")
+    sizes = members.select("id", "n").distinct()
+    pairs = members.join(hubs, "bucket").filter("id != hub").select("hub", "id", "n").distinct()
+    pairs = pairs.join(sizes.select(F.col("id").alias("hub"), F.col("n").alias("n_hub")), "hub")
+    pairs = pairs.filter(F.least("n", "n_hub") >= similarity * F.greatest("n", "n_hub"))
+    links = _verified(pairs.select(F.col("hub").alias("a"), F.col("id").alias("b")), bags, similarity)
+    links = cut(links, "links")
+
+    # Members with their groups, and the buckets that hold several.
+    found = components(links).withColumnRenamed("component", "group")
+    named = members.join(found, "id", "left").withColumn("group", F.coalesce("group", "id"))
+    named = cut(named.select("bucket", "id", "n", "group"), "named")
+    open_ = named.groupBy("bucket").agg(F.min("group").alias("least"), F.max("group").alias("most"))
+    open_ = open_.filter("least != most").select("bucket")
+    keys = hubs.join(found.withColumnRenamed("id", "hub"), "hub", "left")
+    keys = keys.select("bucket", F.coalesce("group", "hub").alias("key")).join(open_, "bucket")
+    rows = named.join(keys, "bucket").select("key", "id", "n", "group").distinct()
+    rows = cut(rows.withColumn("inner", F.col("key") == F.col("group")), "rows")
+
+    # Rows of the key's own group are compared with the others only: their blocks come first,
+    # and no two of them make a pair.
+    parts = rows.groupBy("key").agg(
+        F.ceil(F.count_if("inner") / BLOCK).cast("int").alias("own"),
+        F.ceil(F.count_if(~F.col("inner")) / BLOCK).cast("int").alias("other"),
+    )
+    dealt = rows.join(parts, "key").withColumn("mine", F.when(F.col("inner"), _block("own")).otherwise(F.col("own") + _block("other")))
+    blocks = F.expr("IF(inner, sequence(own, own + other - 1), sequence(0, own + other - 1))")
+    dealt = dealt.withColumn("with", F.explode(blocks))
+    dealt = dealt.select(
+        "key", "id", "n", "group", "mine", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j")
+    )
+    dealt = dealt.join(bags.select(F.col("class").alias("id"), "bag"), "id")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = dealt.mapInPandas(_joining(similarity), "a binary, b binary")
+    return cut(links.unionByName(more), "links")
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY
 ) -> DataFrame:
     """One row per document: ``id_col``, class (of equal texts, binary), class_id (the least
-    id of its class), group_id (the least id of those reachable by links) and kept, true for
-    the documents with the group's id. Rows that repeat an id and its text are alike, so
-    both are kept; ``deduplicated`` takes one."""
+    id of its class), group (the least class of those reachable by links), group_id (the
+    least id in it) and kept, true for the documents with the group's id. Rows that repeat
+    an id and its text are alike, so both are kept; ``deduplicated`` takes one."""
     rows = cut(signed(docs, id_col, text_col), "signed")
     first = F.min("id").alias("class_id"), F.first("n").alias("n"), F.first("bands").alias("bands")
     classes = cut(rows.filter("n > 0").groupBy("class").agg(*first), "classes")
     buckets = classes.select(F.explode("bands").alias("bucket"), F.col("class").alias("id"), "n")
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
-    members = cut(buckets.join(shared, "bucket", "left_semi"), "members")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    members = cut(buckets.join(shared, "bucket"), "members")
     wanted = _sized(members.select(F.col("id").alias("class")).distinct())
-    bags = rows.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles"))
+    bags = rows.join(wanted, "class", "left_semi").groupBy("class").agg(
+        F.first("bag").alias("bag")
+    )
     links = links_in_buckets(members, cut(bags, "bags"), similarity)
     groups = components(links).withColumnRenamed("id", "class")
     ids = classes.select("class", "class_id").join(groups, "class", "left")
     ids = ids.withColumn("component", F.coalesce("component", "class"))
     least = ids.groupBy("component").agg(F.min("class_id").alias("group_id"))
-    ids = ids.join(least, "component").select("class", "class_id", "group_id")
+    ids = ids.join(least, "component").select("class", "class_id", F.col("component").alias("group"), "group_id")
     return (
         rows.select("id", "class", "n")
         .join(ids, "class", "left")
@@ -259,6 +326,7 @@ def near_duplicates(
             F.col("id").alias(id_col),
             "class",
             F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
+            "group",
             F.when(F.col("n") > 0, F.col("group_id")).otherwise(F.col("id")).alias("group_id"),
         )
         .withColumn("kept", F.col(id_col).eqNullSafe(F.col("group_id")))
@@ -270,11 +338,11 @@ def deduplicated(
 ) -> DataFrame:
     """One document of each group, with all its columns. Documents without words stay."""
     found = cut(near_duplicates(docs, id_col, text_col, similarity).filter("kept"), "kept")
-    kept = found.select(F.col(id_col).alias("__id"), F.col("class").alias("__kept")).distinct()
-    # Of rows that repeat the group's id with different texts, the class with the least hash.
-    one = found.groupBy("group_id").agg(F.min("class").alias("__kept"))
-    one = one.select(F.col("group_id").alias("__id"), "__kept")
-    kept = kept.join(one, ["__id", "__kept"], "left_semi")
+    # Several texts of a group can bear its least id; the least class stays.
+    one = found.filter("group IS NOT NULL").groupBy(id_col, "group").agg(F.min("class").alias("class"))
+    wordless = found.filter("group IS NULL").select(id_col, "class").distinct()
+    kept = one.select(id_col, "class").unionByName(wordless)
+    kept = cut(kept.select(F.col(id_col).alias("__id"), F.col("class").alias("__kept")), "kept")
     rows = docs.withColumn("__class", _class(text_col))
     same = rows[id_col].eqNullSafe(kept["__id"]) & (rows["__class"] == kept["__kept"])
     rows = rows.join(_sized(kept), same, "left_semi")

@@ -1,0 +1,26 @@
+"""Small inputs that every operator has to stand."""
+
+LONG = "Lorem ipsum dolor sit amet. " * 8000
+ODD_TEXTS = [
+    None, "", " ", "\n\n", "a", "one two three four", "one two three four five",
+    "one two three four five", "  spaced   out  ", "x" * 50_000, "日本語のテキスト " * 50, "😀 é ​ ▁x",
+    "<s> </s> <|endoftext|> it's  we'll\t\tx \n\n y", LONG,
+]
+
+# Names that operators use for columns of their own.
+CLASHING = (
+    "score double, predicted int, copy int, n_copies int, n_tokens string, size int, rate int, "
+    "bands int, class int, paragraph int, text_key int, kept string, id string, part int, k int, "
+    "x int, m int, w int, z int, a int, b int, c int"
+)
+
+
+def documents(spark, texts=ODD_TEXTS, clashing=True, ids=None):
+    ids = range(len(texts)) if ids is None else ids
+    rows = [(i, t, "en", f"src{n % 3}", None if t is None else len(t)) for n, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    if clashing:
+        for part in CLASHING.split(","):
+            name, kind = part.split()
+            df = df.selectExpr("*", f"CAST(NULL AS {kind}) AS `{name}`")
+    return df
