@@ -22,7 +22,7 @@ def _least(edges: DataFrame) -> DataFrame:
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     joined = both.filter("b > a").join(_least(both), "a")
-    return joined.select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+    return joined.select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from receiptlake.llm.blocks import connecting, groups
 from receiptlake.llm.common import cut, short_batches
 from receiptlake.llm.components import components
 
@@ -120,32 +121,6 @@ def in_blocks(rows: DataFrame, key: str) -> DataFrame:
     return dealt.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
-def _groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-    """Batches of whole groups, with the places where groups begin and the end. A group is
-    as large as two blocks at most."""
-    rest = None
-    for batch in batches:
-        if rest is not None:
-            batch = pd.concat([rest, batch], ignore_index=True)
-        begins = _begins(batch, key)
-        if len(begins) > 2:
-            last = begins[-2]
-            yield batch.iloc[:last], begins[:-1]
-            batch = batch.iloc[last:].reset_index(drop=True)
-        rest = batch
-    if rest is not None and len(rest):
-        yield rest, _begins(rest, key)
-
-
-def _begins(batch: pd.DataFrame, key: str) -> np.ndarray:
-    new = np.zeros(len(batch) + 1, dtype=bool)
-    new[[0, -1]] = True
-    for column in (key, "i", "j"):
-        values = batch[column].to_numpy()
-        new[1:-1] |= values[1:] != values[:-1]
-    return np.flatnonzero(new)
-
-
 def _matrix(vectors: pd.Series) -> np.ndarray:
     values = np.frombuffer(b"".join(vectors), dtype=np.float64)
     return values.reshape(len(vectors), -1)
@@ -167,7 +142,7 @@ def _connecting(cosine: float):
     """Links that connect what is linked within a group."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch, begins in _groups(batches, "filter"):
+        for batch, begins in groups(batches, "filter"):
             names, a, b = batch["class"].to_numpy(), [], []
             sizes = np.diff(begins)
             group = np.repeat(np.arange(len(sizes)), sizes)
@@ -184,18 +159,9 @@ def _connecting(cosine: float):
                     b += list(names[hit + step])
             for n in np.flatnonzero((sizes > 8) | (batch["i"].to_numpy() != batch["j"].to_numpy())[begins[:-1]]):
                 start, end = begins[n], begins[n + 1]
-                near = _linked(batch, start, end, cosine)
-                waiting = near.any(axis=1)
-                while waiting.any():
-                    open_ = [int(waiting.argmax())]
-                    waiting[open_[0]] = False
-                    while open_:
-                        x = open_.pop()
-                        reached = np.flatnonzero(near[x] & waiting)
-                        waiting[reached] = False
-                        open_ += reached.tolist()
-                        a += [names[start + x]] * len(reached)
-                        b += list(names[start + reached])
+                x, y = connecting(_linked(batch, start, end, cosine))
+                a += list(names[start:end][x])
+                b += list(names[start:end][y])
             yield pd.DataFrame({"a": a, "b": b}, dtype=object)
 
     return run
@@ -205,7 +171,7 @@ def _counting(cosine: float):
     """How many rows of its group each class is linked to, copies counted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch, begins in _groups(batches, "component"):
+        for batch, begins in groups(batches, "component"):
             counts = np.zeros(len(batch), dtype=np.int64)
             copies = batch["copies"].to_numpy()
             for start, end in zip(begins[:-1], begins[1:], strict=True):
@@ -240,11 +206,11 @@ def near_vectors(
     places = cut(places.join(shared, "filter", "left_semi"), "places")
     places = places.join(classes.select("class", "vector"), "class")
     links = in_blocks(places, "filter").mapInPandas(_connecting(cosine), "a binary, b binary")
-    groups = cut(components(links).withColumnRenamed("id", "class"), "groups")
-    members = groups.join(classes.select("class", "copies", "vector"), "class")
+    found = cut(components(links).withColumnRenamed("id", "class"), "groups")
+    members = found.join(classes.select("class", "copies", "vector"), "class")
     counts = in_blocks(members, "component").mapInPandas(_counting(cosine), "class binary, links bigint")
     counts = counts.groupBy("class").agg(F.sum("links").alias("links"))
-    known = classes.select("class", "first_id", "copies").join(groups, "class", "left")
+    known = classes.select("class", "first_id", "copies").join(found, "class", "left")
     known = cut(known.withColumn("component", F.coalesce("component", "class")), "known")
     least = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
     known = known.join(least, "component").join(counts, "class", "left")

@@ -12,11 +12,11 @@ overlap of their bags.
 Texts that are equal are taken together first, so copies cost one row each. Within a band's
 bucket not all pairs are made. Its hub, the member that meets most others in all its buckets,
 is compared with the rest; in a group of edited copies that is the text they come from, and
-links to it connect nearly all of them. Buckets that hold more than one group after that are
-gathered by the group of their hub, each member once, and what is not in one group yet is
-compared completely: pairs of blocks are dealt out, a task counts all overlaps in a pair of
-blocks at once, and only links that connect leave it. So every pair that shares a band is
-either in one group or has been checked, and no group is expanded into pairs.
+links to it connect most of them. Buckets in which not all are linked to their hub are
+gathered by hub, each member once, and all are compared with those that are not: pairs of
+blocks are dealt out, a task counts all overlaps in a pair of blocks at once, and only links
+that connect leave it. So every pair that shares a band is either connected by its hub or has
+been checked, and no group is expanded into pairs.
 
 Words are what white space separates, in lower case. A text of one to four words is one
 shingle. Null, empty and wordless texts link with nothing. Overlaps are counted on 32-bit
@@ -218,11 +218,11 @@ def overlaps(bags: list[np.ndarray]) -> np.ndarray:
 
 
 def _joining(similarity: float):
-    """Links between rows of different groups that connect them."""
+    """Links that connect rows, but for those between inner rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, begins in groups(batches, "key"):
-            names, group = batch["id"].to_numpy(), batch["group"].to_numpy()
+            names, inner = batch["id"].to_numpy(), batch["inner"].to_numpy()
             size, mine = batch["n"].to_numpy(), batch["mine"].to_numpy()
             apart = (batch["i"] != batch["j"]).to_numpy()
             a, b = [], []
@@ -234,7 +234,8 @@ def _joining(similarity: float):
                 common = overlaps(bags)
                 n = size[part].astype(np.float32)
                 near = common >= similarity * (n[:, None] + n - common) - 1e-3
-                near &= group[part][:, None] != group[part]
+                near &= ~(inner[part][:, None] & inner[part])
+                np.fill_diagonal(near, False)
                 if apart[start]:
                     near &= mine[part][:, None] != mine[part]
                 x, y = connecting(near)
@@ -267,19 +268,17 @@ def links_in_buckets(members: DataFrame, bags: DataFrame, similarity: float) ->
     links = _verified(pairs.select(F.col("hub").alias("a"), F.col("id").alias("b")), bags, similarity)
     links = cut(links, "links")
 
-    # Members with their groups, and the buckets that hold several.
-    found = components(links).withColumnRenamed("component", "group")
-    named = members.join(found, "id", "left").withColumn("group", F.coalesce("group", "id"))
-    named = cut(named.select("bucket", "id", "n", "group"), "named")
-    open_ = named.groupBy("bucket").agg(F.min("group").alias("least"), F.max("group").alias("most"))
-    open_ = open_.filter("least != most").select("bucket")
-    keys = hubs.join(found.withColumnRenamed("id", "hub"), "hub", "left")
-    keys = keys.select("bucket", F.coalesce("group", "hub").alias("key")).join(open_, "bucket")
-    rows = named.join(keys, "bucket").select("key", "id", "n", "group").distinct()
-    rows = cut(rows.withColumn("inner", F.col("key") == F.col("group")), "rows")
-
-    # Rows of the key's own group are compared with the others only: their blocks come first,
-    # and no two of them make a pair.
+    # Buckets in which not all are linked to the hub are gone through by hub, each member
+    # once; ``inner`` are the hub and those linked to it.
+    known = links.select(F.col("a").alias("hub"), F.col("b").alias("id"), F.lit(True).alias("inner"))
+    named = members.select("bucket", "id", "n").join(hubs, "bucket").join(known, ["hub", "id"], "left")
+    inner = F.coalesce("inner", F.col("id") == F.col("hub"))
+    named = cut(named.select("bucket", F.col("hub").alias("key"), "id", "n", inner.alias("inner")), "named")
+    open_ = named.groupBy("bucket").agg(F.every("inner").alias("all")).filter("NOT all").select("bucket")
+    rows = cut(named.join(open_, "bucket").select("key", "id", "n", "inner").distinct(), "rows")
+
+    # Inner rows are connected. They are compared with the others only: their blocks come
+    # first, and no two of these make a pair.
     parts = rows.groupBy("key").agg(
         F.ceil(F.count_if("inner") / BLOCK).cast("int").alias("own"),
         F.ceil(F.count_if(~F.col("inner")) / BLOCK).cast("int").alias("other"),
@@ -288,7 +287,7 @@ def links_in_buckets(members: DataFrame, bags: DataFrame, similarity: float) ->
     blocks = F.expr("IF(inner, sequence(own, own + other - 1), sequence(0, own + other - 1))")
     dealt = dealt.withColumn("with", F.explode(blocks))
     dealt = dealt.select(
-        "key", "id", "n", "group", "mine", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j")
+        "key", "id", "n", "inner", "mine", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j")
     )
     dealt = dealt.join(bags.select(F.col("class").alias("id"), "bag"), "id")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -314,8 +313,8 @@ def near_duplicates(
         F.first("bag").alias("bag")
     )
     links = links_in_buckets(members, cut(bags, "bags"), similarity)
-    groups = components(links).withColumnRenamed("id", "class")
-    ids = classes.select("class", "class_id").join(groups, "class", "left")
+    reached = components(links).withColumnRenamed("id", "class")
+    ids = classes.select("class", "class_id").join(reached, "class", "left")
     ids = ids.withColumn("component", F.coalesce("component", "class"))
     least = ids.groupBy("component").agg(F.min("class_id").alias("group_id"))
     ids = ids.join(least, "component").select("class", "class_id", F.col("component").alias("group"), "group_id")
