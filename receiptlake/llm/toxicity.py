@@ -7,10 +7,11 @@ Embeddings and softmax are trained jointly in numpy, on a bounded sample of labe
 cut into passages. Both layers are linear, so the trained model folds into one number per
 n-gram bucket, which is what tasks receive.
 
-Words whose number stays below a level count nothing, and a text is read in windows of
-``WINDOW`` words as well as whole and scores as its most toxic one: a passage in a long text
-is not averaged away, and the chance leanings of many common words do not add up. Level and
-the slope of the score are calibrated on sample rows that training has not seen.
+A text is read whole and in windows of each of ``WINDOWS`` words, at every position, and
+scores as its most toxic one: a passage in a long text is not averaged away. Words whose
+number stays below a level count nothing, so that the chance leanings of many common words
+do not add up. Each width has its own level, slope and shift, calibrated on sample rows that
+training has not seen. A passage shorter than the least width still counts by its share of it.
 
 Null, empty and wordless texts have no words and score as the calibration says for none.
 Columns other than id and text are never read. Labels of one id that differ count as the
@@ -30,12 +31,15 @@ from receiptlake.llm.common import short_batches
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
-WINDOW = 120
+WINDOWS = (15, 30, 60, 120)
+WHOLE = 1 << 62  # words: no text is longer
 LEAN = 5.0  # of the bias towards clean, before training
 # Bounds of the training sample: clean rows, toxic rows, and characters of a row.
 SAMPLE_ROWS = (4000, 2000)
 SAMPLE_CHARS = 20_000
 PASSAGE = 100  # words of a training passage, about
+# Levels tried, as shares of the words that are below.
+LEVELS = (0, 0.5, 0.8, 0.9, 0.95, 0.97, 0.98, 0.985, 0.99, 0.993, 0.995, 0.996, 0.997, 0.998)
 
 _POWERS = np.cumprod(np.full(256, 0x01000193, dtype=np.uint32), dtype=np.uint32)
 _LETTER = np.array([chr(c).isalnum() for c in range(65536)])
@@ -188,44 +192,62 @@ def word_numbers(numbers: np.ndarray, texts: list[str | None]) -> list[np.ndarra
     return np.split(sums / np.maximum(found.per_word, 1), found.first[1:-1])
 
 
-def worst_mean(words: np.ndarray, level: float) -> float:
-    """The greatest mean of a window or the whole, of what exceeds the level."""
-    if not len(words):
-        return 0.0
-    sums = np.concatenate([[0.0], np.cumsum(np.sign(words) * np.maximum(np.abs(words) - level, 0))])
-    whole = sums[-1] / len(words)
-    if len(words) <= WINDOW:
-        return float(whole)
-    starts = np.append(np.arange(0, len(words) - WINDOW, WINDOW // 2), len(words) - WINDOW)
-    return float(max(whole, (sums[starts + WINDOW] - sums[starts]).max() / WINDOW))
+@dataclass
+class Reading:
+    """How windows of a width are scored. Words above the level count by all of their number
+    or, if ``excess``, by what exceeds the level."""
+
+    width: int
+    level: float
+    excess: bool
+    slope: float
+    shift: float
+
+    def mean(self, words: np.ndarray) -> float:
+        """The greatest mean of a window, or of the whole if that is no longer."""
+        if not len(words):
+            return 0.0
+        size = np.abs(words)
+        counted = np.where(size > self.level, words - np.sign(words) * self.level * self.excess, 0)
+        if len(words) <= self.width:
+            return float(counted.sum() / len(words))
+        sums = np.concatenate([[0.0], np.cumsum(counted)])
+        return float((sums[self.width :] - sums[: -self.width]).max() / self.width)
+
+    def log_odds(self, words: np.ndarray) -> float:
+        return self.slope * self.mean(words) + self.shift
 
 
 @dataclass
 class Model:
     numbers: np.ndarray
-    level: float
-    slope: float
-    shift: float
+    readings: list[Reading]
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         words = in_parts(lambda some: word_numbers(self.numbers, some), texts)
-        means = [worst_mean(w, self.level) for w in words]
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.array(means) + self.shift, -30, 30)))
+        odds = np.array([max(r.log_odds(w) for r in self.readings) for w in words])
+        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
 def constant(score: float) -> Model:
-    return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, 60.0 * score - 30.0)
+    return Model(np.zeros(1 << BITS, np.float32), [Reading(WHOLE, 0.0, False, 0.0, 60.0 * score - 30.0)])
 
 
 def calibrated(numbers: np.ndarray, texts: list[str], labels: list[int]) -> Model:
-    """The level under which the labels are likeliest, with logistic slope and shift."""
+    """For each width the level, and way to count, under which the labels are likeliest, with
+    logistic slope and shift."""
     y = np.asarray(labels, dtype=np.float64)
     words = list(in_parts(lambda some: word_numbers(numbers, some), texts))
     every = np.abs(np.concatenate(words)) if words else np.zeros(1)
+    levels = np.quantile(every, LEVELS)
+    return Model(numbers, [best_reading(width, levels, words, y) for width in (*WINDOWS, WHOLE)])
+
+
+def best_reading(width: int, levels: np.ndarray, words: list[np.ndarray], y: np.ndarray) -> Reading:
     best = None
-    for share in (0, 0.5, 0.8, 0.9, 0.95, 0.97, 0.98, 0.985, 0.99, 0.993, 0.995):
-        level = float(np.quantile(every, share))
-        x = np.array([worst_mean(w, level) for w in words])
+    for level, excess in ((float(at), how) for at in levels for how in (True, False)):
+        reading = Reading(width, level, excess, 0.0, 0.0)
+        x = np.array([reading.mean(w) for w in words])
         unit = x.std() or 1.0
         design = np.stack([x / unit, np.ones_like(x)], axis=1)
         fit = np.zeros(2)
@@ -237,7 +259,7 @@ def calibrated(numbers: np.ndarray, texts: list[str], labels: list[int]) -> Mode
         p = np.clip(1 / (1 + np.exp(-np.clip(design @ fit, -30, 30))), 1e-9, 1 - 1e-9)
         loss = -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
         if best is None or loss < best[0]:
-            best = loss, Model(numbers, level, float(fit[0] / unit), float(fit[1]))
+            best = loss, Reading(width, level, excess, float(fit[0] / unit), float(fit[1]))
     return best[1]
 
 
