@@ -3,20 +3,26 @@
 Markup is stripped to lines, one per block element. Elements that never hold the article
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments of readers)
 are stripped with their text and leave a gap of empty lines. The lengths of lines are then
-summed over sliding windows. Text runs until it dives, where a window is empty, and counts
-from its surge, the first window that reaches a threshold; what stands between surge and
-dive is kept whole. An ``article`` or ``main`` element binds its lines: no gap opens inside
-it, and it surges at its first line if at all. Where some of these surge, the fullest is the
-article and the rest is left out; without one every run that surges is kept. If nothing
-reaches the threshold, the fullest window of the page is the measure.
+summed over sliding windows. Text runs until it dives, where a window is empty, and surges
+in the first window that reaches a threshold. From the run that surges first to the last dive
+of the page body all lines are kept, also short ones between or behind gaps. Runs before it
+count only if the gap between is inside an element (other than the body) that holds both.
+
+An ``article`` or ``main`` element binds its lines: no gap opens inside it, and it surges at
+its first line if at all. Where one surges, elements decide instead: the fullest is the
+article and the rest is left out. If nothing reaches the threshold, the fullest window of the
+page is the measure.
 
 Null and empty pages have an empty text. Pages are handled one by one and whole; repeated
 pages give repeated rows, and other columns are left out.
 """
 
 import html
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,6 +39,8 @@ INLINE = set(
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = {"article", "main"}
+# Elements that hold blocks of a text together and are closed by their own tag.
+HOLDERS = ARTICLE | set("div section center blockquote table td ul ol dl figure details fieldset".split())
 # Stripped elements that an article never stands in, so one that opens there ends them.
 LEFT_OPEN = {"nav", "header", "head", "menu", "button"}
 ROLES = (
@@ -80,11 +88,31 @@ def is_aside(name: str, attributes: str, within: bool) -> bool:
     return False
 
 
-def lines(page: str, gap: int) -> list[tuple[str, int]]:
-    """Text of each block in page order, with the number of the article element around it
-    (0: none). What was stripped outside of such elements, and their ends, leave ``gap``
-    empty lines."""
-    out: list[tuple[str, int]] = []
+@dataclass
+class Holder:
+    """An open element that holds blocks, its first line, and the line where it ends."""
+
+    name: str
+    begin: int
+    end: float = math.inf
+
+
+@dataclass
+class Line:
+    """``article``: number of the article element around it, 0 for none. ``holder``: of an
+    empty line, the innermost element that the gap is in, if any but the body."""
+
+    text: str
+    article: int = 0
+    holder: Holder | None = None
+
+
+def lines(page: str, gap: int) -> list[Line]:
+    """Text of each block in page order. What was stripped outside of article elements, and
+    their ends, leave ``gap`` empty lines."""
+    out: list[Line] = []
+    holders: list[Holder] = []  # open
+    names = Counter()  # of these
     text: list[str] = []
     stack: list[str] = []  # elements open inside a stripped one, from that one on
     inside: list[str] = []  # article elements open
@@ -94,10 +122,18 @@ def lines(page: str, gap: int) -> list[tuple[str, int]]:
         if text:
             line = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if line:
-                out.append((line, article))
+                out.append(Line(line, article))
             text.clear()
         if not article:
-            out.extend([("", 0)] * empty)
+            out.extend([Line("", 0, holders[-1] if holders else None)] * empty)
+
+    def close(name: str) -> None:
+        while names[name]:
+            last = holders.pop()
+            last.end = len(out)
+            names[last.name] -= 1
+            if last.name == name:
+                break
 
     found = _TOKEN.search(page)
     while found:
@@ -129,6 +165,8 @@ def lines(page: str, gap: int) -> list[tuple[str, int]]:
         elif closing:
             if name not in INLINE:
                 end_block()
+                if name in HOLDERS:
+                    close(name)
                 if name in ARTICLE and inside:
                     inside.pop()
                     if not inside:
@@ -140,12 +178,17 @@ def lines(page: str, gap: int) -> list[tuple[str, int]]:
             if not article:
                 opened += 1
                 article = opened
+            holders.append(Holder(name, len(out)))
+            names[name] += 1
         else:
             aside = is_aside(name, attributes, bool(inside))
             if aside or name not in INLINE:
                 end_block(gap * aside)
             if aside and not alone:
                 stack.append(name)
+            elif name in HOLDERS and not alone:
+                holders.append(Holder(name, len(out)))
+                names[name] += 1
         found = _TOKEN.search(page, at)
     if not stack:
         text.append(page[at:])
@@ -153,13 +196,13 @@ def lines(page: str, gap: int) -> list[tuple[str, int]]:
     return out
 
 
-def runs(found: list[tuple[str, int]], window: int) -> list[tuple[int, int]]:
+def runs(found: list[Line], window: int) -> list[tuple[int, int]]:
     """Stretches of lines from text on to where the text dives: the next ``window`` lines
     are empty."""
     out, start, empty = [], None, 0
-    for n, (line, _) in enumerate(found):
-        empty = 0 if line else empty + 1
-        if line and start is None:
+    for n, line in enumerate(found):
+        empty = 0 if line.text else empty + 1
+        if line.text and start is None:
             start = n
         elif empty == window and start is not None:
             out.append((start, n + 1 - window))
@@ -169,23 +212,40 @@ def runs(found: list[tuple[str, int]], window: int) -> list[tuple[int, int]]:
     return out
 
 
+def body_start(found: list[Line], spans: list[tuple[int, int]], first: int, surge: int) -> int:
+    """The first line that counts if ``spans[first]`` is the run that surges, at line
+    ``surge``: earlier runs do if an element holds the surge, the gap and a line of theirs."""
+    start = spans[first][0]
+    for before, end in reversed(spans[:first]):
+        gap = (line.holder for line in found[end:start])
+        if not any(h and h.begin < end and h.end > surge for h in gap):
+            break
+        start = before
+    return start
+
+
 def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
     """``window``: lines per block; ``surge``: characters from which a block is text."""
     found = lines(page or "", window)
-    sizes = [len(line) for line, _ in found]
+    sizes = [len(line.text) for line in found]
     blocks = [sum(sizes[n : n + window]) for n in range(len(sizes))]
     if not any(blocks):
         return ""
     level = min(surge, max(blocks))
+    spans = runs(found, window)
     kept = []
-    for start, end in runs(found, window):
+    for k, (start, end) in enumerate(spans):
         above = next((n for n in range(start, end) if blocks[n] >= level), None)
         if above is not None:
-            article = found[start][1]
-            kept.append((start if article else above, end, article))
-    if articles := [run for run in kept if run[2]]:
-        kept = [max(articles, key=lambda run: (sum(sizes[run[0] : run[1]]), -run[0]))]
-    return " ".join(line for start, end, _ in kept for line, _ in found[start:end] if line)
+            kept.append((k, above))
+    if articles := [spans[k] for k, _ in kept if found[spans[k][0]].article]:
+        start, end = max(articles, key=lambda run: (sum(sizes[run[0] : run[1]]), -run[0]))
+    else:
+        first, above = kept[0]
+        # The line of text in the window that surges.
+        above = max(range(above, min(above + window, spans[first][1])), key=lambda n: sizes[n])
+        start, end = body_start(found, spans, first, above), len(found)
+    return " ".join(line.text for line in found[start:end] if line.text)
 
 
 def page_texts(

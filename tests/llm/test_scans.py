@@ -253,3 +253,29 @@ def test_odd_pages(spark):
     for n, want in enumerate(cases.values()):
         assert want is None or got[n] == want, n
     assert page_text.page_texts(pages.limit(0)).count() == 0
+
+
+def test_short_lines_around_gaps():
+    long, more = ("word " * 40).strip(), ("more " * 40).strip()
+    ad, form = f"<div class='ad-box'>{more}</div>", f"<form>{more}</form>"
+    article = f"<p>Lead.</p>{ad}<p>a</p><p>b</p><p>c</p><p>{long}</p>{ad}<p>Short.</p>{form}<p>{more}</p>{ad}<p>Last.</p>"
+    want = f"Lead. a b c {long} Short. {more} Last."
+    menu = f"<nav>{more}</nav><div>Home</div><div class=banner>{more}</div>"
+    for name in ("div", "section", "td"):
+        page = f"<body>{menu}<{name}>{article}</{name}><footer>{more}</footer></body>"
+        assert page_text.main_text(page) == want, name
+    nested = article.replace("<p>", "<div><p>").replace("</p>", "</p></div>")
+    assert page_text.main_text(f"<body>{menu}<div>{nested}</div></body>") == want
+    # Without an element around them lines count from the run that surges first.
+    for bare in (article, nested):
+        assert page_text.main_text(f"<body>{menu}{bare}</body>") == want.removeprefix("Lead. ")
+    assert page_text.main_text("<div>" * 3000 + article) == want
+    assert page_text.main_text(f"<p>Lead.</p><p>a</p><p>b</p><p>{long}</p>") == f"Lead. a b {long}"
+
+
+def test_pages_without_article_tags(spark, sf_dir):
+    """The given pages with their article tags replaced by div: the article is whole."""
+    pages = table(spark, sf_dir, "pages").select("html").collect()
+    for r in pages:
+        page = re.sub(r"<(/?)(?:article|main)\b", r"<\1div", r.html)
+        assert article_text(r.html) in page_text.main_text(page), page[:200]
