@@ -9,9 +9,9 @@ of the page body all lines are kept, also short ones between or behind gaps. Run
 count only if the gap between is inside an element (other than the body) that holds both.
 
 An ``article`` or ``main`` element binds its lines: no gap opens inside it, and it surges at
-its first line if at all. Where one surges, elements decide instead: the fullest is the
-article and the rest is left out. If nothing reaches the threshold, the fullest window of the
-page is the measure.
+its first line if at all. Where one surges, elements decide instead: the fullest and its
+siblings (in the same element) that surge are the article, and the rest is left out. If
+nothing reaches the threshold, the fullest window of the page is the measure.
 
 Null and empty pages have an empty text. Pages are handled one by one and whole; repeated
 pages give repeated rows, and other columns are left out.
@@ -99,8 +99,8 @@ class Holder:
 
 @dataclass
 class Line:
-    """``article``: number of the article element around it, 0 for none. ``holder``: of an
-    empty line, the innermost element that the gap is in, if any but the body."""
+    """``article``: number of the article element around it, 0 for none. ``holder``: the
+    innermost element, if any but the body, that a gap or the article element is in."""
 
     text: str
     article: int = 0
@@ -117,12 +117,13 @@ def lines(page: str, gap: int) -> list[Line]:
     stack: list[str] = []  # elements open inside a stripped one, from that one on
     inside: list[str] = []  # article elements open
     article, opened, at = 0, 0, 0
+    around = None  # the element that the article element is in
 
     def end_block(empty: int = 0) -> None:
         if text:
             line = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if line:
-                out.append(Line(line, article))
+                out.append(Line(line, article, around if article else None))
             text.clear()
         if not article:
             out.extend([Line("", 0, holders[-1] if holders else None)] * empty)
@@ -178,6 +179,7 @@ def lines(page: str, gap: int) -> list[Line]:
             if not article:
                 opened += 1
                 article = opened
+                around = holders[-1] if holders else None
             holders.append(Holder(name, len(out)))
             names[name] += 1
         else:
@@ -239,13 +241,15 @@ def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
         if above is not None:
             kept.append((k, above))
     if articles := [spans[k] for k, _ in kept if found[spans[k][0]].article]:
-        start, end = max(articles, key=lambda run: (sum(sizes[run[0] : run[1]]), -run[0]))
+        fullest = max(articles, key=lambda run: (sum(sizes[run[0] : run[1]]), -run[0]))
+        around = found[fullest[0]].holder
+        parts = [run for run in articles if found[run[0]].holder is around]
     else:
         first, above = kept[0]
         # The line of text in the window that surges.
         above = max(range(above, min(above + window, spans[first][1])), key=lambda n: sizes[n])
-        start, end = body_start(found, spans, first, above), len(found)
-    return " ".join(line.text for line in found[start:end] if line.text)
+        parts = [(body_start(found, spans, first, above), len(found))]
+    return " ".join(line.text for start, end in parts for line in found[start:end] if line.text)
 
 
 def page_texts(

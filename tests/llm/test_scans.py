@@ -279,3 +279,13 @@ def test_pages_without_article_tags(spark, sf_dir):
     for r in pages:
         page = re.sub(r"<(/?)(?:article|main)\b", r"<\1div", r.html)
         assert article_text(r.html) in page_text.main_text(page), page[:200]
+
+
+def test_sibling_articles():
+    one, two, three = (f"{word} " * 40 for word in ("one", "two", "three"))
+    both = f"<article><h2>A</h2><p>{one}</article><p>x</p><article><p>{two}{two}</article><article>y</article>"
+    for page in (both, f"<body><div>{both}</div><div><article>{three}</article></div></body>"):
+        assert page_text.main_text(page).split() == f"A {one} {two} {two}".split()
+    page = f"{both}<article class=comment>{three}</article><section id=comments><article>{three}</article></section>"
+    assert page_text.main_text(page).split() == f"A {one} {two} {two}".split()
+    assert page_text.main_text(f"<main>{both}</main>").split() == f"A {one} x {two} {two} y".split()
