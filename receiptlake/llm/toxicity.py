@@ -37,6 +37,7 @@ LEAN = 5.0  # of the bias towards clean, before training
 # Bounds of the training sample: clean rows, toxic rows, and characters of a row.
 SAMPLE_ROWS = (4000, 2000)
 SAMPLE_CHARS = 20_000
+PIECES = 20  # of a row that has more
 PASSAGE = 100  # words of a training passage, about
 # Levels tried, as shares of the words that are below.
 LEVELS = (0, 0.5, 0.8, 0.9, 0.95, 0.97, 0.98, 0.985, 0.99, 0.993, 0.995, 0.996, 0.997, 0.998)
@@ -276,21 +277,29 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         return calibrated(numbers, [t for t, _ in held], [label for _, label in held])
 
 
+def bounded(text: Column) -> Column:
+    """At most ``SAMPLE_CHARS`` characters of a text: pieces spread evenly over a longer one."""
+    size = SAMPLE_CHARS // PIECES - 1
+    step = (F.length(text) - size) / (PIECES - 1)
+    pieces = [F.substr(text, (F.lit(n) * step).cast("int") + 1, F.lit(size)) for n in range(PIECES)]
+    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.concat_ws(" ", *pieces))
+
+
 def sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str) -> list[tuple[str, int]]:
-    """Texts and labels of at most ``SAMPLE_ROWS`` rows, the first of each class by a hash
-    of the id, among those ids for which ``usable`` holds."""
+    """Texts, or pieces of long ones, and labels of at most ``SAMPLE_ROWS`` rows, the first of
+    each class by a hash of the id, among those ids that have a text and for which ``usable``
+    holds."""
     known = labels.filter(usable & F.col("toxic").isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
+    texts = docs.select(id_col, F.col(text_col).alias("__text")).filter(F.length("__text") > 0)
+    known = known.join(texts.select(id_col).distinct(), id_col, "left_semi")
     known = known.withColumn("__place", F.xxhash64(id_col))
-    texts = docs.select(id_col, F.col(text_col).alias("__text")).filter(
-        F.length("__text").between(1, SAMPLE_CHARS)
-    )
     chosen = None
     for label, most in enumerate(SAMPLE_ROWS):
         some = known.filter(F.col("toxic") == label).orderBy("__place", id_col).limit(most)
         chosen = some if chosen is None else chosen.union(some)
     # Of a bounded number of rows, whatever the input.
-    rows = texts.join(F.broadcast(chosen), id_col).groupBy(id_col, "toxic", "__place")
-    rows = rows.agg(F.max("__text").alias("__text")).collect()
+    rows = texts.withColumn("__text", bounded(F.col("__text"))).join(F.broadcast(chosen), id_col)
+    rows = rows.groupBy(id_col, "toxic", "__place").agg(F.max("__text").alias("__text")).collect()
     return [(r["__text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["__place"], r[id_col]))]
 
 

@@ -216,6 +216,24 @@ def test_toxicity_without_labels(spark):
     assert [r[0] for r in docs.select(toxicity.held_out()).collect()] == [False, True]
 
 
+def test_sample_has_long_rows_and_no_places_without_text(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", (3, 2))
+    ids = range(40)
+    long = "".join(f"word{n} " for n in range(20_000))
+    docs = documents(spark, [None if i % 2 else long if i % 4 else f"text {i}" for i in ids], clashing=False)
+    docs = docs.union(docs)
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in [*ids, 98, 99]], "doc_id long, toxic int")
+    rows = toxicity.sample(docs, labels, toxicity.F.lit(True), "doc_id", "text")
+    assert sorted(label for _, label in rows) == [0, 0, 0, 1, 1]
+    for text, label in rows:
+        assert len(text) <= toxicity.SAMPLE_CHARS
+        if label:
+            size = toxicity.SAMPLE_CHARS // toxicity.PIECES
+            places = [long.find(text[n : n + size - 1]) for n in range(0, len(text), size)]
+            assert len(places) == toxicity.PIECES and places[0] == 0 and long.endswith(text[1 - size :])
+            assert max(np.diff(places)) - min(np.diff(places)) <= 1 and min(places) == 0
+
+
 def article_text(page):
     body = re.search(r"<article[^>]*>(.*?)</article>", page, re.S)[1]
     body = re.sub(r"<(script|style)\b.*?</\1>|<!--.*?-->", " ", body, flags=re.S)
