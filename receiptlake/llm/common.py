@@ -14,6 +14,7 @@ TABLES = {
     "embeddings": "vec_id bigint, embedding array<float>",
     "pages": "page_id bigint, url string, html string",
     "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 
 

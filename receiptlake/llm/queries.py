@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from receiptlake.llm import (
     bpe,
+    conversations,
     embeddings,
     fingerprints,
     licenses,
     minhash,
     mixing,
+    packing,
     page_text,
     secret_scan,
     token_counts,
     toxicity,
+    whitening,
 )
 from receiptlake.llm.common import table
 
@@ -66,6 +69,19 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.page_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

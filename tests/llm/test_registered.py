@@ -18,20 +18,30 @@ CONTRACT = {
     "op8_embeddings": "vec_id n_links component_id kept",
     "op9_secrets": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op10_page_text": "page_id url text n_chars",
+    "op11_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+    "op12_whitening": "vec_id component n deviation whitened explained identity_error",
+    "op13_conversations": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
 }
 
 
 def test_names():
-    assert {int(n[2:].split("_")[0]) for n in queries()} == set(range(1, 11)) and len(queries()) == 10
+    assert {int(n[2:].split("_")[0]) for n in queries()} == set(range(1, 14)) and len(queries()) == 13
     assert {*queries(), "pipeline"} <= set(entry.queries()) and set(oracle_sql()) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(queries()))
 def test_whole_table(spark, sf_small, name):
     df = queries()[name](spark, sf_small)
-    of = {"op8_embeddings": "embeddings", "op10_page_text": "pages"}.get(name, "documents")
-    if name != "op6_mixing":
-        assert df.count() == table(spark, sf_small, of).count()
+    of = {"op8_embeddings": "embeddings", "op10_page_text": "pages", "op12_whitening": "embeddings"}
+    rows = table(spark, sf_small, of.get(name, "documents")).count()
+    if name == "op11_packing":
+        assert df.select("doc_id").distinct().count() == rows
+    elif name == "op12_whitening":
+        assert df.count() == 8 * rows
+    elif name == "op13_conversations":
+        assert df.count() == table(spark, sf_small, "conversations").select("conv_id").distinct().count()
+    elif name != "op6_mixing":
+        assert df.count() == rows
     assert set(CONTRACT.get(name, "doc_id").split()) <= set(df.columns)
 
 

@@ -1,0 +1,120 @@
+"""Whitening against a dense eigensolver and plain integers."""
+
+import numpy as np
+import pytest
+
+from receiptlake.llm import whitening
+from receiptlake.llm.common import table
+
+INF, NAN = float("inf"), float("nan")
+
+
+def plain(vectors):
+    """Whole numbers, eigenvalues and vectors of their covariance."""
+    x = np.floor(1024 * np.asarray(vectors, dtype=np.float32).astype(np.float64)) + 100_000
+    centred = x - x.mean(axis=0)
+    values, axes = np.linalg.eigh(centred.T @ centred / len(x))
+    return x, values[::-1], axes[:, ::-1]
+
+
+def held(rows, vectors, ids, k=8):
+    x, values, axes = plain(vectors)
+    n, sums = len(x), [int(s) for s in x.sum(axis=0)]
+    got = {}
+    for r in rows:
+        got.setdefault(r.vec_id, {})[r.component] = r
+    whitened = np.array([[got[i][c].whitened for c in range(1, k + 1)] for i in ids])
+    want = (x - x.mean(axis=0)) @ axes[:, :k] / np.sqrt(values[:k])
+    sign = np.sign((whitened * want).sum(axis=0))
+    assert np.allclose(whitened, want * sign, atol=1e-7)
+    one = next(iter(got.values()))
+    assert np.allclose([one[c].explained for c in range(1, k + 1)], values[:k] / values.sum(), rtol=1e-9)
+    off = np.cov(whitened.T, bias=True).reshape(k, k) - np.eye(k)
+    assert np.abs(off).max() < 1e-9 and max(r.identity_error for r in rows) < 1e-9
+    for i, row in zip(ids, x):
+        deviation = sum((n * int(c) - s) ** 2 for c, s in zip(row, sums))
+        assert {r.deviation for r in got[i].values()} == {deviation} and got[i][1].n == n
+
+
+def test_whole_table(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings")
+    rows = df.collect()
+    held(whitening.whiten(df).collect(), [r.embedding for r in rows], [r.vec_id for r in rows])
+
+
+def test_partitions_do_not_matter(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings")
+    one = sorted(whitening.whiten(df.coalesce(1)).collect())
+    assert one == sorted(whitening.whiten(df.repartition(13)).collect()) or np.allclose(
+        [r.whitened for r in one], [r.whitened for r in sorted(whitening.whiten(df.repartition(13)).collect())], atol=1e-9
+    )
+
+
+def frame(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    return df.selectExpr("*", "1 AS component", "'x' AS n", "0D AS whitened", "'y' AS __vector", "'z' AS __id")
+
+
+def test_odd_vectors(spark):
+    rng = np.random.default_rng(4)
+    good = [(n, v.tolist()) for n, v in enumerate(rng.normal(size=(60, 4)))]
+    good.append((None, good[0][1]))
+    good.append((7000, good[5][1]))
+    bad = [(90, None), (91, []), (92, [1.0, None, 1.0, 1.0]), (93, [NAN] * 4), (94, [INF, 0.0, 0.0, 0.0]), (95, [1.0, 2.0])]
+    rows = whitening.whiten(frame(spark, good + bad)).collect()
+    held(rows, [v for _, v in good], [i for i, _ in good], 4)
+    assert {r.vec_id for r in rows} == {i for i, _ in good}
+
+
+def test_no_variance(spark):
+    for rows in ([], [(1, None)], [(1, [1.0, 2.0])], [(1, [1.0, 2.0]), (2, [1.0, 2.0])]):
+        assert whitening.whiten(frame(spark, rows)).count() == 0
+    flat = [(n, [float(n), 3.0, float(n)]) for n in range(5)]
+    rows = whitening.whiten(frame(spark, flat)).collect()
+    assert {r.component for r in rows} == {1} and rows[0].explained == pytest.approx(1)
+
+
+def test_huge_entries(spark):
+    rows = whitening.whiten(frame(spark, [(1, [3e38, 0.0]), (2, [-3e38, 1.0]), (3, [0.0, 5.0])])).collect()
+    assert rows and all(r.deviation is None or r.deviation >= 0 for r in rows)
+
+
+def test_deviation_at_the_edge_of_long():
+    y = np.array([[3.0e9, 0.0], [3.04e9, 0.0], [1e15, 0.0], [2.0, 1.0]])
+    assert whitening.deviations(y, 1, [0, 0]) == [9 * 10**18, None, None, 5]
+
+
+def test_inertia():
+    rng = np.random.default_rng(1)
+    for d in (1, 3, 20, 40):
+        for _ in range(5):
+            a = rng.normal(size=(d, d))
+            a = a + a.T
+            if d == 20:
+                np.fill_diagonal(a, 0)
+            values = np.linalg.eigvalsh(a)
+            for shift in rng.normal(size=6) * np.abs(values).max():
+                assert whitening.above(a, shift) == (values > shift).sum()
+
+
+@pytest.mark.parametrize("kind", ["random", "steep", "cluster", "identity", "one", "pairs"])
+def test_components(kind):
+    rng = np.random.default_rng(2)
+    d = 48
+    axes, _ = np.linalg.qr(rng.normal(size=(d, d)))
+    values = {
+        "random": np.sort(rng.random(d))[::-1],
+        "steep": 10.0 ** -np.arange(d),
+        "cluster": np.r_[5 + 1e-9 * np.arange(6), np.ones(d - 6)],
+        "identity": np.ones(d),
+        "one": np.r_[1.0, np.zeros(d - 1)],
+        "pairs": np.repeat(np.arange(d // 2, 0, -1), 2).astype(float),
+    }[kind]
+    v = axes * values @ axes.T
+    v = (v + v.T) / 2
+    found, vectors = whitening.components(v)
+    want = np.linalg.eigvalsh(v)[::-1][: len(found)]
+    assert len(found) == (1 if kind == "one" else 8)
+    assert np.allclose(found, want, atol=1e-13 * values.max() * d)
+    assert np.abs(vectors.T @ vectors - np.eye(len(found))).max() < 1e-12
+    assert np.abs(v @ vectors - vectors * found).max() < 1e-12 * values.max()
