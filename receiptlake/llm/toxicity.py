@@ -19,6 +19,7 @@ greater; of repeated training rows one is taken; repeated rows are scored row by
 class is missing from the sample, the score is that of the other, 0 or 1, and 0 if both are.
 """
 
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -285,22 +286,39 @@ def bounded(text: Column) -> Column:
     return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.concat_ws(" ", *pieces))
 
 
-def sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str) -> list[tuple[str, int]]:
-    """Texts, or pieces of long ones, and labels of at most ``SAMPLE_ROWS`` rows, the first of
-    each class by a hash of the id, among those ids that have a text and for which ``usable``
-    holds."""
+def sample_rows(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str) -> DataFrame:
+    """Columns text (pieces of long ones), toxic, and place and id, by which they are to be
+    ordered, of at most ``SAMPLE_ROWS`` rows: the first of each class by a hash of the id,
+    among those ids that have a text and for which ``usable`` holds."""
     known = labels.filter(usable & F.col("toxic").isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
-    texts = docs.select(id_col, F.col(text_col).alias("__text")).filter(F.length("__text") > 0)
-    known = known.join(texts.select(id_col).distinct(), id_col, "left_semi")
-    known = known.withColumn("__place", F.xxhash64(id_col))
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter(F.length("__text") > 0)
+    known = known.withColumnRenamed(id_col, "__id").join(texts.select("__id"), "__id", "left_semi")
+    known = known.withColumn("__place", F.xxhash64("__id"))
     chosen = None
     for label, most in enumerate(SAMPLE_ROWS):
-        some = known.filter(F.col("toxic") == label).orderBy("__place", id_col).limit(most)
+        some = known.filter(F.col("toxic") == label).orderBy("__place", "__id").limit(most)
         chosen = some if chosen is None else chosen.union(some)
     # Of a bounded number of rows, whatever the input.
-    rows = texts.withColumn("__text", bounded(F.col("__text"))).join(F.broadcast(chosen), id_col)
-    rows = rows.groupBy(id_col, "toxic", "__place").agg(F.max("__text").alias("__text")).collect()
-    return [(r["__text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["__place"], r[id_col]))]
+    rows = texts.withColumn("__text", bounded(F.col("__text"))).join(F.broadcast(chosen), "__id")
+    rows = rows.groupBy("__id", "toxic", "__place").agg(F.max("__text").alias("__text"))
+    return rows.selectExpr("__text AS text", "toxic", "__place AS place", "__id AS id")
+
+
+def sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str) -> list[tuple[str, int]]:
+    """The sample's texts and labels, in order, for a look at it."""
+    rows = sample_rows(docs, labels, usable, id_col, text_col).collect()
+    return [(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["place"], r["id"]))]
+
+
+def _learnt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The model of all rows of the task, which is the only one: buckets in use, their
+    numbers, and the readings."""
+    rows = [row for batch in batches for row in batch.itertuples(index=False)]
+    rows.sort(key=lambda r: (r.place, r.id))
+    model = fit([(r.text, int(r.toxic)) for r in rows])
+    used = np.flatnonzero(model.numbers)
+    made = pickle.dumps((used.astype(np.int32), model.numbers[used], model.readings))
+    yield pd.DataFrame({"model": [made]})
 
 
 def toxicity(
@@ -327,5 +345,14 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fits in a task, on the bounded sample; only the model, at most a number per bucket,
+    comes to the driver."""
     usable = ~F.coalesce(held_out(id_col), F.lit(True))
-    return fit(sample(docs, labels, usable, id_col, text_col))
+    rows = short_batches(sample_rows(docs, labels, usable, id_col, text_col)).repartition(1)
+    made = rows.mapInPandas(_learnt, "model binary").first()
+    if made is None:  # no task has run
+        return fit([])
+    used, numbers, readings = pickle.loads(bytes(made["model"]))
+    out = np.zeros(1 << BITS, np.float32)
+    out[used] = numbers
+    return Model(out, readings)
