@@ -35,9 +35,11 @@ from pyspark.sql import functions as F
 
 from receiptlake.llm.common import cut, short_batches
 
-# Rows of a block, and rows (alike ones count once) of a partition of blocks.
+# Rows of a block; rows (alike ones count once) of a partition of blocks, and the partitions
+# from which on these grow instead.
 BLOCK = 1024
-ROWS_PER_PARTITION = 200_000
+ROWS_PER_PARTITION = 10_000
+MOST_PARTITIONS = 20_000
 
 INF = 1 << 60
 # What edits cost, and what a truncated row adds that stays.
@@ -290,7 +292,7 @@ def blocks(found: DataFrame, size: int = BLOCK, rows_per_partition: int = ROWS_P
             "gone": F.col("blank") | F.col("again") | (F.col("chunk") > 0),
         }
     )
-    spread = max(1, -(-chunks.count() // rows_per_partition))
+    spread = min(max(1, -(-chunks.count() // rows_per_partition)), MOST_PARTITIONS)
     laid = chunks.repartitionByRange(spread, *order).sortWithinPartitions(*order)
     laid = laid.select("conv", "turn", "role", "hash", "times", "cut_off", "gone")
     return laid.mapInArrow(made, types.schema(_BLOCKS))
