@@ -87,6 +87,10 @@ def clean_items(docs: DataFrame) -> DataFrame:
     return clean_items_of(checked, keep)
 
 
-def clean_items_of(checked: DataFrame, keep=()) -> DataFrame:
-    receipts = with_upload_time(select_clean(clean(checked), keep))
+def clean_items_of(checked: DataFrame, keep=(), at: str | None = None) -> DataFrame:
+    """``at`` names a column that has the time of upload; without it that is now."""
+    if at is None:
+        receipts = with_upload_time(select_clean(clean(checked), keep))
+    else:
+        receipts = select_clean(clean(checked), [*keep, at]).withColumnRenamed(at, "upload_time")
     return type_items(explode_items(type_receipts(receipts)), keep)

@@ -55,11 +55,12 @@ def payload(columns=PAYLOAD_COLUMNS, variant: bool = False) -> Column:
 
 
 def errors_of(
-    checked: DataFrame, mode: str = "reference", on_null: str = "drop", keep=()
+    checked: DataFrame, mode: str = "reference", on_null: str = "drop", keep=(), at: str | None = None
 ) -> DataFrame:
+    """``at`` names a column that has the time of the error row; without it that is now."""
     return errors(checked, on_null).select(
         *keep,
-        F.current_timestamp().alias("ts"),
+        (F.current_timestamp() if at is None else F.col(at)).alias("ts"),
         reason(mode).alias("reason"),
         payload().alias("payload"),
     )

@@ -189,6 +189,14 @@ def _u(select: str) -> str:
 def oracle_sql() -> dict[str, str]:
     clean_items = _c(_CLEAN_ITEMS.strip())
     decoded = _r(f"SELECT {_DECODED} FROM r LEFT JOIN t USING (k)")
+    destinations = _c(
+        f"""SELECT k, 'clean' AS destination, '' AS reason, product_name,
+          total_amount_by_position AS amount, CAST(1 AS BIGINT) AS lines
+        FROM ({_CLEAN_ITEMS})
+        UNION ALL SELECT k, 'error', {_REASON}, NULL, item_sum, coalesce(item_count, 0)
+        FROM c LEFT JOIN t USING (k) WHERE NOT is_clean"""
+    )
+    by_month = _c("SELECT *, strftime(date_time, '%Y-%m') AS month FROM (" + _CLEAN_ITEMS + ")")
     error_rows = _c(f"SELECT k, {_REASON} AS reason FROM c WHERE NOT is_clean")
     return {
         "decode_receipts": decoded,
@@ -287,15 +295,19 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT {_DECODED}, TRUE AS stamped, event_time, {_REASON} AS reason
             FROM c LEFT JOIN t USING (k) WHERE NOT is_clean"""
         ),
-        "clean_and_errors_stream": _c(
-            f"""SELECT k, 'clean' AS destination, '' AS reason, product_name,
-              total_amount_by_position AS amount, CAST(1 AS BIGINT) AS lines
-            FROM ({_CLEAN_ITEMS})
-            UNION ALL SELECT k, 'error', {_REASON}, NULL, item_sum, coalesce(item_count, 0)
-            FROM c LEFT JOIN t USING (k) WHERE NOT is_clean"""
+        "clean_and_errors_stream": destinations,
+        "published_stream": destinations,
+        "supervised_stream": destinations,
+        "merged_layout": by_month,
+        "clean_layout": by_month,
+        "batch_clocks": _c(
+            """SELECT k, CASE WHEN is_clean THEN 'clean' ELSE 'error' END AS destination,
+              TRUE AS one_time, TRUE AS kept_time FROM c WHERE is_clean IS NOT NULL"""
         ),
-        "clean_layout": _c(
-            "SELECT *, strftime(date_time, '%Y-%m') AS month FROM (" + _CLEAN_ITEMS + ")"
+        "routing_metrics": _c(
+            """SELECT 'clean' AS route, count(*) AS receipts FROM c WHERE is_clean
+            UNION ALL SELECT 'error', count(*) FROM c WHERE NOT is_clean
+            UNION ALL SELECT 'neither', count(*) FROM c WHERE is_clean IS NULL"""
         ),
         "kafka_value": decoded,
         "py_event_time": _u("SELECT k, py_event_time AS event_time FROM u"),

@@ -16,7 +16,7 @@ from receiptlake import operators as O
 from receiptlake import streaming as S
 from receiptlake.plans import fixture
 from receiptlake.plans.fixture import ALL_FIELDS, per_receipt, table, total_of_pages
-from receiptlake.plans.staging import discard, read_back, scratch_dir, staged_documents
+from receiptlake.plans.staging import discard, read_back, scratch_dir, staged_documents, written
 from receiptlake.schema import (
     FACTORY_NUMBER,
     FISCAL_SIGN,
@@ -32,6 +32,7 @@ from receiptlake.sources import (
     read_lines,
     with_event_time,
 )
+from receiptlake.streaming import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -379,20 +380,8 @@ def errors_stream(spark, sf_dir):
     return payloads(landed, _paged(landed), "reason")
 
 
-def clean_and_errors_stream(spark, sf_dir):
+def _destinations(clean: DataFrame, errors: DataFrame) -> DataFrame:
     """Clean items and rejected receipts, with the amount and number of lines of each."""
-    base = scratch_dir(spark)
-    docs = _stream(spark, sf_dir)
-    query = S.run_clean_and_errors(
-        docs,
-        S.path_sink(f"{base}/clean", "receipts"),
-        S.path_sink(f"{base}/errors", "receipts"),
-        f"{base}/checkpoint",
-        trigger=NOW,
-    )
-    _finish(spark, query, base)
-    clean = read_back(spark, f"{base}/clean", O.clean_items(docs).schema)
-    errors = read_back(spark, f"{base}/errors", O.error_feed(docs).schema)
     errors = payloads(errors, _paged(errors), "reason")
     columns = ["k", "destination", "reason", "product_name", "amount", "lines"]
     clean = clean.withColumns(
@@ -414,6 +403,157 @@ def clean_and_errors_stream(spark, sf_dir):
     return clean.select(columns).unionAll(errors.select(columns))
 
 
+def clean_and_errors_stream(spark, sf_dir):
+    base = scratch_dir(spark)
+    docs = _stream(spark, sf_dir)
+    query = S.run_clean_and_errors(
+        docs,
+        S.path_sink(f"{base}/clean", "receipts"),
+        S.path_sink(f"{base}/errors", "receipts"),
+        f"{base}/checkpoint",
+        trigger=NOW,
+    )
+    _finish(spark, query, base)
+    clean = read_back(spark, f"{base}/clean", O.clean_items(docs).schema)
+    errors = read_back(spark, f"{base}/errors", O.error_feed(docs).schema)
+    return _destinations(clean, errors)
+
+
+CARRIED = "k bigint, page int"
+
+
+def _published(base: str) -> tuple[S.PublishedTable, S.PublishedTable]:
+    return S.clean_table(f"{base}/clean", CARRIED), S.error_table(f"{base}/errors", CARRIED)
+
+
+def _publish(spark: SparkSession, sf_dir: str, base: str, **options) -> None:
+    """Both tables, published batch by batch."""
+    clean, errors = _published(base)
+    query = S.run_clean_and_errors(
+        _stream(spark, sf_dir),
+        clean.sink("receipts"),
+        errors.sink("receipts"),
+        f"{base}/checkpoint",
+        trigger=NOW,
+        **options,
+    )
+    query.awaitTermination()
+
+
+def _lose_commit(spark: SparkSession, base: str) -> None:
+    """As after a crash between the last batch and its commit: it will run again."""
+    commits = f"{base}/checkpoint/commits"
+    last = max(files.names(spark, commits), key=int)
+    discard(spark, f"{commits}/{last}")
+
+
+def published_stream(spark, sf_dir):
+    """Published batches, the last of which has run twice."""
+    base = scratch_dir(spark)
+    _publish(spark, sf_dir, base)
+    _lose_commit(spark, base)
+    _publish(spark, sf_dir, base)
+    discard(spark, f"{base}/checkpoint")
+    clean, errors = _published(base)
+    return _destinations(clean.read(spark), errors.read(spark))
+
+
+def merged_layout(spark, sf_dir):
+    """Batches merged into months, one of them run again and merged again."""
+    base = scratch_dir(spark)
+    clean = _published(base)[0]
+    for _ in range(2):
+        _publish(spark, sf_dir, base)
+        clean.merge(spark)
+        _lose_commit(spark, base)
+    clean.discard(spark)
+    discard(spark, f"{base}/checkpoint")
+    discard(spark, f"{base}/errors")
+    rows = clean.read(spark).drop("stream_id", "batch_id", "page")
+    return _without_clock(rows)
+
+
+def batch_clocks(spark, sf_dir):
+    """Per receipt in a table: whether all rows of its batch have one time, those of the
+    other table included, and whether it has the time it had before the batch ran again."""
+    base = scratch_dir(spark)
+
+    def times() -> DataFrame:
+        clean, errors = (t.read(spark) for t in _published(base))
+        clean = clean.select("k", "page", "batch_id", F.lit("clean").alias("destination"), F.col("upload_time").alias("at"))
+        errors = errors.select("k", "page", "batch_id", F.lit("error").alias("destination"), F.col("ts").alias("at"))
+        rows = clean.unionAll(errors)
+        span = rows.groupBy("batch_id").agg((F.min("at") == F.max("at")).alias("one_time"))
+        rows = rows.groupBy("k", "destination", "batch_id").agg(F.max("at").alias("at"))
+        return rows.join(span, "batch_id").drop("batch_id")
+
+    _publish(spark, sf_dir, base)
+    first = written(times().select("k", "destination", F.col("at").alias("first_at")), "times")
+    _lose_commit(spark, base)
+    _publish(spark, sf_dir, base)
+    discard(spark, f"{base}/checkpoint")
+    kept = (F.col("at") == F.col("first_at")).alias("kept_time")
+    return times().join(first, ["k", "destination"]).select("k", "destination", "one_time", kept)
+
+
+def routing_metrics(spark, sf_dir):
+    """Receipts on each route, as observed while the batches ran, one of them twice."""
+    base = scratch_dir(spark)
+    log = S.RoutingLog(spark, f"{base}/routes")
+    spark.streams.addListener(log)
+    try:
+        for again in (False, True):
+            if again:
+                _lose_commit(spark, base)
+            clean, errors = _published(base)
+            query = S.run_clean_and_errors(
+                _stream(spark, sf_dir),
+                clean.sink("receipts"),
+                errors.sink("receipts"),
+                f"{base}/checkpoint",
+                count=F.col("page") == 0,
+                trigger=NOW,
+                name="receipts",
+            )
+            query.awaitTermination()
+            log.wait(query)
+    finally:
+        spark.streams.removeListener(log)
+    counts = S.routing_counts(spark, f"{base}/routes")
+    sums = counts.agg(*[F.coalesce(F.sum(r), F.lit(0)).alias(r) for r in ("clean", "error", "neither")])
+    return sums.unpivot([], ["clean", "error", "neither"], "route", "receipts")
+
+
+def supervised_stream(spark, sf_dir):
+    """Two queries, one of whose sinks fails once, after it has written its rows."""
+    base = scratch_dir(spark)
+    clean, errors = _published(base)
+    to_clean, calls = clean.sink("receipts"), []
+
+    def fails_once(batch: DataFrame, batch_id: int) -> None:
+        to_clean(batch, batch_id)
+        calls.append(batch_id)
+        if len(calls) == 1:
+            raise OSError("the connection was lost")
+
+    jobs = [
+        (
+            "clean",
+            lambda: S.run_clean_items(_stream(spark, sf_dir), fails_once, f"{base}/checkpoint", trigger=NOW),
+        ),
+        (
+            "errors",
+            lambda: S.run_error_feed(_stream(spark, sf_dir), errors.sink("receipts"), f"{base}/checkpoint-errors", trigger=NOW),
+        ),
+    ]
+    failures = S.Supervisor(spark, jobs, pause=0.1).run()
+    if len(failures["clean"]) != 1:
+        raise AssertionError(f"one failure was expected: {failures}")
+    discard(spark, f"{base}/checkpoint")
+    discard(spark, f"{base}/checkpoint-errors")
+    return _destinations(clean.read(spark), errors.read(spark))
+
+
 def clean_layout(spark, sf_dir):
     path = f"{scratch_dir(spark)}/clean"
     rows = clean_items(spark, sf_dir)
@@ -479,6 +619,11 @@ def queries() -> dict[str, Query]:
         "clean_items_stream": clean_items_stream,
         "errors_stream": errors_stream,
         "clean_and_errors_stream": clean_and_errors_stream,
+        "published_stream": published_stream,
+        "merged_layout": merged_layout,
+        "batch_clocks": batch_clocks,
+        "routing_metrics": routing_metrics,
+        "supervised_stream": supervised_stream,
         "clean_layout": clean_layout,
         "kafka_value": kafka_value,
         "py_event_time": field_query(

@@ -1,5 +1,6 @@
 """Sinks and streaming jobs."""
 
+from receiptlake.streaming.control import GivenUp, Supervisor  # noqa: F401
 from receiptlake.streaming.jobs import (  # noqa: F401
     raw_table,
     run_clean_and_errors,
@@ -7,6 +8,12 @@ from receiptlake.streaming.jobs import (  # noqa: F401
     run_error_feed,
     run_raw_landing,
 )
+from receiptlake.streaming.metrics import RoutingLog, routing_counts  # noqa: F401
+from receiptlake.streaming.published import (  # noqa: F401
+    PublishedTable,
+    clean_table,
+    error_table,
+)
 from receiptlake.streaming.sinks import (  # noqa: F401
     await_any,
     jdbc_sink,
