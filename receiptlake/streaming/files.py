@@ -1,11 +1,18 @@
 """Small files of tables and streams, on any Hadoop file system."""
 
 import uuid
+from urllib.parse import quote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
+def escaped(name: str) -> str:
+    """A name as one part of a path. Other letters than ASCII stay as they are: Spark takes
+    an escaped byte of a partition's name for a letter of its own."""
+    return "".join(quote(c, safe="") if c.isascii() else c for c in name)
+
+
 def _path(spark: SparkSession, path: str):
     java = spark._jvm.org.apache.hadoop.fs.Path(path)
     return java.getFileSystem(spark._jsc.hadoopConfiguration()), java

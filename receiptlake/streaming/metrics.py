@@ -13,7 +13,6 @@ that matters compare with the rows of the tables.
 
 import json
 import threading
-from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,7 +72,7 @@ class RoutingLog(StreamingQueryListener):
         try:
             counts = {r: row[r] or 0 for r in ROUTES}
             line = json.dumps({"stream_id": progress.name, "batch_id": progress.batchId, **counts})
-            name = f"{quote(progress.name, safe='')}-{progress.batchId:019d}.json"
+            name = f"{files.escaped(progress.name)}-{progress.batchId:019d}.json"
             files.write_once(self.spark, f"{self.path}/{name}", line)
         except Exception as error:  # a listener must not end the bus; ``wait`` reports it
             self.failures.append(f"batch {progress.batchId} of {progress.name}: {error}")

@@ -28,7 +28,7 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
-from urllib.parse import quote, unquote
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,7 +91,7 @@ class PublishedTable:
     order: Sequence[str]
 
     def _log(self, stream_id: str) -> str:
-        return f"{self.path}/_batches/{quote(stream_id, safe='')}"
+        return f"{self.path}/_batches/{files.escaped(stream_id)}"
 
     def merged(self, spark: SparkSession) -> Merged:
         """The state after the last merge."""
@@ -124,7 +124,7 @@ class PublishedTable:
 
         def publish(batch: DataFrame, batch_id: int) -> None:
             spark = batch.sparkSession
-            run = f"stream_id={quote(stream_id, safe='')}/batch_id={batch_id}/attempt={uuid.uuid4().hex}"
+            run = f"stream_id={files.escaped(stream_id)}/batch_id={batch_id}/attempt={uuid.uuid4().hex}"
             write(batch, f"{self.path}/batches/{run}")
             known = self._versions(spark, stream_id).get(batch_id, 0)
             version = max(known, self.merged(spark).of(stream_id, batch_id)) + 1
@@ -213,11 +213,15 @@ class PublishedTable:
         if len(logged) <= keep:
             return
         states = [Merged(**json.loads(files.read_text(spark, f"{log}/{n}"))) for n in logged[-keep - 1 :]]
-        used = {v for s in states for v in s.months.values()}
+        used = {f"{v}/{name}" for s in states for name, v in s.months.items()}
         newest = states[-1].version
         for folder in files.names(spark, f"{self.path}/months"):
-            if folder not in used and int(folder[2:].split("-")[0]) <= newest:
-                files.remove(spark, f"{self.path}/months/{folder}")
+            if int(folder[2:].split("-")[0]) > newest:
+                continue  # of a merge at work
+            inside = files.names(spark, f"{self.path}/months/{folder}")
+            unused = [name for name in inside if f"{folder}/{name}" not in used]
+            for name in unused if len(unused) < len(inside) else [""]:
+                files.remove(spark, f"{self.path}/months/{folder}/{name}".rstrip("/"))
         first = states[0]
         for stream in files.names(spark, f"{self.path}/_batches"):
             stream_id = unquote(stream)

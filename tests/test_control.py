@@ -1,0 +1,177 @@
+"""Routing counts and supervised queries."""
+
+import os
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from helpers import documents, receipt
+from receiptlake import streaming as S
+from receiptlake.streaming.control import GivenUp, Supervisor
+
+NOW = {"availableNow": True}
+
+
+@pytest.fixture
+def docs(spark, tmp_path):
+    """Three files: 6 clean receipts, 9 rejected ones, 3 whose flag is unknown."""
+    source = str(tmp_path / "lines")
+    for n in range(3):
+        texts = [receipt(ReceiptNumber=10 * n + i) for i in range(2)]
+        texts += [receipt(Address="", ReceiptNumber=i) for i in range(3)] + [receipt(TotalSum=None)]
+        documents(spark, *texts).coalesce(1).write.mode("append").text(source)
+    stream = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(source)
+    return stream.withColumnRenamed("value", "json")
+
+
+def lose_commit(base, batch):
+    for name in (f"{batch}", f".{batch}.crc"):
+        if os.path.exists(f"{base}/c/commits/{name}"):
+            os.unlink(f"{base}/c/commits/{name}")
+
+
+@pytest.mark.parametrize("on_null, want", [("drop", (2, 3, 1)), ("error", (2, 4, 0))])
+def test_routing_counts_per_batch_and_after_a_replay(spark, docs, tmp_path, on_null, want):
+    base = str(tmp_path)
+    clean, errors = S.clean_table(f"{base}/clean"), S.error_table(f"{base}/errors")
+    log = S.RoutingLog(spark, f"{base}/routes")
+    assert S.routing_counts(spark, f"{base}/routes").count() == 0
+    spark.streams.addListener(log)
+    try:
+        for _ in range(2):
+            query = S.run_clean_and_errors(
+                docs, clean.sink("r"), errors.sink("r"), f"{base}/c", on_null=on_null, trigger=NOW, name="r"
+            )
+            query.awaitTermination()
+            log.wait(query)
+            lose_commit(base, 2)
+        silent = S.run_error_feed(docs, S.error_table(f"{base}/e2").sink("x"), f"{base}/c2", trigger=NOW, name="x")
+        silent.awaitTermination()
+        log.wait(silent)
+    finally:
+        spark.streams.removeListener(log)
+    counts = S.routing_counts(spark, f"{base}/routes").orderBy("batch_id").collect()
+    assert [tuple(r) for r in counts] == [("r", n, *want) for n in range(3)]
+    assert errors.read(spark).count() == 3 * want[1] and clean.read(spark).count() == 3 * 2 * want[0]
+
+
+def test_counting_needs_no_pass_of_its_own(spark, docs, tmp_path):
+    """The batch is read and parsed once, whatever the number of sinks and counts."""
+    plans = []
+
+    def sink(batch, batch_id):
+        plans.append(batch._jdf.queryExecution().executedPlan().toString())
+        batch.write.format("noop").mode("overwrite").save()
+
+    query = S.run_clean_and_errors(docs, sink, sink, f"{tmp_path}/c", trigger=NOW, name="r2")
+    query.awaitTermination()
+    assert len(plans) == 6 and all("InMemoryTableScan" in p for p in plans)
+
+
+def test_a_count_of_some_rows(spark, docs, tmp_path):
+    log = S.RoutingLog(spark, f"{tmp_path}/routes")
+    spark.streams.addListener(log)
+    try:
+        nothing = lambda batch, batch_id: batch.write.format("noop").mode("overwrite").save()
+        query = S.run_clean_and_errors(
+            docs, nothing, nothing, f"{tmp_path}/c", count=F.col("ReceiptNumber") == 0, trigger=NOW, name="a/b"
+        )
+        query.awaitTermination()
+        log.wait(query)
+    finally:
+        spark.streams.removeListener(log)
+    rows = S.routing_counts(spark, f"{tmp_path}/routes").collect()
+    assert sorted((r.stream_id, r.batch_id, r.clean, r.error, r.neither) for r in rows) == [
+        ("a/b", 0, 1, 1, 0), ("a/b", 1, 0, 1, 0), ("a/b", 2, 0, 1, 0),
+    ]
+
+
+def job(docs, base, name, sink, **options):
+    return name, lambda: S.run_error_feed(docs, sink, f"{base}/{name}", **(options or {"trigger": NOW}))
+
+
+def failing(sink, times):
+    calls = []
+
+    def run(batch, batch_id):
+        sink(batch, batch_id)
+        calls.append(batch_id)
+        if len(calls) <= times:
+            raise OSError(f"failure {len(calls)}")
+
+    run.calls = calls
+    return run
+
+
+def test_a_query_that_fails_goes_on_from_its_checkpoint(spark, docs, tmp_path):
+    base = str(tmp_path)
+    tables = {n: S.error_table(f"{base}/{n}-table") for n in "ab"}
+    sinks = {"a": failing(tables["a"].sink("a"), 2), "b": failing(tables["b"].sink("b"), 0)}
+    jobs = [job(docs, base, n, sinks[n]) for n in "ab"]
+    errors = Supervisor(spark, jobs, restarts=2, pause=0.05).run(timeout=120)
+    assert [len(errors[n]) for n in "ab"] == [2, 0] and "failure 2" in errors["a"][1]
+    assert sinks["a"].calls == [0, 0, 0, 1, 2] and sinks["b"].calls == [0, 1, 2]
+    for table in tables.values():
+        assert table.read(spark).count() == 9
+
+
+def test_beyond_its_restarts_the_others_are_stopped_in_reverse_order(spark, docs, tmp_path, monkeypatch):
+    base, stopped = str(tmp_path), []
+    nothing = lambda batch, batch_id: None
+    fails = failing(nothing, 100)
+    jobs = [job(docs, base, n, nothing, trigger={"processingTime": "100 milliseconds"}) for n in "ab"]
+    jobs.append(job(docs, base, "c", fails, trigger={"processingTime": "100 milliseconds"}))
+    jobs.append(job(docs, base, "d", nothing, trigger={"processingTime": "100 milliseconds"}))
+    supervisor = Supervisor(spark, jobs, restarts=2, pause=0.05)
+    start = supervisor._start
+
+    def started(one):
+        start(one)
+        query = one.query
+        stop = query.stop
+        query.stop = lambda: (stopped.append(one.name), stop())
+
+    monkeypatch.setattr(supervisor, "_start", started)
+    with pytest.raises(GivenUp, match="c failed 3 times"):
+        supervisor.run(timeout=120)
+    assert stopped == ["d", "b", "a"]
+    assert [j.state for j in supervisor.jobs] == ["stopped", "stopped", "given up", "stopped"]
+    assert not spark.streams.active and fails.calls == [0, 0, 0]
+
+
+def test_time_runs_out(spark, docs, tmp_path):
+    nothing = lambda batch, batch_id: None
+    supervisor = Supervisor(spark, [job(docs, str(tmp_path), "a", nothing, trigger={"processingTime": "1 second"})])
+    assert supervisor.run(timeout=2) == {"a": []}
+    assert [j.state for j in supervisor.jobs] == ["stopped"] and not spark.streams.active
+
+
+def test_a_query_that_does_not_start(spark, docs, tmp_path):
+    starts = []
+
+    def start():
+        starts.append(1)
+        if len(starts) < 3:
+            raise OSError("no such topic")
+        return job(docs, str(tmp_path), "a", lambda batch, batch_id: None)[1]()
+
+    assert len(Supervisor(spark, [("a", start)], pause=0.01).run(timeout=120)["a"]) == 2
+    starts.clear()
+    with pytest.raises(GivenUp, match="no such topic"):
+        Supervisor(spark, [("a", start)], restarts=1, pause=0.01).run(timeout=120)
+    with pytest.raises(ValueError):
+        Supervisor(spark, [("a", start), ("a", start)])
+
+
+def test_failures_long_ago_do_not_count(spark):
+    """A clock that jumps: one failure an hour is no reason to give up."""
+    now = [0.0]
+    supervisor = Supervisor(spark, [("a", lambda: None)], restarts=2, span=3600, pause=2, longest_pause=5, clock=lambda: now[0])
+    (one,) = supervisor.jobs
+    pauses = []
+    for at in (0, 10, 5000, 5001, 5002):
+        now[0] = float(at)
+        supervisor._failed(one, "x")
+        pauses.append(None if one.state == "given up" else one.due - at)
+    assert pauses == [2, 4, 2, 4, None] and time.monotonic() > 0
