@@ -201,6 +201,33 @@ def oracle_sql() -> dict[str, str]:
     return {
         "decode_receipts": decoded,
         "sse_decode": _r(f"SELECT {_DECODED} FROM r LEFT JOIN t USING (k) WHERE NOT broken"),
+        "sse_frames": _r(f"SELECT {_DECODED} FROM r LEFT JOIN t USING (k) WHERE NOT broken"),
+        "parse_types": """
+            SELECT o_orderkey AS k, '$' AS field, 'struct' AS declared, 'malformed' AS found_type
+            FROM orders WHERE o_orderkey % 43 = 0
+            UNION ALL SELECT o_orderkey, 'ReceiptNumber', 'bigint', 'STRING'
+            FROM orders WHERE o_orderkey % 43 <> 0 AND o_orderkey % 79 = 0
+            UNION ALL SELECT o_orderkey, 'TotalSum', 'double', 'STRING'
+            FROM orders WHERE o_orderkey % 43 <> 0 AND o_orderkey % 83 = 0 AND o_orderkey % 61 <> 0
+              AND (o_orderkey % 29 = 0 OR o_totalprice IS NOT NULL)""",
+        "sql_clean_items": clean_items,
+        "sql_errors": _c(
+            f"""SELECT k, 'reference' AS mode, {_REASON} AS reason FROM c WHERE NOT is_clean
+            UNION ALL SELECT k, 'complete', {_COMPLETE_REASON} FROM c WHERE is_clean IS NOT TRUE"""
+        ),
+        "sql_checks": _with(
+            f"""SELECT k, event_time, strftime(event_time, '%Y-%m') AS year_month, iin_valid,
+              address_correct AS address, coalesce(split_part(address_correct, ',', 1), '') AS city,
+              vat_valid, qr_code_valid AS qr_code, {_VAT_DUE} AS vat_due, {_OFD_SITE} AS ofd_site,
+              py_event_time, py_iin,
+              coalesce(trim(split_part(address_correct, ',', 1), ' ' || chr(9)), '') AS py_city,
+              coalesce(address_correct, '') AS py_address,
+              CASE WHEN regexp_matches(vat_rate, '[0-9]+')
+                THEN regexp_extract(vat_rate, '[0-9]+') || '%' END AS py_vat
+            FROM c JOIN (SELECT k, py_event_time, py_iin FROM u) USING (k)""",
+            _FIRST_ITEM,
+            _CHECKS,
+        ),
         "catalogue_flatten": """
             SELECT p_partkey AS k, coalesce(p_type, '') AS category, 0 AS pos, p_name AS product
             FROM part

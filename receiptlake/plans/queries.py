@@ -5,6 +5,7 @@ on whole documents and on all their pages; only the parse is narrowed to the fie
 for. Times are zone-free, and of clock columns it is told whether they are set.
 """
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from receiptlake import functions as R
 from receiptlake import operators as O
 from receiptlake import streaming as S
+from receiptlake.functions.sql import register
 from receiptlake.plans import fixture
 from receiptlake.plans.fixture import ALL_FIELDS, per_receipt, table, total_of_pages
 from receiptlake.plans.staging import discard, read_back, scratch_dir, staged_documents, written
@@ -25,8 +27,10 @@ from receiptlake.schema import (
     REGISTRATION_NUMBER,
 )
 from receiptlake.sources import (
+    EventStreamSource,
     decode_sse_lines,
     decode_value,
+    parse_diagnostics,
     parse_receipts,
     read_catalogue,
     read_lines,
@@ -34,6 +38,9 @@ from receiptlake.sources import (
 )
 from receiptlake.streaming import files
 
+# Ranges of a captured file that a task reads.
+FRAME_BYTES = 8 << 20
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 CHECKED_FIELDS = [
@@ -136,6 +143,93 @@ def sse_decode(spark, sf_dir):
     return whole_receipts(parse_receipts(decode_sse_lines(lines), keep_source=True), docs.paged)
 
 
+def sse_frames(spark, sf_dir):
+    """Documents as events of one or three ``data:`` lines, captured in files, read by
+    ranges far smaller than a file as a stream that is started twice."""
+    base = scratch_dir(spark)
+    docs = fixture.documents(spark, sf_dir).rows
+    inner = F.expr("substring(json, 2, length(json) - 2)")
+    broken = ~F.col("json").endswith("}")
+    folded = F.concat(F.lit("data: {\ndata: "), inner, F.lit("\r\ndata: }"))
+    frame = F.when(broken | (F.col("k") % 3 == 0), F.concat(F.lit("data: "), "json"))
+    frame = frame.when(F.col("k") % 3 == 1, folded).otherwise(F.col("json"))
+    event = F.concat(
+        F.lit("id: "), "k", F.lit("/"), "page", F.lit("\n"), frame, F.lit("\n\n: ping\n\ndata: {broken\n")
+    )
+    docs.select(event.alias("value")).write.text(f"{base}/captures")
+    spark.dataSource.register(EventStreamSource)
+    stream = spark.readStream.format("event_stream").option("path", f"{base}/captures")
+    stream = stream.option("bytes_per_partition", FRAME_BYTES).load()
+    key = F.split("id", "/")
+    events = decode_sse_lines(stream).select(
+        key[0].cast("bigint").alias("k"), key[1].cast("int").alias("page"), "json"
+    )
+    for _ in range(2):
+        writer = events.writeStream.format("parquet").option("path", f"{base}/events")
+        query = writer.option("checkpointLocation", f"{base}/checkpoint").trigger(**NOW).start()
+        query.awaitTermination()
+    discard(spark, f"{base}/checkpoint")
+    discard(spark, f"{base}/captures")
+    landed = read_back(spark, f"{base}/events", events.schema)
+    return whole_receipts(parse_receipts(landed, keep_source=True).drop("json"), _paged(landed))
+
+
+def parse_types(spark, sf_dir):
+    """Values of the receipts' heads that the typed parse loses, with the type they have."""
+    docs = fixture.documents(spark, sf_dir).rows.filter("page = 0").select("k", "json")
+    return parse_diagnostics(docs).select("k", "field", "declared", F.col("found").alias("found_type"))
+
+
+def _sql(spark: SparkSession, docs: DataFrame, query: str) -> DataFrame:
+    """A query with the SQL functions over documents."""
+    view = f"documents_{uuid.uuid4().hex}"
+    docs.createOrReplaceTempView(view)
+    try:
+        register(spark, view)
+        return spark.sql(query)
+    finally:
+        spark.catalog.dropTempView(view)
+
+
+def sql_clean_items(spark, sf_dir):
+    docs = fixture.documents(spark, sf_dir).rows.select("k", "json")
+    return _without_clock(_sql(spark, docs, "SELECT * FROM receipt_clean_items()"))
+
+
+def sql_errors(spark, sf_dir):
+    """Reasons of both modes; the complete one has receipts that the other leaves out."""
+    docs = fixture.documents(spark, sf_dir).rows.filter("page = 0").select("k", "json")
+    return _sql(
+        spark,
+        docs,
+        "SELECT k, 'reference' AS mode, reason FROM receipt_errors() "
+        "UNION ALL SELECT k, 'complete', reason FROM receipt_errors_complete()",
+    )
+
+
+def sql_checks(spark, sf_dir):
+    """The scalar functions, lenient ones included, on the fields of the receipts."""
+    docs = fixture.documents(spark, sf_dir).rows.filter("page = 0").select("k", "json")
+    checks = {
+        "event_time": "CAST(event_time AS TIMESTAMP_NTZ)",
+        "year_month": "receipt_year_month(receipt_event_time(DateTime))",
+        "iin_valid": "receipt_iin_valid(TaxPayerIIN)",
+        "address": "receipt_address_correct(Address)",
+        "city": "receipt_city(Address)",
+        "vat_valid": "receipt_vat_valid(receipt_main_vat_rate(size(Items), VatRate))",
+        "qr_code": "receipt_qr_code_valid(QRCode)",
+        "vat_due": "receipt_vat_sum(TotalSum, VatRate)",
+        "ofd_site": "receipt_ofd_site(OFD.Name)",
+        "py_event_time": "CAST(receipt_py_event_time(DateTime) AS TIMESTAMP_NTZ)",
+        "py_iin": "receipt_py_iin(TaxPayerIIN)",
+        "py_city": "receipt_py_city(Address)",
+        "py_address": "receipt_py_address(Address)",
+        "py_vat": "receipt_py_vat(VatRate)",
+    }
+    columns = ", ".join(f"{c} AS {n}" for n, c in checks.items())
+    return _sql(spark, docs, f"SELECT k, {columns} FROM receipt_checked()")
+
+
 def catalogue_flatten(spark, sf_dir):
     """A document of two categories per part: its type and its brand."""
     kind, brand = F.coalesce("p_type", F.lit("")), F.coalesce("p_brand", F.lit(""))
@@ -591,6 +685,11 @@ def queries() -> dict[str, Query]:
     return {
         "decode_receipts": decode_receipts,
         "sse_decode": sse_decode,
+        "sse_frames": sse_frames,
+        "parse_types": parse_types,
+        "sql_clean_items": sql_clean_items,
+        "sql_errors": sql_errors,
+        "sql_checks": sql_checks,
         "catalogue_flatten": catalogue_flatten,
         "event_time": event_time,
         "year_month": year_month,
