@@ -2,12 +2,18 @@
 
 Directions are a random product code: a vector, randomly rotated, is split in halves, each
 half has a set of random codewords, and every pair of codewords is a direction. A vector
-passes the filters whose directions it exceeds its threshold on, which is set so that
-``FILTERS`` of them are left; list decoding finds them from the best codewords of each half
-alone, without scoring all pairs. Vectors in a common filter are compared exactly, in double
-precision. The number of codewords follows the number of vectors, so that filters stay
-small. In 64 dimensions a pair at a cosine of 0.9 shares a filter with a chance of 0.99 or
-more (``tests/llm``), a closer one more often.
+passes all filters whose directions it exceeds the threshold on, one threshold for all
+vectors; list decoding finds them from the codewords of each half that can belong to a sum
+above it, without scoring all pairs. Vectors in a common filter are compared exactly, in
+double precision.
+
+The threshold is set on the code itself: of simulated pairs at the cosine asked for, in any
+direction since the code is turned at random, ``REACHED`` share a filter. The number of
+codewords is then the one with the least work for the number of vectors: more directions
+have higher thresholds and so smaller filters, but a vector passes more of them. It cannot
+cost recall. Measured share of pairs at a cosine of 0.9 with a common filter (``tests/llm``;
+closer pairs have more): 0.97 or more in 16, 32 and 64 dimensions for 10 thousand to 10
+million vectors.
 
 Equal vectors are taken together first. Filters give links only as far as they are needed
 to connect what belongs together; then the links within each component are counted
@@ -23,7 +29,8 @@ counts the others that are linked to it, repeated ones included. A row without a
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from math import ceil, sqrt
+from itertools import repeat
+from math import sqrt
 
 import numpy as np
 import pandas as pd
@@ -35,18 +42,14 @@ from receiptlake.llm.common import cut, short_batches
 from receiptlake.llm.components import components
 
 COSINE = 0.9
-FILTERS = 48  # that a vector passes
-SHARED = 2  # vectors in a filter by chance
-CODEWORDS = 8192  # per half at most
+REACHED = 0.99  # share of simulated pairs that have a filter in common
+PAIRS = 1000  # simulated
+CODEWORDS = [1 << n for n in range(3, 15)]  # per half, to choose from
+COMPARED = 100  # comparisons that cost as much as a vector in one more filter
 BLOCK = 512
 
 
-def codewords(vectors: int) -> int:
-    """Codewords per half for a number of vectors."""
-    return min(CODEWORDS, ceil(sqrt(max(vectors, 1) * FILTERS / SHARED)))
-
-
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def code(dimension: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A rotation, and the codewords of both halves."""
     rng = np.random.default_rng([dimension, words])
@@ -59,27 +62,78 @@ def code(dimension: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return rotation, *sets
 
 
-def passed(unit: np.ndarray, words: int) -> np.ndarray:
-    """The filters of each unit vector, one row per vector."""
-    dimension = unit.shape[1]
-    rotation, first, second = code(dimension, words)
+def halves(unit: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The score of each unit vector on the codewords of both halves; a direction's is the
+    sum of two."""
+    rotation, first, second = code(unit.shape[1], words)
     turned = (unit @ rotation).astype(np.float32)
     half = first.shape[1]
-    other = turned[:, half:] if dimension > half else np.zeros((len(unit), 1), np.float32)
-    a, b = turned[:, :half] @ first.T, other @ second.T
-    # A pair among the best holds a codeword among the best of either half.
-    some = min(FILTERS, words)
-    best_a = np.argpartition(-a, some - 1, axis=1)[:, :some]
-    best_b = np.argpartition(-b, some - 1, axis=1)[:, :some]
-    x, y = np.take_along_axis(a, best_a, 1), np.take_along_axis(b, best_b, 1)
-    score = (x[:, :, None] + y[:, None, :]).reshape(len(unit), -1)
-    most = min(FILTERS, score.shape[1])
-    top = np.argpartition(-score, most - 1, axis=1)[:, :most]
-    i, j = np.take_along_axis(best_a, top // some, 1), np.take_along_axis(best_b, top % some, 1)
-    return (dimension << 32) + i.astype(np.int64) * words + j
-
-
-def _filtered(words: int):
+    other = turned[:, half:] if unit.shape[1] > half else np.zeros((len(unit), 1), np.float32)
+    return turned[:, :half] @ first.T, other @ second.T
+
+
+def simulated(dimension: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors at a cosine (in one dimension, of the same)."""
+    rng = np.random.default_rng([dimension, PAIRS])
+    x, y = rng.normal(size=(2, PAIRS, dimension))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if dimension == 1:
+        return x, x
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    return x, cosine * x + sqrt(1 - cosine**2) * y
+
+
+def common_score(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, few: int = 64) -> np.ndarray:
+    """Per pair of vectors, with scores a, b and c, d on the halves, the threshold up to which
+    they share a filter: the best direction's lower score, among those of the codewords that
+    are best for both together."""
+    few = min(few, a.shape[1])
+    i = np.argpartition(-(a + c), few - 1, axis=1)[:, :few]
+    j = np.argpartition(-(b + d), few - 1, axis=1)[:, :few]
+    one, two = (np.take_along_axis(v, k, 1) for v, k in ((a, i), (b, j)))
+    three, four = (np.take_along_axis(v, k, 1) for v, k in ((c, i), (d, j)))
+    lower = np.minimum(one[:, :, None] + two[:, None], three[:, :, None] + four[:, None])
+    return lower.reshape(len(a), -1).max(axis=1)
+
+
+@lru_cache(maxsize=64)
+def plan(dimension: int, vectors: int, cosine: float = COSINE) -> tuple[int, float]:
+    """Codewords per half and the threshold, for a number of vectors."""
+    best = None
+    x, y = simulated(dimension, cosine)
+    for words in CODEWORDS:
+        a, b = halves(x, words)
+        threshold = float(np.quantile(common_score(a, b, *halves(y, words)), 1 - REACHED))
+        passes = np.mean([len(i) for i, _ in map(decoded, a[:100], b[:100], repeat(threshold))])
+        chance = vectors * passes / words**2  # vectors in a filter
+        work = passes * (1 + chance / COMPARED) + 2 * words * dimension / 20_000
+        if best is None or work < best[0]:
+            best = work, words, threshold
+        elif work > 4 * best[0] or passes > 2000:
+            break
+    return best[1], best[2]
+
+
+def decoded(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of codewords whose sum reaches the threshold, by a vector's scores."""
+    i = np.flatnonzero(a >= threshold - b.max())
+    j = np.flatnonzero(b >= threshold - a.max())
+    x, y = np.nonzero(a[i, None] + b[j] >= threshold)
+    return i[x], j[y]
+
+
+def passed(unit: np.ndarray, words: int, threshold: float) -> list[np.ndarray]:
+    """All filters of each unit vector."""
+    out, dimension = [], unit.shape[1]
+    for start in range(0, len(unit), 200):
+        a, b = halves(unit[start : start + 200], words)
+        for i, j in map(decoded, a, b, repeat(threshold)):
+            out.append((dimension << 32) + i.astype(np.int64) * words + j)
+    return out
+
+
+def _filtered(count: int, cosine: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             size = len(batch)
@@ -100,7 +154,7 @@ def _filtered(words: int):
                 by_size.setdefault(len(vector), []).append((n, vector / length))
             for found in by_size.values():
                 unit = np.stack([v for _, v in found])
-                for (n, v), filters in zip(found, passed(unit, words), strict=True):
+                for (n, v), filters in zip(found, passed(unit, *plan(unit.shape[1], count, cosine)), strict=True):
                     raws[n], lists[n] = v.tobytes(), filters
                     names[n] = hashlib.blake2b(raws[n], digest_size=16).digest()
             parts = (pd.Series(x, dtype=object, index=batch.index) for x in (names, raws, lists))
@@ -190,9 +244,9 @@ def near_vectors(
     rows = short_batches(vectors).select(
         F.col(id_col).cast("string").alias("id"), F.col(vector_col).alias("embedding")
     )
-    words = codewords(rows.count())
+    count = 1 << max(rows.count() - 1, 0).bit_length()  # nearly as many vectors share a plan
     schema = "id string, class binary, vector binary, filters array<bigint>"
-    rows = rows.mapInPandas(_filtered(words), schema).withColumn("id", F.col("id").cast("bigint"))
+    rows = rows.mapInPandas(_filtered(count, cosine), schema).withColumn("id", F.col("id").cast("bigint"))
     rows = cut(rows, "filtered")
     classes = rows.filter("class IS NOT NULL").groupBy("class").agg(
         F.min("id").alias("first_id"),

@@ -279,19 +279,31 @@ def test_near_vectors_by_sql(spark, sf_dir):
     assert got == sorted(c.sql(embeddings.ORACLE_SQL).fetchall())
 
 
-@pytest.mark.parametrize("vectors", [500, 50_000, 1_000_000])
-def test_recall_at_the_threshold(vectors):
+@pytest.mark.parametrize("dimension", [16, 32, 64])
+@pytest.mark.parametrize("vectors", [500, 10_000, 50_000, 1_000_000, 10_000_000])
+def test_recall_at_the_threshold(vectors, dimension):
+    """Pairs that the plan was not made on; filters above one threshold, none left out."""
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(400, 64))
+    x = rng.normal(size=(800, dimension))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    y = rng.normal(size=(400, 64))
+    y = rng.normal(size=(800, dimension))
     y -= (x * y).sum(axis=1, keepdims=True) * x
     y /= np.linalg.norm(y, axis=1, keepdims=True)
-    words = embeddings.codewords(vectors)
-    a = embeddings.passed(x, words)
-    b = embeddings.passed(0.9 * x + np.sqrt(1 - 0.81) * y, words)
+    words, threshold = embeddings.plan(dimension, vectors)
+    a = embeddings.passed(x, words, threshold)
+    b = embeddings.passed(0.9 * x + np.sqrt(1 - 0.81) * y, words, threshold)
     assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)]) > 0.97
-    assert a.shape == (400, embeddings.FILTERS)
+
+
+def test_every_filter_above_the_threshold_is_passed():
+    rng = np.random.default_rng(4)
+    for dimension in (1, 2, 5, 16):
+        x = rng.normal(size=(20, dimension))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        a, b = embeddings.halves(x, 32)
+        for threshold in (0.1, 0.5, 0.9):
+            want = [{(dimension << 32) + 32 * i + j for i, j in np.argwhere(p[:, None] + q >= threshold)} for p, q in zip(a, b)]
+            assert [set(v.tolist()) for v in embeddings.passed(x, 32, threshold)] == want
 
 
 def test_odd_vectors(spark):
