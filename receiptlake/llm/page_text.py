@@ -4,14 +4,22 @@ Markup is stripped to lines, one per block element. Elements that never hold the
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments of readers)
 are stripped with their text and leave a gap of empty lines. The lengths of lines are then
 summed over sliding windows. Text runs until it dives, where a window is empty, and surges
-in the first window that reaches a threshold. From the run that surges first to the last dive
-of the page body all lines are kept, also short ones between or behind gaps. Runs before it
-count only if the gap between is inside an element (other than the body) that holds both.
+in the first window that reaches a threshold. Characters of links do not count, so a menu
+without a telling name is no text.
+
+The text surges and dives where the innermost element that holds all windows of twice the
+threshold begins and ends: all its lines are kept, also short ones between or behind gaps,
+and what stands before or behind that element is left out, whatever it is called. An element
+with a single line is taken with the one around it. Where only the body holds them all, text
+goes from the run that surges first to the last dive of the body, and runs before it count
+only if the gap between is inside an element that holds both.
 
 An ``article`` or ``main`` element binds its lines: no gap opens inside it, and it surges at
-its first line if at all. Where one surges, elements decide instead: the fullest and its
-siblings (in the same element) that surge are the article, and the rest is left out. If
-nothing reaches the threshold, the fullest window of the page is the measure.
+its first line. Such elements come before others, however short: the fullest and its siblings
+(in the same element) that surge are the article. Inside them names of classes drop an
+element only if the whole name says what it is (``ad``, not ``ad-history``), and never a
+paragraph or heading. If nothing reaches the threshold, the fullest window of the page is the
+measure.
 
 Null and empty pages have an empty text. Pages are handled one by one and whole; repeated
 pages give repeated rows, and other columns are left out.
@@ -55,6 +63,9 @@ MARKS = set(
     "comments disqus respond replies pagination pager widget copyright disclaimer".split()
 )
 
+# Elements that a class does not drop inside an article.
+TEXT = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th caption figcaption".split())
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>",
@@ -82,6 +93,10 @@ def is_aside(name: str, attributes: str, within: bool) -> bool:
                 return True
         elif kind in ("class", "id"):
             for token in value.split():
+                if within:
+                    if token.lower() in MARKS and name not in TEXT:
+                        return True
+                    continue
                 parts = [p.lower() for p in _NAME_PART.findall(token)]
                 if parts and (parts[0] in MARKS or parts[-1] in MARKS):
                     return True
@@ -95,16 +110,20 @@ class Holder:
     name: str
     begin: int
     end: float = math.inf
+    around: "Holder | None" = None
 
 
 @dataclass
 class Line:
     """``article``: number of the article element around it, 0 for none. ``holder``: the
-    innermost element, if any but the body, that a gap or the article element is in."""
+    innermost element, if any but the body, that a gap or the article element is in.
+    ``within``: the innermost element around a line. ``size``: characters outside of links."""
 
     text: str
     article: int = 0
     holder: Holder | None = None
+    within: Holder | None = None
+    size: int = 0
 
 
 def lines(page: str, gap: int) -> list[Line]:
@@ -114,6 +133,8 @@ def lines(page: str, gap: int) -> list[Line]:
     holders: list[Holder] = []  # open
     names = Counter()  # of these
     text: list[str] = []
+    linked: list[str] = []  # what of it stands in a link
+    link = False
     stack: list[str] = []  # elements open inside a stripped one, from that one on
     inside: list[str] = []  # article elements open
     article, opened, at = 0, 0, 0
@@ -123,8 +144,11 @@ def lines(page: str, gap: int) -> list[Line]:
         if text:
             line = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if line:
-                out.append(Line(line, article, around if article else None))
+                within = holders[-1] if holders else None
+                size = max(0, len(line) - len(_SPACE.sub(" ", html.unescape("".join(linked)))))
+                out.append(Line(line, article, around if article else None, within, size))
             text.clear()
+            linked.clear()
         if not article:
             out.extend([Line("", 0, holders[-1] if holders else None)] * empty)
 
@@ -140,8 +164,12 @@ def lines(page: str, gap: int) -> list[Line]:
     while found:
         if not stack and found.start() > at:
             text.append(page[at : found.start()])
+            if link:
+                linked.append(text[-1])
         at = found.end()
         closing, name, attributes = found[1], (found[2] or "").lower(), found[3] or ""
+        if name == "a":
+            link = not closing
         alone = name in VOID or attributes.endswith("/") and name not in ARTICLE
         if stack and not closing:
             if name == "body" or name in ARTICLE and stack[0] in LEFT_OPEN:
@@ -180,7 +208,7 @@ def lines(page: str, gap: int) -> list[Line]:
                 opened += 1
                 article = opened
                 around = holders[-1] if holders else None
-            holders.append(Holder(name, len(out)))
+            holders.append(Holder(name, len(out), around=holders[-1] if holders else None))
             names[name] += 1
         else:
             aside = is_aside(name, attributes, bool(inside))
@@ -189,7 +217,7 @@ def lines(page: str, gap: int) -> list[Line]:
             if aside and not alone:
                 stack.append(name)
             elif name in HOLDERS and not alone:
-                holders.append(Holder(name, len(out)))
+                holders.append(Holder(name, len(out), around=holders[-1] if holders else None))
                 names[name] += 1
         found = _TOKEN.search(page, at)
     if not stack:
@@ -226,13 +254,56 @@ def body_start(found: list[Line], spans: list[tuple[int, int]], first: int, surg
     return start
 
 
+def chain(holder: Holder | None) -> list[Holder]:
+    """The elements around a line, the outermost first."""
+    out = []
+    while holder:
+        out.append(holder)
+        holder = holder.around
+    return out[::-1]
+
+
+def sums(sizes: list[int], window: int) -> list[int]:
+    return [sum(sizes[n : n + window]) for n in range(len(sizes))]
+
+
+def dense_element(found: list[Line], window: int, level: int) -> Holder | None:
+    """The innermost element that holds all windows that reach ``level``, or the fullest one
+    if none does. Windows end where the element around their lines does. None if only the
+    body holds them."""
+    each, at = [], 0
+    while at < len(found):
+        end = at + 1
+        while end < len(found) and found[end].text and found[end].within is found[at].within:
+            end += 1
+        if found[at].text:
+            blocks = sums([line.size for line in found[at:end]], window)
+            each.append((max(blocks), found[at].within))
+        at = end
+    level = min(level, max(block for block, _ in each))
+    strong = [holder for block, holder in each if block >= level]
+    common = None
+    for n, holder in enumerate(strong):
+        own = chain(holder)
+        common = own if n == 0 else [a for a, b in zip(common, own) if a is b]
+    while common:
+        inside = found[common[-1].begin : min(common[-1].end, len(found))]
+        if sum(bool(line.text) for line in inside) > 1:
+            return common[-1]
+        common.pop()
+    return None
+
+
 def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
     """``window``: lines per block; ``surge``: characters from which a block is text."""
     found = lines(page or "", window)
-    sizes = [len(line.text) for line in found]
-    blocks = [sum(sizes[n : n + window]) for n in range(len(sizes))]
-    if not any(blocks):
+    if not any(line.text for line in found):
         return ""
+    if not any(line.size for line in found):  # links alone
+        for line in found:
+            line.size = len(line.text)
+    sizes = [line.size for line in found]
+    blocks = sums(sizes, window)
     level = min(surge, max(blocks))
     spans = runs(found, window)
     kept = []
@@ -240,10 +311,14 @@ def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
         above = next((n for n in range(start, end) if blocks[n] >= level), None)
         if above is not None:
             kept.append((k, above))
-    if articles := [spans[k] for k, _ in kept if found[spans[k][0]].article]:
+    articles = [spans[k] for k, _ in kept if found[spans[k][0]].article]
+    articles = articles or [span for span in spans if found[span[0]].article]
+    if articles:
         fullest = max(articles, key=lambda run: (sum(sizes[run[0] : run[1]]), -run[0]))
         around = found[fullest[0]].holder
         parts = [run for run in articles if found[run[0]].holder is around]
+    elif element := dense_element(found, window, 2 * surge):
+        parts = [(element.begin, int(min(element.end, len(found))))]
     else:
         first, above = kept[0]
         # The line of text in the window that surges.

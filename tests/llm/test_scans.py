@@ -307,3 +307,40 @@ def test_sibling_articles():
     page = f"{both}<article class=comment>{three}</article><section id=comments><article>{three}</article></section>"
     assert page_text.main_text(page).split() == f"A {one} {two} {two}".split()
     assert page_text.main_text(f"<main>{both}</main>").split() == f"A {one} x {two} {two} y".split()
+
+
+def nameless(page):
+    """The page with its structural tags turned to div and class, id and role removed."""
+    page = re.sub(r"<(/?)(?:article|main|nav|footer|aside|header|form|section)\b", r"<\1div", page)
+    return re.sub(r"""\s(?:class|id|role)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""", "", page)
+
+
+def test_pages_without_telling_names(spark, sf_dir):
+    """Surge and dive alone: menus of links, adverts before and footers behind the text go."""
+    pages = [r.html for r in table(spark, sf_dir, "pages").select("html").collect()]
+    right = sum(page_text.main_text(nameless(page)) == article_text(page) for page in pages)
+    assert right >= 0.95 * len(pages)
+
+
+def test_the_text_ends_where_it_dives():
+    long, foot = ("word " * 60).strip(), "Copyright by nobody at all, and some more words that make this line rather long."
+    menu = "<div><ul>" + "<li><a href=x>entry of a menu</a></li>" * 20 + "</ul></div>"
+    for inner in (f"<p>Lead.</p><p>{long}</p><p>End.</p>", f"<div><p>{long}</p></div><p>a</p><div><p>{long}</p></div>"):
+        page = f"<body><div>{menu}<div>Buy now.</div><div>{inner}</div><div>{foot}</div></div></body>"
+        assert page_text.main_text(page) == " ".join(re.sub("<[^>]*>", " ", inner).split())
+    assert page_text.main_text(f"<body>{menu}<div><h1>T</h1><p>Short text.</p></div></body>") == "T Short text."
+    assert page_text.main_text(f"<body>{menu}</body>").startswith("entry of a menu entry")
+
+
+def test_names_drop_no_text_of_an_article():
+    long = ("word " * 40).strip()
+    for inside in ("<p class='notice'>One.</p>", "<div id='social-history'>One.</div>", "<div class='share-prices'>One.</div>"):
+        assert page_text.main_text(f"<article><p>{long}</p>{inside}<p>End.</p></article>") == f"{long} One. End."
+    assert page_text.main_text(f"<article><p>{long}</p><div class='ad'>Buy.</div><p>End.</p></article>") == f"{long} End."
+
+
+def test_a_short_article_comes_first():
+    outside = "A line outside of the article that is much longer than the article is, and reaches the threshold by far."
+    for page in (f"<div>{outside}</div><article><p>Short.</p></article>", f"<article>Short.</article><p>{outside}{outside}</p>"):
+        assert page_text.main_text(page) == "Short."
+    assert page_text.main_text(f"<article></article><p>{outside}</p>") == outside
