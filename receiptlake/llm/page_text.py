@@ -273,12 +273,14 @@ def dense_element(found: list[Line], window: int, level: int) -> Holder | None:
     body holds them."""
     each, at = [], 0
     while at < len(found):
+        if not found[at].text:
+            at += 1
+            continue
         end = at + 1
         while end < len(found) and found[end].text and found[end].within is found[at].within:
             end += 1
-        if found[at].text:
-            blocks = sums([line.size for line in found[at:end]], window)
-            each.append((max(blocks), found[at].within))
+        blocks = sums([line.size for line in found[at:end]], window)
+        each.append((max(blocks), found[at].within))
         at = end
     level = min(level, max(block for block, _ in each))
     strong = [holder for block, holder in each if block >= level]
