@@ -138,13 +138,48 @@ def test_mixing_reaches_the_weights(spark):
     assert first != sorted(first)
 
 
+@pytest.mark.parametrize("most", [mixing.BROADCAST_ROWS, 0])
+def test_rows_without_an_id_draw_each_for_itself(spark, tmp_path, monkeypatch, most):
+    """10,000 rows of no or the same id, equal ones among them, reach the weights and spread."""
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(mixing, "CHUNK", 700)
+    docs = spark.range(20_000).selectExpr(
+        "IF(id < 10000, NULL, 7) AS doc_id", "IF(id % 2 = 0, 't', string(id)) AS text", "'en' AS lang",
+        "IF(id < 10000, 'a', 'b') AS source", "10L AS n_chars",
+    )
+    mixed = mixing.mix(docs, weights={"a": 1, "b": 3}).cache()
+    counts = dict(mixed.groupBy("source").count().collect())
+    assert abs(counts["a"] / 5_000 - 1) < 0.05 and abs(counts["b"] / 15_000 - 1) < 0.05
+    placed = mixed.groupBy("source", F.spark_partition_id().alias("part")).count().collect()
+    assert len(placed) == 16 and max(r["count"] for r in placed) < 2 * min(r["count"] for r in placed if r.source == "b")
+    per = {r.n_copies: r["count"] for r in mixed.filter("copy = 1 AND source = 'b' AND text = 't'").groupBy("n_copies").count().collect()}
+    assert len(per) > 3  # equal rows draw different numbers
+    docs.filter("hash(text, doc_id) % 40 = 0 OR text = 't'").write.parquet(f"{tmp_path}/part")
+    columns = ["doc_id", "text", "lang", "source", "n_chars", "n_copies", "copy"]
+    mixed = mixing.mix(spark.read.parquet(f"{tmp_path}/part")).select(columns)
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/part/*.parquet'")
+    want = c.sql(f"SELECT {', '.join(columns)} FROM ({mixing.ORACLE_SQL})").fetchall()
+    assert sorted(map(repr, map(tuple, mixed.collect()))) == sorted(map(repr, want))
+
+
+def test_odd_columns_in_mixing(spark):
+    docs = spark.sql(
+        "SELECT 1L AS doc_id, 's' AS source, 1L AS n_chars, map('a', 1) AS m, array(1, NULL) AS l, binary('x') AS b, "
+        "parse_json('[1]') AS v, 9 AS copy, named_struct('x', 1) AS `a b` FROM range(30)"
+    )
+    got = mixing.mix(docs, epochs=4)
+    assert got.count() > 60 and {"m", "v", "a b", "copy", "n_copies"} <= set(got.columns)
+
+
 def test_odd_mixing(spark):
     docs = documents(spark)
     got = mixing.mix(docs, epochs=3)
-    assert got.columns == [*docs.columns] and {r.n_copies for r in got.collect()} >= {1}
+    rows = got.collect()
+    assert got.columns == [*docs.columns] and rows and all(1 <= r.copy <= r.n_copies for r in rows)
     assert mixing.mix(documents(spark, [])).count() == 0
     nothing = spark.createDataFrame([(None, None, None)] * 3, "doc_id long, source string, n_chars long")
-    assert mixing.mix(nothing).count() in range(0, 40, 3)
+    assert mixing.mix(nothing).count() in range(40)
 
 
 def bag(text):
