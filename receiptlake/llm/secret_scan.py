@@ -36,6 +36,9 @@ CANDIDATE = (
 )
 _SPANS = "array<struct<s:bigint,k:int,e:bigint>>"
 
+# Characters of a text that are gone through at a time.
+STRETCH = 8192
+
 # Alphabet of each inferred encoding, first match wins. The sign classes share 62 and 63.
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENCODINGS = (
@@ -172,13 +175,15 @@ def with_spans(docs: DataFrame, text: Column, q: float, alpha: float) -> DataFra
             F.concat(*(at(plain.format(x)).cast(_SPANS) for x in (assign, access, hexes)))
         ),
     )
-    out = out.withColumn(
-        "__candidates",
-        F.filter(
-            at(_matches(CANDIDATE, 3, CANDIDATE)),
-            lambda c: ~F.exists("__base", lambda b: (b.s < c.e) & (b.e > c.s)),
-        ),
+    # A candidate is held against the spans of its own stretch of text only.
+    near = (
+        f"transform(sequence(0L, (length(__text) - 1) DIV {STRETCH}), "
+        f"i -> filter(__base, b -> b.s < (i + 1) * {STRETCH} AND b.e > i * {STRETCH}))"
     )
+    own = f"slice(z, int(c.s DIV {STRETCH}) + 1, int((c.e - 1) DIV {STRETCH} - c.s DIV {STRETCH}) + 1)"
+    apart = f"c -> NOT exists({own}, n -> exists(n, b -> b.s < c.e AND b.e > c.s))"
+    candidates = _matches(CANDIDATE, 3, CANDIDATE).replace("(text,", "(__text,")
+    out = out.withColumn("__candidates", F.expr(f"transform(array({near}), z -> filter({candidates}, {apart}))[0]"))
     out = out.withColumn("__tested", F.size("__candidates")).withColumn("__random", F.expr(random))
     out = out.withColumn("__bound", F.expr(f"CASE WHEN size(__random) > 0 THEN {bound} END"))
     found = plain.format("filter(__random, c -> c.log_p <= __bound)")
@@ -217,12 +222,19 @@ def redact(
     Null texts stay null, texts without spans stay as they are."""
     found = with_spans(docs, F.col(text_col), q, alpha)
     name = f"`{text_col}`"
+    # Stretch by stretch, so the work on the text grows with it and not with its square. A
+    # span that began before a stretch is masked there. What the steps need of a stretch is in
+    # their state: Spark takes no Python function of an expression whose inner lambdas look
+    # outside.
     step = (
-        "(a, x) -> CASE WHEN x.e <= a.at THEN a ELSE struct("
-        f"concat(a.out, IF(x.s >= a.at, concat(substring({name}, int(a.at + 1), int(x.s - a.at)), {_sql(mask)}), '')) AS out, "
-        "x.e AS at) END"
+        "(a, x) -> CASE WHEN x.e <= a.at OR x.s >= a.high THEN a ELSE struct("
+        f"concat(a.out, IF(x.s >= a.at, concat(substring(a.p, int(a.at - a.low + 1), int(x.s - a.at)), {_sql(mask)}), '')) AS out, "
+        "x.e AS at, a.low AS low, a.high AS high, a.p AS p) END"
     )
-    rest = f"a -> concat(a.out, substring({name}, int(a.at + 1)))"
-    masked = f"aggregate(__spans, struct('' AS out, 0L AS at), {step}, {rest})"
+    state = f"struct('' AS out, i * {STRETCH}L AS at, i * {STRETCH}L AS low, (i + 1) * {STRETCH}L AS high, p AS p)"
+    rest = "a -> concat(a.out, substring(a.p, int(a.at - a.low + 1)))"
+    stretch = f"aggregate(__spans, {state}, {step}, {rest})"
+    pieces = f"regexp_extract_all({name}, '(?s).{{1,{STRETCH}}}', 0)"
+    masked = f"array_join(transform({pieces}, (p, i) -> {stretch}), '')"
     masked = F.expr(f"CASE WHEN size(__spans) > 0 THEN {masked} ELSE {name} END")
     return found.withColumn(text_col, masked).drop("__base", "__spans")

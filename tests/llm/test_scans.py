@@ -344,3 +344,26 @@ def test_a_short_article_comes_first():
     for page in (f"<div>{outside}</div><article><p>Short.</p></article>", f"<article>Short.</article><p>{outside}{outside}</p>"):
         assert page_text.main_text(page) == "Short."
     assert page_text.main_text(f"<article></article><p>{outside}</p>") == outside
+
+
+def test_many_secrets_in_one_text(spark):
+    """Against a plain mask of the spans; many of them, some across the stretches."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    pieces = []
+    for n in range(12_000):
+        value = "".join(rng.choices(letters, k=rng.randint(12, 40)))
+        pieces.append(rng.choice([f"password={value}", f"AKIA{value.upper()}", f"é😀 {value}", f"token: {value}{value}", "plain words here"]))
+    texts = [" ".join(pieces), "password=" + "a1" * 6000 + " end", "deadbeef" * 1000 + "AKIA" + "Z9" * 9000 + "=", "x" * 5000]
+    docs = documents(spark, texts, clashing=False)
+    spans = {r.doc_id: r.spans for r in secret_scan.secret_spans(docs).collect()}
+    masked = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    for n, text in enumerate(texts):
+        out, at = [], 0
+        for span in filter(None, spans[n].split(",")):
+            start, end = map(int, span.split(":")[1:])
+            if end > at:
+                out.append(text[at:start] + "[SECRET]" if start >= at else "")
+                at = end
+        assert masked[n] == "".join(out) + text[at:], n
+    assert spans[0].count(",") > 6000 and not spans[3]
