@@ -1,9 +1,9 @@
 """Document fingerprints by Order MinHash.
 
 A text's k-mers of code points are numbered by occurrence and hashed, each numbered k-mer
-once, onto a ring. Every slot of a fingerprint starts at a place of its own on that ring,
-which orders the numbered k-mers by their distance from it, and selects the first
-``LENGTH`` of them. These are put in the order they have in the text and hashed as a tuple.
+once. Every slot of a fingerprint orders the numbered k-mers anew, by the product of their
+hash with an odd factor of the slot, and selects the first ``LENGTH`` of them. These are put
+in the order they have in the text and hashed as a tuple.
 A slot agrees between two texts only if both select the same k-mers in the same order, so
 the share of slots that agree falls with edit distance, moved passages included.
 
@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from receiptlake.llm.common import short_batches
 
 K = 6
-SLOTS = 64  # a power of two
+SLOTS = 64
 LENGTH = 2
 
-_ARC = 64 - SLOTS.bit_length() + 1  # bits of the distance within a slot's arc
 _POSITION = 24  # bits of the position in a sort key
-_STARTS = np.arange(SLOTS, dtype=np.uint64) << np.uint64(_ARC)
+_TILE = 1024  # k-mers whose products with all factors stay in a core's cache
+_FACTORS = np.random.default_rng(5).integers(0, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -59,25 +59,33 @@ def numbered_kmers(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _mix(high + occurrence.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)), position
 
 
+def selected(hashes: np.ndarray) -> np.ndarray:
+    """Per slot the places of its first ``LENGTH`` numbered k-mers (all, if there are fewer)."""
+    slots, found = np.arange(SLOTS), []
+    for start in range(0, len(hashes), _TILE):
+        order = hashes[start : start + _TILE] * _FACTORS[:, None]
+        for _ in range(min(LENGTH, order.shape[1])):
+            first = order.argmin(axis=1)
+            found.append(start + first)
+            order[slots, first] = ~np.uint64(0)
+        if len(found) > _TILE:
+            found = _least(hashes, found)
+    return np.stack(found if len(found) <= LENGTH else _least(hashes, found), axis=1)
+
+
+def _least(hashes: np.ndarray, found: list[np.ndarray]) -> list[np.ndarray]:
+    places = np.stack(found, axis=1)
+    first = np.argsort(hashes[places] * _FACTORS[:, None], axis=1, kind="stable")[:, :LENGTH]
+    return list(np.take_along_axis(places, first, axis=1).T)
+
+
 def fingerprint(text: str | None) -> str:
     """Slots of 16 bits in hexadecimal."""
     if not text:
         return ""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     hashes, position = numbered_kmers(codes)
-    # The first of every arc are near its start: the others need no sorting, unless an arc
-    # is left with too few.
-    share = 8 * LENGTH * SLOTS / len(hashes)
-    if share < 0.5:
-        near = np.flatnonzero(
-            hashes & np.uint64((1 << _ARC) - 1) < np.uint64(int(share * (1 << _ARC)))
-        )
-        if np.bincount(hashes[near] >> np.uint64(_ARC), minlength=SLOTS).min() >= LENGTH:
-            hashes, position = hashes[near], position[near]
-    order = np.argsort(hashes)
-    hashes, position = hashes[order], position[order]
-    picked = np.searchsorted(hashes, _STARTS)[:, None] + np.arange(min(LENGTH, len(hashes)))
-    picked %= len(hashes)
+    picked = selected(hashes)
     in_text = np.argsort(position[picked], axis=1)
     picked = np.take_along_axis(picked, in_text, axis=1)
     tuples = np.zeros(SLOTS, dtype=np.uint64)
@@ -112,19 +120,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order of part, halo, key and text. Every row is compared with the next of
-    its part; a part ends with a halo row, which is the first row of the next part."""
-    last = None  # part, halo, id, text, fingerprint
+    """Rows of one range in order, behind them the first row of the next range as a halo row.
+    Every row is compared with the one behind it. Copies that follow each other are
+    fingerprinted once."""
+    last = None  # id, text, fingerprint
     for batch in batches:
         out = []
-        rows = zip(batch["part"], batch["halo"], batch["id"], batch["text"], strict=True)
-        for part, halo, id_, text in rows:
-            if last is not None and last[1] and last[0] == part:
-                continue  # a second halo row
-            own = fingerprint(text)
-            if last is not None and last[0] == part:
+        for halo, id_, text in zip(batch["halo"], batch["id"], batch["text"], strict=True):
+            own = last[2] if last is not None and last[1] == text else fingerprint(text)
+            if last is not None:
                 out.append(_row(last, text, own))
-            last = part, halo, id_, text, own
+            last = None if halo else (id_, text, own)
         yield pd.DataFrame(out, columns=_COLUMNS)
 
 
@@ -132,48 +138,60 @@ _COLUMNS = "id n_chars edited fingerprint edited_fingerprint near_edited near_ne
 
 
 def _row(last: tuple, following: str, next_print: str) -> tuple:
-    _, _, id_, text, own = last
+    id_, text, own = last
     changed = edited(text, following)
-    print_ = fingerprint(changed)
+    print_ = own if changed == text else fingerprint(changed)
     near = likeness(own, print_), likeness(own, next_print)
     return id_, len(text), changed, own, print_, *near
 
 
 def edit_test(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every text against its edited form (see ``edited``) and against the next document,
-    by ascending id, then text; after the last comes the first, and nulls come first.
-    Columns ``id_col``, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited
-    and near_next. A single document is its own next one.
-
-    Rows are dealt by ranges of ids, so that texts are shuffled once. The first document of
-    each range is also sent to the range before. Ranges and their first ids, one row per
-    partition, are all that passes through the driver.
+    by ascending id, rows of one id by a hash of the text, then by the text; after the last
+    comes the first. Null ids come first. Columns ``id_col``, n_chars, edited_sha256,
+    fingerprint, edited_fingerprint, near_edited and near_next. A single document is its own
+    next one.
+
+    Rows are dealt by ranges of ids, and an id with more rows than a range holds by ranges of
+    the hash, so that texts are shuffled once; only copies of one text under one id stay
+    together. The first document of each range is also sent to the range before. Ranges and
+    where they begin, one row per partition, are all that passes through the driver.
     """
     spark = docs.sparkSession
-    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("key")
+    text = F.coalesce(text_col, F.lit(""))
+    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LEAST)).alias("key")
     rows = short_batches(docs).select(
-        key, F.col(id_col).cast("string").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")
+        key, F.xxhash64(text).alias("hash"), F.col(id_col).cast("string").alias("id"), text.alias("text")
     )
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = [n / ranges for n in range(1, ranges)] or [0.5]
     bounds = rows.agg(F.percentile_approx("key", shares, 20 * ranges + 1000)).head()[0]
-    bounds = sorted(set(bounds or []))
+    bounds = split_bounds(bounds or [])
     part = _part(bounds)
-    first = {r[0]: r[1] for r in rows.groupBy(part.alias("part")).agg(F.min("key")).collect()}
+    # Where no id is split, the text is not needed to say where a range begins.
+    split = len(bounds) > len({k for k, _ in bounds})
+    begin = ["key", "hash"] if split else ["key"]
+    firsts = rows.groupBy(part.alias("part")).agg(F.min(F.struct(*begin)))
+    first = {r[0]: r[1] for r in firsts.collect()}
     parts = sorted(first)
     before = {p: parts[n - 1] for n, p in enumerate(parts)}
     size = len(bounds) + 1
-    firsts = F.array(*(F.lit(first.get(p, 0)).cast("bigint") for p in range(size)))
-    befores = F.array(*(F.lit(before.get(p, 0)) for p in range(size)))
-    own = F.struct(F.col("own").alias("part"), F.lit(False).alias("halo"))
-    halo = F.struct(F.get(befores, F.col("own")).alias("part"), F.lit(True).alias("halo"))
-    places = F.when(F.col("key") == F.get(firsts, F.col("own")), F.array(own, halo)).otherwise(F.array(own))
+    part_before = F.array(*(F.lit(before.get(p, 0)) for p in range(size)))
+    own = rows.withColumn("part", part)
+    columns = "part", "halo", "key", "hash", "id", "text"
+    at_start = F.lit(True)
+    for n, column in enumerate(begin):
+        starts = F.array(*(F.lit(first[p][n] if p in first else 0).cast("bigint") for p in range(size)))
+        at_start &= F.col(column) == F.get(starts, F.col("part"))
+    halo = own.filter(at_start).groupBy(F.get(part_before, F.col("part")).alias("part"))
+    halo = halo.agg(F.min(F.struct("key", "hash", "text", "id")).alias("row"), F.lit(True).alias("halo"))
     dealt = (
-        rows.withColumn("own", part)
-        .withColumn("place", F.explode(places))
-        .select("place.part", "place.halo", "key", "id", "text")
+        own.withColumn("halo", F.lit(False))
+        .select(*columns)
+        .unionAll(halo.select("part", "halo", "row.key", "row.hash", "row.id", "row.text"))
         .repartitionById(size, F.col("part"))
-        .sortWithinPartitions("part", "halo", "key", "text")
+        .sortWithinPartitions("halo", "key", "hash", "text")
+        .select("halo", "id", "text")
     )
     schema = "id string, n_chars bigint, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return dealt.mapInPandas(_compared, schema).select(
@@ -187,15 +205,34 @@ def edit_test(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
-def _part(bounds: list[int]):
-    """How many bounds lie below the key: of blocks first, then of one block's."""
+_LEAST, _MOST = -(2**63), 2**63 - 1
+
+
+def split_bounds(keys: list[int]) -> list[tuple[int, int]]:
+    """Last id and hash of each range but the last, from quantiles of the ids: an id that is
+    a quantile several times over ends as many ranges, at even steps of the hash."""
+    bounds = []
+    for key in sorted(set(keys)):
+        times = keys.count(key)
+        bounds += [(key, _LEAST + (2**64 * n) // times - 1) for n in range(1, times + 1)]
+    return bounds
+
+
+def _part(bounds: list[tuple[int, int]]):
+    """How many bounds lie below key and hash: of blocks first, then of one block's."""
     if not bounds:
         return F.lit(0)
     width = max(1, int(len(bounds) ** 0.5))
-    every = "array(" + ", ".join(f"{b}L" if b > -(2**63) else "-9223372036854775807L - 1L" for b in bounds) + ")"
+
+    def sql(value: int) -> str:
+        return f"{value}L" if value > _LEAST else f"{_LEAST + 1}L - 1L"
+
+    every = "array(" + ", ".join(f"struct({sql(k)} AS key, {sql(h)} AS hash)" for k, h in bounds) + ")"
+    split = len(bounds) > len({k for k, _ in bounds})
+    below = "b.key < key OR b.key = key AND b.hash < hash" if split else "b.key < key"
     ends = f"filter({every}, (b, n) -> n % {width} = {width - 1})"
-    block = f"size(filter({ends}, b -> b < key))"
+    block = f"size(filter({ends}, b -> {below}))"
     return F.expr(
         f"transform(array({block}), k -> k * {width} + "
-        f"size(filter(slice({every}, k * {width} + 1, {width}), b -> b < key)))[0]"
+        f"size(filter(slice({every}, k * {width} + 1, {width}), b -> {below})))[0]"
     )

@@ -41,8 +41,8 @@ def slow_fingerprint(text):
     codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
     hashes, position = fingerprints.numbered_kmers(codes)
     out = []
-    for start in fingerprints._STARTS:
-        first = np.argsort(hashes - start, kind="stable")[: fingerprints.LENGTH]
+    for factor in fingerprints._FACTORS:
+        first = np.argsort(hashes * factor, kind="stable")[: fingerprints.LENGTH]
         first = first[np.argsort(position[first])]
         value = np.zeros(1, dtype=np.uint64)
         for n in first:
@@ -86,6 +86,71 @@ def test_likeness_falls_with_edits_and_with_moved_passages():
     assert fingerprints.likeness(fingerprints.fingerprint(text), fingerprints.fingerprint(moved)) < 0.7
 
 
+def ideal_likeness(a, b, slots=4000):
+    """The share of orders, each from a hash of its own, that agree on two texts."""
+    both = []
+    for text in (a, b):
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        hashes, position = fingerprints.numbered_kmers(codes)
+        salts = np.random.default_rng(3).integers(0, 2**63, slots, dtype=np.uint64)
+        order = np.argsort(fingerprints._mix(hashes ^ salts[:, None]), axis=1)[:, :2]
+        order = np.take_along_axis(order, np.argsort(position[order], axis=1), axis=1)
+        both.append(hashes[order])
+    return (both[0] == both[1]).all(axis=1).mean()
+
+
+@pytest.mark.parametrize("length", [15, 25, 42, 80])
+def test_orders_are_independent_on_short_texts(length):
+    rng = random.Random(length)
+    off = []
+    for _ in range(300):
+        text = "".join(rng.choice("abcdefghij ") for _ in range(length))
+        cut = rng.randrange(length // 3)
+        changed = text[:cut] + "#" + text[cut + 1 :]
+        share = ideal_likeness(text, changed)
+        got = fingerprints.likeness(fingerprints.fingerprint(text), fingerprints.fingerprint(changed))
+        if 0 < share < 1:
+            off.append((got - share) / np.sqrt(share * (1 - share) / fingerprints.SLOTS))
+    assert len(off) > 250
+    assert abs(np.mean(off)) < 0.25  # no bias
+    assert 0.85 < np.std(off) < 1.15  # the spread of that many independent slots
+
+
+def edit_test_of_lists(rows):
+    """(id, text) of rows whose ids are all set, in order of id, hash and text."""
+    out = []
+    for n, (i, text) in enumerate(rows):
+        following = rows[(n + 1) % len(rows)][1]
+        changed = fingerprints.edited(text, following)
+        own, other, third = map(slow_fingerprint, (text, changed, following))
+        near = fingerprints.likeness(own, other), fingerprints.likeness(own, third)
+        out.append((i, len(text), hashlib.sha256(changed.encode()).hexdigest(), own, other, *near))
+    return out
+
+
+@pytest.mark.parametrize("ranges", ["1", "2", "8"])
+def test_a_hot_id_is_split(spark, ranges):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefg ") for _ in range(40)) for _ in range(300)]
+    rows = [(None if n % 3 == 0 else 7 if n % 3 == 1 else n, t) for n, t in enumerate(texts)]
+    rows += [(7, texts[1])] * 40 + [(7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = docs.select("doc_id", "text").orderBy(F.asc_nulls_first("doc_id"), F.xxhash64("text"), "text")
+    want = edit_test_of_lists([(r.doc_id, r.text) for r in order.collect()])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        out = fingerprints.edit_test(docs)
+        got = [tuple(r) for r in out.collect()]
+        spread = [r[1] for r in out.filter("doc_id = 7").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    key = lambda r: tuple((v is not None, v) for v in r)
+    assert sorted(got, key=key) == sorted(want, key=key)
+    if ranges == "8":  # 141 rows, of them 41 copies of one text
+        assert len(spread) >= 3 and max(spread) <= 41 + 50
+
+
 def test_odd_fingerprints(spark):
     ids = [None, None, *range(2, len(ODD_TEXTS) - 1), 2]
     got = fingerprints.edit_test(documents(spark, ODD_TEXTS, ids=ids)).collect()
