@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from receiptlake.plans.staging import written
+from receiptlake.plans.staging import kept, tables_key
 from receiptlake.schema import FACTORY_NUMBER, FISCAL_SIGN, RECEIPT, REGISTRATION_NUMBER
 
 PAGE_LINES = 500_000
@@ -105,10 +105,11 @@ _SLOT = "pmod(xxhash64({line}), pages)"
 _PAGE = "int(coalesce(pmod({slot} - first_slot, pages), 0))"
 
 
-def long_orders(lineitem: DataFrame, page_lines: int) -> DataFrame:
+def long_orders(lineitem: DataFrame, sf_dir: str, page_lines: int) -> DataFrame | None:
     """Orders that need several pages, and the slot their first line falls in: one pass
-    over the lines, combined before the shuffle. The result is written out, so its size is
-    known to the optimizer, which broadcasts it or not."""
+    over the lines, combined before the shuffle, for each state of the table. The result is
+    written out, so its size is known to the optimizer, which broadcasts it or not. None if
+    there is no such order."""
     first = _SLOT.format(line="first.l_linenumber, first.l_partkey, first.l_suppkey")
     counts = (
         lineitem.groupBy(F.col("l_orderkey").alias("long_key"))
@@ -117,7 +118,8 @@ def long_orders(lineitem: DataFrame, page_lines: int) -> DataFrame:
         .selectExpr("long_key", f"int(ceil(lines / {page_lines})) AS pages", "first")
         .selectExpr("long_key", "pages", f"{first} AS first_slot")
     )
-    return written(counts, "long-orders")
+    key = tables_key(lineitem.sparkSession, sf_dir, ["lineitem"])
+    return kept(counts, "long-orders", (page_lines, *key))
 
 
 def paged_items(lineitem: DataFrame, part: DataFrame, long: DataFrame | None, vat: bool) -> DataFrame:
@@ -159,9 +161,9 @@ def documents(
     nation = table(spark, sf_dir, "nation")
     docs = docs.join(customer, F.expr("o_custkey = c_custkey"), "left")
     docs = docs.join(nation, F.expr("c_nationkey = n_nationkey"), "left")
-    long = long_orders(lineitem, page_lines or PAGE_LINES)
-    paged = not long.isEmpty()
-    items = paged_items(lineitem, table(spark, sf_dir, "part"), long if paged else None, item_vat)
+    long = long_orders(lineitem, sf_dir, page_lines or PAGE_LINES)
+    paged = long is not None
+    items = paged_items(lineitem, table(spark, sf_dir, "part"), long, item_vat)
     if paged:
         docs = (
             docs.join(long, F.expr("k = long_key"), "left")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 _staged: dict[tuple, str] = {}
+_kept: dict[tuple, str | None] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -49,15 +50,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_key(spark: SparkSession, sf_dir: str, names) -> tuple:
+    """What tells a state of some tables from another, for this application."""
+    state = []
+    for name in names:
+        files, path = _path(spark, f"{sf_dir}/{name}.parquet")
+        held = files.getContentSummary(path)
+        state.append((files.getFileStatus(path).getModificationTime(), held.getLength(), held.getFileCount()))
+    return spark.sparkContext.applicationId, sf_dir, *state
+
+
+def kept(df: DataFrame, name: str, key: tuple) -> DataFrame | None:
+    """A small table, written once per key; None, and nothing left behind, if it is empty."""
+    spark, key = df.sparkSession, (name, *key)
+    if key not in _kept:
+        path = scratch_dir(spark)
+        df.write.parquet(path)
+        _kept[key] = path
+        if spark.read.schema(df.schema).parquet(path).isEmpty():
+            discard(spark, path)
+            _kept[key] = None
+    return _kept[key] and spark.read.schema(df.schema).parquet(_kept[key])
+
+
 def staged_documents(spark: SparkSession, sf_dir: str) -> str:
     """Directory with all documents as JSON lines, written once per application and state
     of the tables. Order key and page travel in front of the document, as a topic's key
     would beside it."""
     from receiptlake.plans import fixture
 
-    files = [_path(spark, f"{sf_dir}/{name}.parquet") for name in fixture.TABLES]
-    state = tuple(f.getFileStatus(p).getModificationTime() for f, p in files)
-    key = (spark.sparkContext.applicationId, sf_dir, state)
+    key = tables_key(spark, sf_dir, fixture.TABLES)
     if key not in _staged:
         path = f"{scratch_dir(spark)}/documents"
         docs = fixture.documents(spark, sf_dir).rows

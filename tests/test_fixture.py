@@ -36,6 +36,33 @@ def test_lines_are_scanned_once_and_nothing_is_hinted(spark, sf_small, monkeypat
         assert docs.paged == (page_lines == 2)
 
 
+def test_long_orders_are_found_once_for_each_state_of_the_lines(spark, sf_small, tmp_path):
+    def written(times):
+        lines = spark.read.parquet(f"{sf_small}/lineitem.parquet").filter("l_orderkey % 100 = 1")
+        lines = lines.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("copy")
+        lines.write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+        return fixture.table(spark, str(tmp_path), "lineitem")
+
+    def found(lines, page_lines):
+        before = spark.sparkContext.statusTracker().getJobIdsForGroup("long")
+        spark.sparkContext.setJobGroup("long", "")
+        try:
+            rows = fixture.long_orders(lines, str(tmp_path), page_lines)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        ran = len(spark.sparkContext.statusTracker().getJobIdsForGroup("long")) - len(before)
+        return rows and {r.long_key for r in rows.collect()}, ran
+
+    lines = written(1)
+    few, first = found(lines, 3)
+    again, second = found(lines, 3)
+    assert few and few == again and first > 0 == second
+    assert found(lines, 20)[0] is None
+    assert found(lines, 20) == (None, 0)
+    more, third = found(written(4), 20)
+    assert more and third > 0
+
+
 def test_hot_order_customer_and_part(spark, sf_small, tmp_path):
     """A third of all lines in one order, of all orders with one customer."""
     hot = str(tmp_path)
