@@ -2,12 +2,14 @@
 
 A rolling hash over the last 16 characters cuts texts into chunks, so that equal passages
 give equal chunks wherever they stand. A chunk is encoded once per worker and kept for the
-texts to come. An encoding made without its neighbours can be wrong at a join; it cannot be
-wrong between two stable cuts, places where a space follows a letter, digit or punctuation:
-no pre-token of the byte-level pattern holds a space behind another character, and nothing
-behind a place decides how the text before a space is split. So each join is re-encoded from
-the last stable cut on its left to the first on its right, and a chunk without such a cut
-joins the stretch, which grows until both its ends agree with what stands beside it.
+texts to come, those used longest ago making room. An encoding made without its neighbours
+can be wrong at its ends, so a chunk gives only the ids between its first and last stable
+cut, a place where a space follows a letter, digit or punctuation: no pre-token of the
+byte-level pattern holds a space behind another character. Each join is repaired by encoding
+anew what lies between two chunks' ids together with the last word of the left ones and the
+first word of the right ones, until these words come out with exactly the ids they have
+there. A chunk with too few cuts, or whose own words do not agree with it, joins the stretch;
+a join that does not agree grows to the whole text.
 
 Nulls count as empty texts, which have no ids. Other columns are left out, repeated rows
 are encoded row by row, and texts of any length are handled whole.
@@ -17,6 +19,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -63,8 +66,21 @@ def _bytes_of_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
+@dataclass(slots=True)
+class Chunk:
+    """``head`` and ``tail`` stand before the first and behind the last stable cut, ``ids``
+    are those between, ``lead`` and ``trail`` the first and last word there, with their ids."""
+
+    head: str
+    ids: array
+    tail: str
+    lead: tuple[str, array]
+    trail: tuple[str, array]
+
+
 class ChunkCoder:
-    """``remember`` bounds the chunks kept between texts."""
+    """``remember`` bounds the chunks kept between texts. ``seen`` and ``reused`` count the
+    characters of all chunks and of those that were kept."""
 
     def __init__(self, path: str, remember: int = 6_000):
         from tokenizers import Tokenizer
@@ -75,7 +91,8 @@ class ChunkCoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.remember = remember
-        self.chunks: dict[str, tuple[str, array, str]] = {}
+        self.chunks: dict[str, Chunk] = {}
+        self.seen = self.reused = 0
         self.fast = self._ranked(json.loads(text))
 
     def _ranked(self, spec: dict):
@@ -108,39 +125,68 @@ class ChunkCoder:
             return self.fast.encode(text, allowed_special="all")
         return self.fast.encode_ordinary(text)
 
-    def chunk(self, text: str) -> tuple[str, array, str] | None:
-        """What stands before the first stable cut, the ids between first and last, and
-        what stands behind the last; None if there is no stable cut."""
-        kept = self.chunks.get(text)
+    def words(self, text: str) -> Chunk | None:
+        """A chunk encoded; None if its first and last word cannot be held against a join."""
+        first = _STABLE.search(text)
+        second = first and _STABLE.search(text, first.end())
+        if not second:
+            return None
+        cuts, end = [], len(text)
+        while len(cuts) < 2:
+            end = text.rfind(" ", 0, end)
+            if _STABLE.match(text, end):
+                cuts.append(end)
+        start, end = first.start(), cuts[0]
+        ids = array("I", self.direct(text[start:end]))
+        lead, trail = text[start : second.start()], text[cuts[1] : end]
+        leads, trails = array("I", self.direct(lead)), array("I", self.direct(trail))
+        if ids[: len(leads)] != leads or ids[len(ids) - len(trails) :] != trails:
+            return None
+        return Chunk(text[:start], ids, text[end:], (lead, leads), (trail, trails))
+
+    def chunk(self, text: str) -> Chunk | None:
+        kept = self.chunks.pop(text, None)
+        self.seen += len(text)
         if kept is None:
-            first = _STABLE.search(text)
-            if not first:
-                return None
-            start, end = first.start(), text.rfind(" ")
-            while not _STABLE.match(text, end):
-                end = text.rfind(" ", 0, end)
-            kept = text[:start], array("I", self.direct(text[start:end])), text[end:]
-            if len(text) <= 65536:
-                if len(self.chunks) >= self.remember:
-                    self.chunks.clear()
-                self.chunks[text] = kept
+            kept = self.words(text)
+        else:
+            self.reused += len(text)
+        if kept is not None and len(text) <= 65536:
+            self.chunks[text] = kept  # the latest is last
+            if len(self.chunks) > self.remember:
+                del self.chunks[next(iter(self.chunks))]
         return kept
 
+    def join(self, left: Chunk | None, between: str, right: Chunk | None) -> array | None:
+        """Ids of what lies between two chunks' ids; None if the words beside it, encoded
+        with it, have other ids than there."""
+        word, before = left.trail if left else ("", array("I"))
+        after, behind = right.lead if right else ("", array("I"))
+        ids = array("I", self.direct(word + between + after))
+        end = len(ids) - len(behind)
+        if end < len(before) or ids[: len(before)] != before or ids[end:] != behind:
+            return None
+        return ids[len(before) : end]
+
     def encode(self, text: str) -> array:
-        ids, open_, start = array("I"), [], 0
+        ids, open_, left, start = array("I"), [], None, 0
         for end in chunk_ends(text):
             part = text[start:end]
-            found = self.chunk(part)
-            if found is None:
-                open_.append(part)
-            else:
-                head, middle, tail = found
-                open_.append(head)
-                ids.extend(self.direct("".join(open_)))
-                ids.extend(middle)
-                open_ = [tail]
             start = end
-        ids.extend(self.direct("".join(open_)))
+            right = self.chunk(part)
+            if right is None:
+                open_.append(part)
+                continue
+            joined = self.join(left, "".join([*open_, right.head]), right)
+            if joined is None:
+                return array("I", self.direct(text))
+            ids.extend(joined)
+            ids.extend(right.ids)
+            open_, left = [right.tail], right
+        joined = self.join(left, "".join(open_), None)
+        if joined is None:
+            return array("I", self.direct(text))
+        ids.extend(joined)
         return ids
 
     def decode(self, ids: list[int]) -> str:

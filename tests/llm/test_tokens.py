@@ -1,6 +1,8 @@
 """Token counts and BPE against the libraries themselves."""
 
 import hashlib
+import random
+from dataclasses import replace
 
 import numpy as np
 import public_tokenizers
@@ -87,6 +89,31 @@ def test_chunks_are_shared_and_cut_by_content():
     assert len(coder.chunks) <= known + 2
 
 
+def test_shared_passages_are_reused_and_joins_compared(library, monkeypatch):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("etaoinshrdlu'é1.") for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    passages = [rng.choice([" ", "  ", " ("]).join(rng.choices(words, k=3000)) for _ in range(5)]
+    own = lambda: " ".join(rng.choices(words, k=300))
+    texts = [own() + rng.choice(["", " ", "\n\n"]) + rng.choice(passages) + own() for _ in range(40)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for remember in (6000, 3, 0):
+        coder = bpe.ChunkCoder(BYTES, remember)
+        assert [coder.encode(t).tolist() for t in texts] == want
+        assert len(coder.chunks) <= remember
+        if remember == 6000:
+            assert coder.reused > 0.5 * coder.seen
+    # A chunk whose words have other ids than in the join is not used.
+    coder = bpe.ChunkCoder(BYTES)
+    honest = coder.words
+
+    def wrong(text):
+        made = honest(text)
+        return made and replace(made, lead=(made.lead[0], made.lead[1] + made.lead[1][:1]))
+
+    monkeypatch.setattr(coder, "words", wrong)
+    assert [coder.encode(t).tolist() for t in texts] == want
+
+
 def test_settled_characters_are_split_alike(library):
     """The two libraries agree on every character that the faster one is trusted with."""
     coder = bpe.ChunkCoder(BYTES)
