@@ -124,20 +124,23 @@ def long_orders(lineitem: DataFrame, sf_dir: str, page_lines: int) -> DataFrame
 
 def paged_items(lineitem: DataFrame, part: DataFrame, long: DataFrame | None, vat: bool) -> DataFrame:
     """Columns l_orderkey, l_page and the page's items in line order. The rows are
-    shuffled as they are: collecting before the shuffle would combine nothing."""
+    shuffled as they are: collecting before the shuffle would combine nothing. They are
+    shuffled once: without pages the optimizer drops ``l_page``, a constant, from the keys of
+    the grouping and the join, and rows dealt by it as well would have to be dealt again."""
     item = f"struct({_LINE}, {_ITEM}, {_ITEM_VAT})" if vat else f"struct({_LINE}, {_ITEM})"
     names = "l -> struct(l.Category, l.Name, l.UnitPrice, l.Quantity, l.Total"
     names += ", l.VAT)" if vat else ")"
     if long is None:
-        lines = lineitem.withColumn("l_page", F.lit(0))
+        lines, dealt = lineitem.withColumn("l_page", F.lit(0)), ["l_orderkey"]
     else:
+        dealt = ["l_orderkey", "l_page"]
         page = _PAGE.format(slot=_SLOT.format(line=_LINE))
         lines = lineitem.join(long, F.expr("l_orderkey = long_key"), "left")
         lines = lines.selectExpr("*", f"{page} AS l_page")
     return (
         lines.join(part, F.expr("l_partkey = p_partkey"), "left")
         .selectExpr("l_orderkey", "l_page", f"{item} AS item")
-        .repartition("l_orderkey", "l_page")
+        .repartition(*dealt)
         .groupBy("l_orderkey", "l_page")
         .agg(F.expr(f"transform(sort_array(collect_list(item)), {names}) AS Items"))
     )

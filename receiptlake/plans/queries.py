@@ -416,13 +416,13 @@ def receipt_reconcile(spark, sf_dir):
 # Streams: the staged documents are replayed to the end, the sinks' output is read back.
 
 NOW = {"availableNow": True}
-# Bounds a batch, and with it what the sinks have to keep while they share it.
-BYTES_PER_TRIGGER = 4 << 30
+# Bounds a batch, and with it what the sinks have to keep while they share it: 4 GB of text,
+# of which a quarter is left when it is compressed.
+BYTES_PER_TRIGGER = 1 << 30
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns k, page, json of all pages; the topic's key stands in front of each line."""
-    path = staged_documents(spark, sf_dir)
+def _stream(spark: SparkSession, path: str) -> DataFrame:
+    """Columns k, page, json of all staged pages; the topic's key stands in front of each line."""
     lines = decode_value(read_lines(spark, path, bytes_per_trigger=BYTES_PER_TRIGGER))
     parts = F.split("json", "\t", 3)
     return lines.select(
@@ -432,9 +432,10 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _finish(spark: SparkSession, query, base: str) -> None:
+def _finish(spark: SparkSession, query, base: str, path: str) -> None:
     query.awaitTermination()
     discard(spark, f"{base}/checkpoint")
+    discard(spark, path)
 
 
 def _paged(rows: DataFrame) -> bool:
@@ -443,12 +444,12 @@ def _paged(rows: DataFrame) -> bool:
 
 
 def raw_landing_stream(spark, sf_dir):
-    base = scratch_dir(spark)
-    docs = _stream(spark, sf_dir)
+    base, path = scratch_dir(spark), staged_documents(spark, sf_dir)
+    docs = _stream(spark, path)
     query = S.run_raw_landing(
         docs, f"{base}/raw", f"{base}/checkpoint", keep_source=True, gather=True, trigger=NOW
     )
-    _finish(spark, query, base)
+    _finish(spark, query, base, path)
     schema = S.raw_table(docs, keep_source=True).schema
     landed = read_back(spark, f"{base}/raw", schema).withColumns(
         {"event_time": ntz("DateTime_ts"), "stamped": F.col("ingest_time").isNotNull()}
@@ -457,19 +458,19 @@ def raw_landing_stream(spark, sf_dir):
 
 
 def clean_items_stream(spark, sf_dir):
-    base = scratch_dir(spark)
+    base, path = scratch_dir(spark), staged_documents(spark, sf_dir)
     sink = S.path_sink(f"{base}/clean", "items", S.write_clean_layout)
-    docs = _stream(spark, sf_dir).drop("page")
-    _finish(spark, S.run_clean_items(docs, sink, f"{base}/checkpoint", trigger=NOW), base)
+    docs = _stream(spark, path).drop("page")
+    _finish(spark, S.run_clean_items(docs, sink, f"{base}/checkpoint", trigger=NOW), base, path)
     landed = read_back(spark, f"{base}/clean", O.clean_items(docs).schema)
     return _without_clock(landed.drop("stream_id", "batch_id", "month"))
 
 
 def errors_stream(spark, sf_dir):
-    base = scratch_dir(spark)
+    base, path = scratch_dir(spark), staged_documents(spark, sf_dir)
     sink = S.path_sink(f"{base}/errors", "errors")
-    docs = _stream(spark, sf_dir)
-    _finish(spark, S.run_error_feed(docs, sink, f"{base}/checkpoint", trigger=NOW), base)
+    docs = _stream(spark, path)
+    _finish(spark, S.run_error_feed(docs, sink, f"{base}/checkpoint", trigger=NOW), base, path)
     landed = read_back(spark, f"{base}/errors", O.error_feed(docs).schema)
     return payloads(landed, _paged(landed), "reason")
 
@@ -498,8 +499,8 @@ def _destinations(clean: DataFrame, errors: DataFrame) -> DataFrame:
 
 
 def clean_and_errors_stream(spark, sf_dir):
-    base = scratch_dir(spark)
-    docs = _stream(spark, sf_dir)
+    base, path = scratch_dir(spark), staged_documents(spark, sf_dir)
+    docs = _stream(spark, path)
     query = S.run_clean_and_errors(
         docs,
         S.path_sink(f"{base}/clean", "receipts"),
@@ -507,7 +508,7 @@ def clean_and_errors_stream(spark, sf_dir):
         f"{base}/checkpoint",
         trigger=NOW,
     )
-    _finish(spark, query, base)
+    _finish(spark, query, base, path)
     clean = read_back(spark, f"{base}/clean", O.clean_items(docs).schema)
     errors = read_back(spark, f"{base}/errors", O.error_feed(docs).schema)
     return _destinations(clean, errors)
@@ -520,11 +521,11 @@ def _published(base: str) -> tuple[S.PublishedTable, S.PublishedTable]:
     return S.clean_table(f"{base}/clean", CARRIED), S.error_table(f"{base}/errors", CARRIED)
 
 
-def _publish(spark: SparkSession, sf_dir: str, base: str, **options) -> None:
+def _publish(spark: SparkSession, path: str, base: str, **options) -> None:
     """Both tables, published batch by batch."""
     clean, errors = _published(base)
     query = S.run_clean_and_errors(
-        _stream(spark, sf_dir),
+        _stream(spark, path),
         clean.sink("receipts"),
         errors.sink("receipts"),
         f"{base}/checkpoint",
@@ -543,25 +544,27 @@ def _lose_commit(spark: SparkSession, base: str) -> None:
 
 def published_stream(spark, sf_dir):
     """Published batches, the last of which has run twice."""
-    base = scratch_dir(spark)
-    _publish(spark, sf_dir, base)
+    base, path = scratch_dir(spark), staged_documents(spark, sf_dir)
+    _publish(spark, path, base)
     _lose_commit(spark, base)
-    _publish(spark, sf_dir, base)
+    _publish(spark, path, base)
     discard(spark, f"{base}/checkpoint")
+    discard(spark, path)
     clean, errors = _published(base)
     return _destinations(clean.read(spark), errors.read(spark))
 
 
 def merged_layout(spark, sf_dir):
     """Batches merged into months, one of them run again and merged again."""
-    base = scratch_dir(spark)
+    base, path = scratch_dir(spark), staged_documents(spark, sf_dir)
     clean = _published(base)[0]
     for _ in range(2):
-        _publish(spark, sf_dir, base)
+        _publish(spark, path, base)
         clean.merge(spark)
         _lose_commit(spark, base)
     clean.discard(spark)
     discard(spark, f"{base}/checkpoint")
+    discard(spark, path)
     discard(spark, f"{base}/errors")
     rows = clean.read(spark).drop("stream_id", "batch_id", "page")
     return _without_clock(rows)
@@ -570,7 +573,7 @@ def merged_layout(spark, sf_dir):
 def batch_clocks(spark, sf_dir):
     """Per receipt in a table: whether all rows of its batch have one time, those of the
     other table included, and whether it has the time it had before the batch ran again."""
-    base = scratch_dir(spark)
+    base, path = scratch_dir(spark), staged_documents(spark, sf_dir)
 
     def times() -> DataFrame:
         clean, errors = (t.read(spark) for t in _published(base))
@@ -581,18 +584,19 @@ def batch_clocks(spark, sf_dir):
         rows = rows.groupBy("k", "destination", "batch_id").agg(F.max("at").alias("at"))
         return rows.join(span, "batch_id").drop("batch_id")
 
-    _publish(spark, sf_dir, base)
+    _publish(spark, path, base)
     first = written(times().select("k", "destination", F.col("at").alias("first_at")), "times")
     _lose_commit(spark, base)
-    _publish(spark, sf_dir, base)
+    _publish(spark, path, base)
     discard(spark, f"{base}/checkpoint")
+    discard(spark, path)
     kept = (F.col("at") == F.col("first_at")).alias("kept_time")
     return times().join(first, ["k", "destination"]).select("k", "destination", "one_time", kept)
 
 
 def routing_metrics(spark, sf_dir):
     """Receipts on each route, as observed while the batches ran, one of them twice."""
-    base = scratch_dir(spark)
+    base, path = scratch_dir(spark), staged_documents(spark, sf_dir)
     log = S.RoutingLog(spark, f"{base}/routes")
     spark.streams.addListener(log)
     try:
@@ -601,7 +605,7 @@ def routing_metrics(spark, sf_dir):
                 _lose_commit(spark, base)
             clean, errors = _published(base)
             query = S.run_clean_and_errors(
-                _stream(spark, sf_dir),
+                _stream(spark, path),
                 clean.sink("receipts"),
                 errors.sink("receipts"),
                 f"{base}/checkpoint",
@@ -613,6 +617,7 @@ def routing_metrics(spark, sf_dir):
             log.wait(query)
     finally:
         spark.streams.removeListener(log)
+    discard(spark, path)
     counts = S.routing_counts(spark, f"{base}/routes")
     sums = counts.agg(*[F.coalesce(F.sum(r), F.lit(0)).alias(r) for r in ("clean", "error", "neither")])
     return sums.unpivot([], ["clean", "error", "neither"], "route", "receipts")
@@ -620,7 +625,7 @@ def routing_metrics(spark, sf_dir):
 
 def supervised_stream(spark, sf_dir):
     """Two queries, one of whose sinks fails once, after it has written its rows."""
-    base = scratch_dir(spark)
+    base, path = scratch_dir(spark), staged_documents(spark, sf_dir)
     clean, errors = _published(base)
     to_clean, calls = clean.sink("receipts"), []
 
@@ -633,17 +638,18 @@ def supervised_stream(spark, sf_dir):
     jobs = [
         (
             "clean",
-            lambda: S.run_clean_items(_stream(spark, sf_dir), fails_once, f"{base}/checkpoint", trigger=NOW),
+            lambda: S.run_clean_items(_stream(spark, path), fails_once, f"{base}/checkpoint", trigger=NOW),
         ),
         (
             "errors",
-            lambda: S.run_error_feed(_stream(spark, sf_dir), errors.sink("receipts"), f"{base}/checkpoint-errors", trigger=NOW),
+            lambda: S.run_error_feed(_stream(spark, path), errors.sink("receipts"), f"{base}/checkpoint-errors", trigger=NOW),
         ),
     ]
     failures = S.Supervisor(spark, jobs, pause=0.1).run()
     if len(failures["clean"]) != 1:
         raise AssertionError(f"one failure was expected: {failures}")
     discard(spark, f"{base}/checkpoint")
+    discard(spark, path)
     discard(spark, f"{base}/checkpoint-errors")
     return _destinations(clean.read(spark), errors.read(spark))
 

@@ -6,7 +6,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-_staged: dict[tuple, str] = {}
 _kept: dict[tuple, str | None] = {}
 
 
@@ -74,15 +73,16 @@ def kept(df: DataFrame, name: str, key: tuple) -> DataFrame | None:
 
 
 def staged_documents(spark: SparkSession, sf_dir: str) -> str:
-    """Directory with all documents as JSON lines, written once per application and state
-    of the tables. Order key and page travel in front of the document, as a topic's key
-    would beside it."""
+    """New directory with all documents as JSON lines. Order key and page travel in front of
+    the document, as a topic's key would beside it. Each query that replays them has its own,
+    so that what it costs does not hang on those that ran before, and discards them.
+
+    They are compressed as topics are; a file is read by one task, and is as large as the task
+    that wrote it."""
     from receiptlake.plans import fixture
 
-    key = tables_key(spark, sf_dir, fixture.TABLES)
-    if key not in _staged:
-        path = f"{scratch_dir(spark)}/documents"
-        docs = fixture.documents(spark, sf_dir).rows
-        docs.selectExpr("concat_ws('\t', k, page, json) AS value").write.text(path)
-        _staged[key] = path
-    return _staged[key]
+    path = f"{scratch_dir(spark)}/documents"
+    docs = fixture.documents(spark, sf_dir).rows
+    docs = docs.selectExpr("concat_ws('\t', k, page, json) AS value")
+    docs.write.option("compression", "lz4").text(path)
+    return path

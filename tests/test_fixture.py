@@ -1,10 +1,12 @@
+import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from helpers import multiset
 from receiptlake import operators as O
-from receiptlake.plans import fixture
+from receiptlake.plans import fixture, queries, staging
 from receiptlake.plans.queries import checked
 from receiptlake.sources import parse_receipts
 
@@ -93,3 +95,36 @@ def test_hot_order_customer_and_part(spark, sf_small, tmp_path):
         for o in ({}, {"page_lines": 100})
     ]
     assert multiset(once) == multiset(paged)
+
+
+def test_lines_are_dealt_once(spark, sf_small, monkeypatch):
+    """By the keys of the documents, with and without pages."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for page_lines, keys in ((fixture.PAGE_LINES, r"l_orderkey#\d+L,"), (2, r"l_orderkey#\d+L, l_page")):
+            monkeypatch.setattr(fixture, "PAGE_LINES", page_lines)
+            docs = fixture.documents(spark, sf_small).rows
+            plan = docs._jdf.queryExecution().executedPlan().toString()
+            assert len(re.findall(rf"Exchange hashpartitioning\({keys}", plan)) == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_every_stream_stages_compressed_documents_and_discards_them(spark, sf_small, tmp_path, monkeypatch):
+    made = []
+
+    def staged(spark, sf_dir):
+        path = staging.staged_documents(spark, sf_dir)
+        files = list(Path(path).glob("part-*"))
+        text = spark.read.text(path).agg(F.sum(F.octet_length("value"))).head()[0]
+        made.append((path, sum(f.stat().st_size for f in files) / text))
+        return path
+
+    monkeypatch.setattr(queries, "staged_documents", staged)
+    names = [n for n in queries.queries() if n.endswith("_stream")]
+    names += ["merged_layout", "batch_clocks", "routing_metrics"]
+    for name in names:
+        assert queries.queries()[name](spark, sf_small).count()
+    assert len({path for path, _ in made}) == len(names) == 9
+    assert all(part < 0.5 for _, part in made)
+    assert not any(Path(path).exists() for path, _ in made)
