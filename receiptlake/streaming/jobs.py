@@ -15,6 +15,7 @@ from receiptlake.streaming.metrics import observed
 from receiptlake.streaming.sinks import Sink, start_batches, start_clean, start_errors, start_raw
 
 BATCH_TIME = "__batch_time"
+MONTH = "__month"
 
 
 def raw_table(docs: DataFrame, keep_source: bool = False) -> DataFrame:
@@ -24,9 +25,26 @@ def raw_table(docs: DataFrame, keep_source: bool = False) -> DataFrame:
     return with_ingest_time(with_year_month(with_event_time(parsed)))
 
 
+def gathered(docs: DataFrame) -> DataFrame:
+    """Documents with those of a month brought together, in as many tasks as its size asks
+    for. They are shuffled before the parse, which would add all fields to their text; the
+    month takes a narrow parse of its own."""
+    dated = with_year_month(with_event_time(parse_receipts(docs, True, ["DateTime"])))
+    months = dated.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("year_month").alias(MONTH))
+    return months.hint("rebalance", F.col(MONTH)).drop(MONTH)
+
+
 def run_raw_landing(
-    docs: DataFrame, path: str, checkpoint: str, keep_source: bool = False, **options
+    docs: DataFrame,
+    path: str,
+    checkpoint: str,
+    keep_source: bool = False,
+    gather: bool = False,
+    **options,
 ) -> StreamingQuery:
+    """``gather`` is for backfills over many months: see ``start_raw``."""
+    if gather:
+        docs = gathered(docs if keep_source else docs.select("json"))
     return start_raw(raw_table(docs, keep_source), path, checkpoint, **options)
 
 

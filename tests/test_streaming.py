@@ -80,6 +80,16 @@ def test_raw_table_is_pruned_and_can_be_processed_again(spark, lines, tmp_path):
     assert multiset(again.drop("upload_time")) == multiset(first.drop("upload_time"))
 
 
+def test_gather_moves_documents_before_their_parse(spark, lines, tmp_path):
+    docs = stream(spark, lines(receipt(), receipt(DateTime="02.03.25 10:00")))
+    query = S.run_raw_landing(docs, str(tmp_path / "raw"), str(tmp_path / "c"), True, gather=True, trigger=NOW)
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False).split("Initial Plan")[0].splitlines()
+    moved = [i for i, line in enumerate(plan) if "Exchange" in line]
+    parsed = [i for i, line in enumerate(plan) if "CompanyName" in line and "Generate" in line]
+    assert len(moved) == 1 and parsed and max(parsed) < moved[0]  # the plan's source comes last
+
+
 def test_gather_merges_small_months_and_splits_large_ones(spark, lines, tmp_path):
     dates = [f"2025-{1 + n % 12:02}-01, 03:04:05" for n in range(240)]
     path = lines(*[receipt(DateTime=d) for d in dates])
