@@ -90,23 +90,23 @@ def ranges(path: str, start: int, end: int, size: int) -> list[Range]:
 
 
 def events(file, part: Range, block: int = BLOCK) -> Iterator[tuple[int, bytes]]:
-    """Offset and text of each event that begins in a range."""
+    """Offset and text of each event that begins in a range. The buffer is cut once for each
+    block that is read, not once for each event in it."""
     first = part.low == part.start
     base = part.low if first else max(part.start, part.low - 3)
-    buffer, scan, ended, inside = b"", 0, False, first
+    buffer, at, scan, ended, inside = b"", 0, 0, False, first
     file.seek(base)
     while True:
         gap = _GAP.search(buffer, scan)
         if not ended and (gap is None or len(buffer) - gap.end() < 2):
             if gap is not None:
                 scan = gap.start()  # it may go on
-            elif inside:
-                scan = max(0, len(buffer) - 3)
             else:
-                gone = max(0, len(buffer) - 3)
-                buffer, base, scan = buffer[gone:], base + gone, 0
-                if base >= part.high:
-                    return
+                scan = max(at, len(buffer) - 3)
+                at = at if inside else scan
+            buffer, base, at, scan = buffer[at:], base + at, 0, scan - at
+            if not inside and base >= part.high:
+                return
             read = file.read(min(block, part.end - base - len(buffer)))
             ended = not read
             buffer += read
@@ -114,13 +114,13 @@ def events(file, part: Range, block: int = BLOCK) -> Iterator[tuple[int, bytes]]
         if gap is None:
             break
         if inside:
-            yield base, buffer[: gap.start()]
-        buffer, base, scan = buffer[gap.end() :], base + gap.end(), 0
-        if base >= part.high:
+            yield base + at, buffer[at : gap.start()]
+        at = scan = gap.end()
+        if base + at >= part.high:
             return
-        inside = base >= part.low
-    if inside and buffer:
-        yield base, buffer
+        inside = base + at >= part.low
+    if inside and at < len(buffer):
+        yield base + at, buffer[at:]
 
 
 def decoded(text: bytes) -> tuple[str, str | None, str | None] | None:

@@ -3,6 +3,7 @@
 import io
 import os
 import random
+import time
 
 import pytest
 
@@ -149,3 +150,15 @@ def test_ranges_are_bounded():
     parts = ranges("f", 10, 100, 32)
     assert [(p.low, p.high) for p in parts] == [(10, 42), (42, 74), (74, 100)]
     assert all(isinstance(p, Range) and p.start == 10 and p.end == 100 for p in parts)
+
+
+def test_the_time_of_an_event_does_not_grow_with_the_block():
+    text = b"".join(b"id: %d\ndata: {}\n\n" % n for n in range(150_000))
+    whole = Range("", 0, 0, len(text), len(text))
+
+    def seconds(block):
+        start = time.perf_counter()
+        assert sum(1 for _ in events(io.BytesIO(text), whole, block)) == 150_000
+        return time.perf_counter() - start
+
+    assert seconds(len(text)) < 5 * seconds(1 << 14) + 0.1
