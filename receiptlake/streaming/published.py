@@ -170,10 +170,15 @@ class PublishedTable:
         rows = spark.read.schema(shape).option("basePath", base).parquet(*folders)
         return rows.select(self._columns())
 
-    def merge(self, spark: SparkSession, file_bytes: int = 256 << 20) -> int | None:
+    def merge(
+        self, spark: SparkSession, file_bytes: int = 256 << 20, file_rows: int = 1_000_000
+    ) -> int | None:
         """Bring the rows of published batches into the month folders. The version of the
         merge, or None if there was nothing to do. It may be stopped and run again at any
-        time: until its file is there nothing has changed for readers."""
+        time: until its file is there nothing has changed for readers.
+
+        A task sorts ``file_bytes`` or ``file_rows``, whichever is less: rows alike shrink to
+        a twentieth in a file, and its size alone would not bound what a task has to hold."""
         state = self.merged(spark)
         live = self.batches(spark, state)
         if not live:
@@ -189,9 +194,11 @@ class PublishedTable:
         folder = f"v={version:010d}-{uuid.uuid4().hex}"
         below = [f"batches/{b.folder}" for b in live]
         below += [f"months/{v}/{name}" for name, v in state.months.items() if name in map(_folder, months)]
-        spread = max(1, -(-sum(files.size(spark, f"{self.path}/{p}") for p in below) // file_bytes))
+        held = sum(files.size(spark, f"{self.path}/{p}") for p in below)
+        rows = old.unionByName(new)
+        spread = max(1, -(-held // file_bytes), -(-rows.count() // file_rows))
         order = ["month", *self.order]
-        rows = old.unionByName(new).repartitionByRange(spread, *order).sortWithinPartitions(*order)
+        rows = rows.repartitionByRange(spread, *order).sortWithinPartitions(*order)
         rows.write.partitionBy("month").parquet(f"{self.path}/months/{folder}")
         for name in map(_folder, months):
             state.months.pop(name, None)

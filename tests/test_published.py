@@ -146,6 +146,17 @@ def test_a_hot_month_is_split_by_range_and_small_ones_share_a_task(spark, table)
     assert len(tasks) <= 2
 
 
+def test_rows_that_shrink_to_nothing_are_split_by_their_number(spark, table):
+    alike = [receipt(ReceiptNumber=n, DateTime=f"2025-01-{1 + n % 28:02}, 03:{n % 60:02}:05") for n in range(600)]
+    table.sink("s")(clean_items(documents(spark, *alike)), 0)
+    before = multiset(table.read(spark))
+    table.merge(spark, file_rows=200)
+    inside = f"{table.path}/months/{table.merged(spark).months['month=2025-01']}/month=2025-01"
+    parts = [n for n in os.listdir(inside) if n.endswith(".parquet")]
+    assert len(parts) >= 5 and multiset(table.read(spark)) == before
+    assert max(spark.read.parquet(f"{inside}/{n}").count() for n in parts) < 400
+
+
 def test_a_batch_that_runs_again_after_a_merge(spark, table):
     sink = table.sink("s")
     sink(rows(spark, "a"), 0)
