@@ -166,6 +166,7 @@ def sse_frames(spark, sf_dir):
     )
     for _ in range(2):
         writer = events.writeStream.format("parquet").option("path", f"{base}/events")
+        writer = writer.option("compression", "zstd")
         query = writer.option("checkpointLocation", f"{base}/checkpoint").trigger(**NOW).start()
         query.awaitTermination()
     discard(spark, f"{base}/checkpoint")
