@@ -38,7 +38,7 @@ from receiptlake.sources import (
 )
 from receiptlake.streaming import files
 
-# Ranges of a captured file that a task reads.
+# Ranges of a captured file's text that a task reads.
 FRAME_BYTES = 8 << 20
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,8 +144,8 @@ def sse_decode(spark, sf_dir):
 
 
 def sse_frames(spark, sf_dir):
-    """Documents as events of one or three ``data:`` lines, captured in files, read by
-    ranges far smaller than a file as a stream that is started twice."""
+    """Documents as events of one or three ``data:`` lines, captured in compressed files, read
+    by ranges far smaller than a file as a stream that is started twice."""
     base = scratch_dir(spark)
     docs = fixture.documents(spark, sf_dir).rows
     inner = F.expr("substring(json, 2, length(json) - 2)")
@@ -156,7 +156,7 @@ def sse_frames(spark, sf_dir):
     event = F.concat(
         F.lit("id: "), "k", F.lit("/"), "page", F.lit("\n"), frame, F.lit("\n\n: ping\n\ndata: {broken\n")
     )
-    docs.select(event.alias("value")).write.text(f"{base}/captures")
+    docs.select(event.alias("value")).write.option("compression", "snappy").text(f"{base}/captures")
     spark.dataSource.register(EventStreamSource)
     stream = spark.readStream.format("event_stream").option("path", f"{base}/captures")
     stream = stream.option("bytes_per_partition", FRAME_BYTES).load()

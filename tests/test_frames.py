@@ -5,10 +5,13 @@ import os
 import random
 import time
 
+import pyarrow as pa
 import pytest
 
-from receiptlake.sources import EventStreamSource, decode_sse_lines
-from receiptlake.sources.frames import Range, complete, decoded, events, ranges
+from receiptlake.plans import fixture, queries, staging
+from receiptlake.sources import EventStreamSource, decode_sse_lines, frames
+from receiptlake.sources.frames import Index, Place, Range, Text, complete, decoded, events, ranges
+from receiptlake.streaming import files
 
 
 def plain(data: bytes) -> list[bytes]:
@@ -162,3 +165,141 @@ def test_the_time_of_an_event_does_not_grow_with_the_block():
         return time.perf_counter() - start
 
     assert seconds(len(text)) < 5 * seconds(1 << 14) + 0.1
+
+
+class Counted(io.BytesIO):
+    taken = 0
+
+    def read(self, *size):
+        out = super().read(*size)
+        self.taken += len(out)
+        return out
+
+
+def packed(pieces: list[bytes], chunk: int = 100) -> bytes:
+    """Each piece as a block, in chunks, as Hadoop's codec writes them."""
+    codec, out = pa.Codec("snappy"), b""
+    for piece in pieces:
+        out += len(piece).to_bytes(4)
+        for at in range(0, len(piece), chunk):
+            stored = codec.compress(piece[at : at + chunk], asbytes=True)
+            out += len(stored).to_bytes(4) + stored
+    return out
+
+
+def indexed(stored: bytes, block: int, monkeypatch) -> Index:
+    monkeypatch.setattr(frames, "BLOCK", block)
+    index = Index([Place()])
+    index.extend(io.BytesIO(stored), len(stored))
+    return index
+
+
+def test_compressed_ranges_give_the_events_of_the_text(monkeypatch):
+    rng = random.Random(2)
+    for _ in range(60):
+        data = b"".join(b"data: " + bytes(rng.choices(b"abc{} ", k=rng.randint(0, 60))) + b"\n" * rng.randint(2, 4) for _ in range(rng.randint(0, 20)))
+        cuts = sorted(rng.choices(range(len(data) + 1), k=rng.randint(0, 8)))
+        pieces = [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)])]
+        stored = packed([*pieces, b""], rng.choice([1, 7, 1000]))
+        index = indexed(stored, rng.choice([1, 50, 1 << 20]), monkeypatch)
+        assert index.end == Place(len(data), len(stored), 0)
+        for size in (1, 5, 40, 5000):
+            found = []
+            for part in ranges("", 0, len(data), size, index):
+                found += events(Text(io.BytesIO(stored), Index([part.place])), part, rng.choice([3, 64]))
+            assert found == in_ranges(data, size)
+        assert complete(Text(io.BytesIO(stored), index), len(data)) == complete(io.BytesIO(data), len(data))
+
+
+def test_a_range_reads_its_own_blocks_only(monkeypatch):
+    rng = random.Random(3)
+    lines = [b"data: " + rng.randbytes(50).hex().encode() + b"\n\n" for _ in range(20_000)]
+    text = b"".join(lines)
+    stored = packed([b"".join(lines[n : n + 100]) for n in range(0, len(lines), 100)], 4000)
+    index = indexed(stored, 1 << 14, monkeypatch)
+    looked = Counted(stored)
+    Index([Place()]).extend(looked, len(stored))
+    assert looked.taken < len(stored) / 50
+    for part in ranges("", 0, len(text), 1 << 16, index):
+        file = Counted(stored)
+        assert sum(1 for _ in events(Text(file, Index([part.place])), part, 1 << 12)) <= 609
+        assert file.taken < 1.5 * (1 << 16)
+
+
+def test_files_that_are_no_whole_blocks():
+    stored = packed([b"data: a\n\n", b"data: b\n\n"])
+    for cut in range(1, len(stored)):
+        index = Index([Place()])
+        index.extend(io.BytesIO(stored), cut)
+        assert index.end.text == (9 if index.end.stored == len(stored) // 2 else 0)
+        assert (index.end.stored, index.end.left) != (cut, 0) or cut == len(stored) // 2
+    with pytest.raises(EOFError):
+        Text(io.BytesIO(stored[:-1]), Index([Place()])).read(18)
+    with pytest.raises(ValueError):
+        Index([Place()]).extend(io.BytesIO((8).to_bytes(4) + stored[4:]), len(stored))
+
+
+def test_compressed_batch_and_cut_off(registered, tmp_path):
+    folder = str(tmp_path / "captures")
+    rows = [f'id: {i}\ndata: {{"n": "{"x" * (300_000 if i == 7 else i)}"}}\n' for i in range(2000)]
+    texts = registered.createDataFrame([(r,) for r in rows], "value string")
+    for part in range(2):
+        texts.coalesce(1).write.mode("append").option("compression", "snappy").text(folder)
+    write(folder, "plain.txt", "id: plain\ndata: {}\n\n")
+    for size in ("300000", "100000000"):
+        df = registered.read.format("event_stream").option("path", folder).option("bytes_per_partition", size).load()
+        got = sorted((r.id, r.value) for r in df.select("id", "value").collect())
+        want = [(str(i), f'{{"n": "{"x" * (300_000 if i == 7 else i)}"}}') for i in range(2000)]
+        assert got == sorted([*want, *want, ("plain", "{}")])
+        assert df.select("file", "offset").distinct().count() == 4001
+    with open(f"{folder}/cut.snappy", "wb") as file:
+        file.write(packed([b"data: a\n\n"])[:-1])
+    with pytest.raises(Exception, match="ends inside a block"):
+        registered.read.format("event_stream").load(folder).count()
+
+
+@pytest.mark.parametrize("growing", ["false", "true"])
+def test_compressed_stream_and_restart(registered, tmp_path, growing):
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("captures", "out", "c"))
+    os.makedirs(folder)
+
+    def add(name, stored):
+        with open(f"{folder}/{name}", "ab") as file:
+            file.write(stored)
+
+    def values():
+        source = registered.readStream.format("event_stream").option("path", folder)
+        source = source.option("growing", growing).option("bytes_per_partition", "16").load()
+        query = source.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        query.trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.value for r in registered.read.parquet(out).collect())
+
+    add("a.snappy", packed([b"data: 1\n\nda", b"ta: 2\n\n"]))
+    assert values() == ["1", "2"]
+    assert values() == ["1", "2"]
+    add("b.snappy", packed([b"data: 3\n\n"]))
+    if growing == "true":
+        more = packed([b"data: 4\nda", b"ta: 5\n\n"])
+        add("a.snappy", more[:-3])
+        assert values() == ["1", "2", "3"]
+        add("a.snappy", more[-3:])
+        assert values() == ["1", "2", "3", "4\n5"]
+    assert len(values()) == (4 if growing == "true" else 3)
+    last = max(int(n) for n in os.listdir(f"{checkpoint}/commits") if n.isdigit())
+    for name in (f"{last}", f".{last}.crc"):
+        os.unlink(f"{checkpoint}/commits/{name}")
+    assert len(values()) == (4 if growing == "true" else 3)
+
+
+def test_captures_take_less_disk_than_their_documents(spark, sf_dir, monkeypatch):
+    """They were plain text, and most of what the query writes."""
+    sizes = {}
+
+    def discard(session, path):
+        sizes[os.path.basename(path)] = files.size(session, path)
+        staging.discard(session, path)
+
+    monkeypatch.setattr(queries, "discard", discard)
+    queries.sse_frames(spark, sf_dir)
+    text = fixture.documents(spark, sf_dir).rows.selectExpr("sum(octet_length(json))").first()[0]
+    assert 0 < sizes["captures"] < text / 2
